@@ -206,11 +206,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_ctes(names: str, final: str, **extra: str) -> str:
+def with_ctes(names: str, final: str, instead: dict[str, str] | None = None, **extra: str) -> str:
     """``final`` after the named expressions and everything they build on.
 
-    ``extra`` adds expressions of one query, in the order given, at the end.
+    ``extra`` adds expressions of one query, in the order given, at the end;
+    ``instead`` gives other bodies to expressions that build on no others.
     """
+    instead = instead or {}
     ordered: list[str] = []
 
     def visit(name: str) -> None:
@@ -221,7 +223,7 @@ def with_ctes(names: str, final: str, **extra: str) -> str:
 
     for name in names.split():
         visit(name)
-    parts = [f"{name} AS ({CTES[name][1]})" for name in ordered]
+    parts = [f"{name} AS ({instead.get(name, CTES[name][1])})" for name in ordered]
     parts += [f"{name} AS ({body})" for name, body in extra.items()]
     head = "WITH RECURSIVE " if any("UNION ALL" in b for b in extra.values()) else "WITH "
     return (head + ",\n".join(parts) + "\n" if parts else "") + final

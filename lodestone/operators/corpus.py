@@ -67,3 +67,15 @@ def length_buckets(texts: DataFrame, key: str, text: str, size: int) -> DataFram
     measured = texts.select(key, F.length(text).alias("length"))
     placed = global_position(measured, ["length", key], "position", "lengths")
     return placed.withColumn("batch", F.expr(f"position div {int(size)}"))
+
+
+def located(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add ``chunk_id`` to results by path and line range; a miss is an error."""
+    place = ["display_path", "start_line", "end_line"]
+    known = chunks.select(*place, F.col("chunk_id").alias("_id"))
+    missing = F.concat(
+        F.lit("Result is absent from the corpus: "),
+        F.concat_ws(":", *[F.col(name).cast("string") for name in place]),
+    )
+    found = F.coalesce("_id", F.raise_error(missing).cast("bigint"))
+    return results.join(known, place, "left").withColumn("chunk_id", found).drop("_id")
