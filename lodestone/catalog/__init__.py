@@ -12,6 +12,6 @@ class Catalog(NamedTuple):
 
 def load() -> Catalog:
     """Import every module that registers queries."""
-    from lodestone.catalog import ingest, registry, retrieval, textops  # noqa: F401
+    from lodestone.catalog import evaluation, ingest, registry, retrieval, textops  # noqa: F401
 
     return Catalog(registry.QUERIES, registry.CHECKS)

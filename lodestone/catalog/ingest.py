@@ -248,7 +248,7 @@ def schema_upgrade(spark: SparkSession, folder: str) -> DataFrame:
         WHERE contains(lower(source || '/' || {_KEY}), '1/de/')""",
 )
 def path_filter(spark: SparkSession, folder: str) -> DataFrame:
-    condition = scopes.scope_condition(path=".\\1\\DE/".replace(".\\", "./"))
+    condition = scopes.scope_condition(path="./1\\DE/")
     return frames.documents(spark, folder).filter(condition).select("doc_id")
 
 

@@ -40,6 +40,16 @@ def _finder(patterns: list[tuple[int, str]]):
     return find
 
 
+def _scan(shared):
+    @pandas_udf("array<bigint>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = _finder(shared.value)
+        for batch in batches:
+            yield batch.map(lambda one: find(one) if one else [])
+
+    return scan
+
+
 def containing(texts: DataFrame, patterns: DataFrame, text: str, key: str) -> DataFrame:
     """``pattern_id`` and ``key`` of every text containing a pattern.
 
@@ -56,13 +66,6 @@ def containing(texts: DataFrame, patterns: DataFrame, text: str, key: str) -> Da
         part = stored.filter(F.pmod(F.xxhash64("pattern_id"), F.lit(passes)) == number)
         listed = [(row.pattern_id, row.pattern) for row in part.collect()]
         shared = spark.sparkContext.broadcast(listed)
-
-        @pandas_udf("array<bigint>")
-        def scan(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            find = _finder(shared.value)
-            for batch in batches:
-                yield batch.map(lambda one: find(one) if one else [])
-
-        hits = texts.select(key, scan(F.col(text)).alias("_hits"))
+        hits = texts.select(key, _scan(shared)(F.col(text)).alias("_hits"))
         found = found.unionByName(hits.select(F.explode("_hits").alias("pattern_id"), key))
     return found
