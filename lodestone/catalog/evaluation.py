@@ -146,7 +146,9 @@ def literal_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, folder: str, probed: Probed) -> Routes:
-    (routes,) = route_batch(frames.full_index(spark, folder), probed.requests, CONFIG)
+    (routes,) = route_batch(
+        frames.full_index(spark, folder), probed.requests, CONFIG, keep_routes=True
+    )
     return routes
 
 

@@ -36,9 +36,9 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(read_requests(frames.requests(spark, folder), CONFIG), "requests")
 
 
-def _routes(spark: SparkSession, folder: str) -> Routes:
+def _routes(spark: SparkSession, folder: str, keep: bool = False) -> Routes:
     index = frames.full_index(spark, folder)
-    (routes,) = route_batch(index, frames.requests(spark, folder), CONFIG)
+    (routes,) = route_batch(index, frames.requests(spark, folder), CONFIG, keep_routes=keep)
     return routes
 
 
@@ -102,11 +102,11 @@ def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Passage frequency of every phrase of the request batch."""
     index = frames.lexical_index(spark, folder)
     phrases = postings.query_phrases(_requests(spark, folder))
-    dictionary, _ = postings.number_phrases(phrases)
+    numbered = postings.number_phrases(phrases)
     totals = postings.index_totals(index)
-    frequency = postings.phrase_frequency(postings.phrase_hits(index, dictionary))
+    frequency = postings.phrase_frequency(postings.phrase_hits(index, numbered))
     n = totals.select("n").scalar()
-    return frequency.join(dictionary, "phrase_id").select(
+    return frequency.join(numbered.sized(numbered.dictionary), "phrase_id").select(
         "phrase",
         "df",
         r6(postings.inverse_frequency(F.col("df"), n)).alias("idf"),
@@ -156,12 +156,13 @@ def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("tokens", " ").alias("phrase"),
         F.size("tokens").alias("words"),
     )
-    dictionary, _ = postings.number_phrases(compound.distinct())
-    hits = postings.phrase_hits(index, dictionary)
+    numbered = postings.number_phrases(compound.distinct())
+    hits = postings.phrase_hits(index, numbered)
     per_phrase = hits.groupBy("phrase_id").agg(
         F.count("*").alias("passages"), F.sum("hits").alias("hits")
     )
-    return per_phrase.join(dictionary, "phrase_id").select("phrase", "passages", "hits")
+    named = per_phrase.join(numbered.sized(numbered.dictionary), "phrase_id")
+    return named.select("phrase", "passages", "hits")
 
 
 @query(

@@ -33,7 +33,10 @@ SPACE = (
 )
 NON_ASCII = r"[^\x00-\x7F]"
 HAN = r"\p{IsHan}"
-LATIN_CLASS = r"\p{IsLatin}\p{N}_./:-"
+# Script lookups are slow, so the plain letters are tried first.
+LATIN_CLASS = r"A-Za-z0-9_./:\-\p{IsLatin}\p{N}"
+# No Han character comes before this one.
+MAYBE_HAN = r"[\u2E80-\uFFFF\x{10000}-\x{3FFFF}]"
 WHOLE_RUN_LIMIT = 8
 SNIPPET_CHARS = 240
 
@@ -71,11 +74,15 @@ def utf16_length(text: Column) -> Column:
     )
 
 
-def latin_terms(text: Column) -> Column:
+def term_text(text: Column) -> Column:
+    """Only the runs of letters, digits and joining signs, one space apart."""
+    return F.regexp_replace(text, f"[^{LATIN_CLASS}]+", " ")
+
+
+def latin_terms(spaced: Column) -> Column:
     """Lower-cased identifiers plus their separator and camel-case parts."""
-    spaced = F.regexp_replace(text, f"[^{LATIN_CLASS}]+", " ")
-    words = F.split(F.lower(spaced), " ")
-    whole = F.transform(words, lambda word: F.btrim(word, F.lit("./:-")))
+    ends = F.regexp_replace(F.lower(spaced), "[./:-]* [./:-]*", " ")
+    whole = F.split(F.btrim(ends, F.lit("./:-")), " ")
     camel = F.regexp_replace(spaced, r"([a-z\d])([A-Z])", "$1 $2")
     parts = F.split(F.translate(F.lower(camel), "_./:-", "     "), " ")
     return F.array_remove(F.array_union(whole, parts), "")
@@ -94,19 +101,19 @@ def han_terms(text: Column) -> Column:
             ),
         )
     )
-    return F.when(text.rlike(HAN), F.array_union(short, pairs)).otherwise(_none())
+    return F.when(text.rlike(MAYBE_HAN), F.array_union(short, pairs)).otherwise(_none())
 
 
 def term_set(text: Column) -> Column:
     """Distinct index terms, unordered."""
     clean = nfkc(text)
-    return F.array_union(latin_terms(clean), han_terms(clean))
+    return F.array_union(latin_terms(term_text(clean)), han_terms(clean))
 
 
 def locale_sorted(terms: Column) -> Column:
     """Order strings by the root locale's collation instead of by bytes."""
-    collated = F.transform(terms, lambda term: F.collate(term, "UNICODE"))
-    return F.transform(F.array_sort(collated), lambda term: F.collate(term, "UTF8_BINARY"))
+    collated = terms.cast("array<string collate UNICODE>")
+    return F.sort_array(collated).cast("array<string>")
 
 
 def index_terms(text: Column) -> Column:
@@ -137,7 +144,7 @@ def index_tokens(terms: Column) -> Column:
     letter, number nor private-use, so ``scale-out`` gives two tokens.
     """
     return F.regexp_extract_all(
-        fold(F.array_join(terms, " ")), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0)
+        fold(F.array_join(terms, " ")), F.lit(r"[a-z0-9\p{L}\p{N}\p{Co}]+"), F.lit(0)
     )
 
 

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import index_terms, index_tokens
+from lodestone.functions.text import (
+    han_terms,
+    index_tokens,
+    latin_terms,
+    locale_sorted,
+    nfkc,
+    term_text,
+)
+
+
+def with_terms(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Add a column of index terms per text.
+
+    Each step is a projection of its own, because later steps use the earlier
+    ones more than once and would otherwise compute them again.
+    """
+    clean = {f"_clean_{name}": nfkc(value) for name, value in texts.items()}
+    spaced = {f"_spaced_{name}": term_text(F.col(f"_clean_{name}")) for name in texts}
+    terms = {
+        name: locale_sorted(
+            F.array_union(latin_terms(F.col(f"_spaced_{name}")), han_terms(F.col(f"_clean_{name}")))
+        )
+        for name in texts
+    }
+    stepped = rows.withColumns(clean).withColumns(spaced).withColumns(terms)
+    return stepped.drop(*clean, *spaced)
 
 
 def with_lexical_columns(chunks: DataFrame) -> DataFrame:
     """Add the stored term lists and token sequences of heading and content."""
+    titled = {"heading_terms": F.array_join("heading", " "), "content_terms": F.col("content")}
     return (
-        chunks.withColumn("heading_terms", index_terms(F.array_join("heading", " ")))
-        .withColumn("content_terms", index_terms(F.col("content")))
+        with_terms(chunks, titled)
         .withColumn("heading_tokens", index_tokens(F.col("heading_terms")))
         .withColumn("content_tokens", index_tokens(F.col("content_terms")))
         .withColumn("doc_len", F.size("heading_tokens") + F.size("content_tokens"))

@@ -7,12 +7,14 @@ without scanning queries per passage.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import index_tokens
 from lodestone.operators.ranking import top_k
-from lodestone.session import BROADCAST_ROWS, broadcast_if_small, materialize
+from lodestone.session import BROADCAST_ROWS, materialize
 
 K1, B = 1.2, 0.75
 HEADING_WEIGHT, CONTENT_WEIGHT = 4.0, 1.0
@@ -56,25 +58,39 @@ def occurrences(passages: DataFrame, lengths: list[int], keep: list[str]) -> Dat
     return per_column.select(*keep, "c.weight", F.explode("c.runs").alias("phrase"))
 
 
-def number_phrases(phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written tables of the distinct phrases with short ids, and who asks them."""
-    distinct = phrases.select("phrase", "words").distinct()
-    numbered = distinct.withColumn("phrase_id", F.monotonically_increasing_id())
-    dictionary = materialize(numbered, "dictionary")
-    asked = phrases.join(dictionary.select("phrase", "phrase_id"), "phrase").drop("phrase")
-    return dictionary, materialize(asked, "asked")
+class Phrases(NamedTuple):
+    """The distinct phrases of a request batch with short ids, and who asks."""
+
+    dictionary: DataFrame
+    asked: DataFrame
+    lengths: list[int]
+    small: bool
+
+    def sized(self, df: DataFrame) -> DataFrame:
+        """Hint a broadcast of a frame of at most one row per asked phrase."""
+        return F.broadcast(df) if self.small else df
 
 
-def phrase_hits(passages: DataFrame, dictionary: DataFrame, scoped: bool = False) -> DataFrame:
+def number_phrases(phrases: DataFrame) -> Phrases:
+    """Write the asked phrases once; everything else derives from that table."""
+    stored = materialize(phrases.withColumn("_row", F.monotonically_increasing_id()), "phrases")
+    facts = stored.agg(F.count("*").alias("n"), F.collect_set("words").alias("lengths")).first()
+    small = facts.n <= BROADCAST_ROWS
+    dictionary = stored.groupBy("phrase", "words").agg(F.min("_row").alias("phrase_id"))
+    names = dictionary.select("phrase", "phrase_id")
+    asked = stored.drop("_row").join(F.broadcast(names) if small else names, "phrase")
+    return Phrases(dictionary, asked.drop("phrase"), sorted(facts.lengths) or [1], small)
+
+
+def phrase_hits(passages: DataFrame, phrases: Phrases, scoped: bool = False) -> DataFrame:
     """Weighted hits per passage and phrase; all rows of a passage stay together.
 
     Partitioning by ``chunk_id`` alone serves this grouping and the later one
     by query and passage, so matched rows are shuffled once.
     """
-    lengths = sorted(row.words for row in dictionary.select("words").distinct().collect())
     keep = ["chunk_id", "doc_len"] + (["scopes"] if scoped else [])
-    ids = broadcast_if_small(dictionary.select("phrase", "phrase_id"))
-    found = occurrences(passages, lengths or [1], keep).join(ids, "phrase").drop("phrase")
+    names = phrases.sized(phrases.dictionary.select("phrase", "phrase_id"))
+    found = occurrences(passages, phrases.lengths, keep).join(names, "phrase").drop("phrase")
     return (
         found.repartition("chunk_id")
         .groupBy(*keep, "phrase_id")
@@ -109,18 +125,18 @@ def keyword_scores(passages: DataFrame, phrases: DataFrame) -> DataFrame:
     request's filter is applied to the matches.
     """
     scoped = "scopes" in passages.columns and "scope" in phrases.columns
-    dictionary, asked = number_phrases(phrases)
+    numbered = number_phrases(phrases)
     totals = index_totals(passages)
     total, average = totals.select("n").scalar(), totals.select("average").scalar()
-    hits = phrase_hits(passages, dictionary, scoped)
+    hits = phrase_hits(passages, numbered, scoped)
     idf = phrase_frequency(hits).select(
         "phrase_id", inverse_frequency(F.col("df"), total).alias("idf")
     )
-    if dictionary.count() <= BROADCAST_ROWS:
-        idf = F.broadcast(idf)  # one row per row of the dictionary
     part = contribution(F.col("idf"), F.col("hits"), F.col("doc_len"), average)
-    weighed = hits.join(idf, "phrase_id").withColumn("units", F.round(part * UNIT).cast("bigint"))
-    matched = weighed.join(broadcast_if_small(asked), "phrase_id")
+    weighed = hits.join(numbered.sized(idf), "phrase_id").withColumn(
+        "units", F.round(part * UNIT).cast("bigint")
+    )
+    matched = weighed.join(numbered.sized(numbered.asked), "phrase_id")
     if scoped:
         matched = matched.filter(F.array_contains("scopes", F.col("scope")))
     units = F.sum(F.col("units") * F.col("times"))

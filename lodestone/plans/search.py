@@ -87,7 +87,12 @@ def read_requests(queries: DataFrame, config: SearchConfig) -> DataFrame:
 
 
 def _one_pass(
-    passages: DataFrame, requests: DataFrame, scopes: list, config: SearchConfig, snippets: bool
+    passages: DataFrame,
+    requests: DataFrame,
+    scopes: list,
+    config: SearchConfig,
+    snippets: bool,
+    keep_routes: bool,
 ) -> Routes:
     asked, scoped = number_scopes(requests, passages, scopes)
     phrases = query_phrases(asked).join(asked.select("qid", "scope"), "qid")
@@ -96,12 +101,12 @@ def _one_pass(
     vector = vector.filter(F.col("vector_rank") <= F.col("candidate_limit"))
     keyword = best_keywords(scoped, phrases, CANDIDATE_CAP).join(limits, "qid")
     keyword = keyword.filter(F.col("keyword_rank") <= F.col("candidate_limit"))
-    vector = materialize(vector.drop("candidate_limit"), "vector")
-    keyword = materialize(keyword.drop("candidate_limit"), "keyword")
+    if keep_routes:
+        vector, keyword = materialize(vector, "vector"), materialize(keyword, "keyword")
 
     fused = fuse_routes(vector, keyword)
-    if vector.count() + keyword.count() <= BROADCAST_ROWS:
-        fused = F.broadcast(fused)
+    if 2 * CANDIDATE_CAP * requests.count() <= BROADCAST_ROWS:
+        fused = F.broadcast(fused)  # a route gives a request at most the cap
     payload = passages.select(
         *("chunk_id", "display_path", "start_line", "end_line", "heading"),
         F.concat("heading_terms", "content_terms").alias("indexed_terms"),
@@ -115,19 +120,26 @@ def _one_pass(
 
 
 def route_batch(
-    passages: DataFrame, queries: DataFrame, config: SearchConfig, snippets: bool = False
+    passages: DataFrame,
+    queries: DataFrame,
+    config: SearchConfig,
+    snippets: bool = False,
+    keep_routes: bool = False,
 ) -> list[Routes]:
-    """Both routes and all scored candidates; one entry per 256 filters."""
+    """Both routes and all scored candidates; one entry per 256 filters.
+
+    ``keep_routes`` writes the routes' candidates, for readers of several parts.
+    """
     requests = materialize(read_requests(queries, config), "requests")
     scopes = distinct_scopes(requests)
     if len(scopes) <= SCOPES_PER_PASS:
-        return [_one_pass(passages, requests, scopes, config, snippets)]
+        return [_one_pass(passages, requests, scopes, config, snippets, keep_routes)]
     passes = []
     for first in range(0, len(scopes), SCOPES_PER_PASS):
         some = scopes[first : first + SCOPES_PER_PASS]
         numbered, _ = number_scopes(requests, passages, some)
         part = numbered.filter(F.col("scope").isNotNull()).drop("scope")
-        passes.append(_one_pass(passages, part, some, config, snippets))
+        passes.append(_one_pass(passages, part, some, config, snippets, keep_routes))
     return passes
 
 
