@@ -1,0 +1,4 @@
+"""Nothing streams here: an index is updated on request by content hash.
+
+The batch difference is ``operators.changes`` and its use ``plans.indexing``.
+"""
