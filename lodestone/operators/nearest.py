@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.errors import NavigationError
-from lodestone.operators.ranking import top_k
+from lodestone.operators.ranking import salt_when_wide, top_k
 from lodestone.session import collect_bounded
 
 QUERY_BLOCK = 4096
@@ -188,4 +188,5 @@ def nearest(
     else:
         found = _scan(rows, listed, k, scoped)
     order = [F.col(name).asc() for name in _ORDER[1:]]
-    return top_k(found, ["qid"], order, k, rank="vector_rank")
+    salt = salt_when_wide(found, "chunk_id")
+    return top_k(found, ["qid"], order, k, rank="vector_rank", salt=salt)

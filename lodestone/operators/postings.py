@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import index_tokens
-from lodestone.operators.ranking import top_k
+from lodestone.operators.ranking import salt_when_wide, top_k
 from lodestone.session import BROADCAST_ROWS, materialize
 
 K1, B = 1.2, 0.75
@@ -148,4 +148,5 @@ def best_keywords(passages: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
     places = passages.select("chunk_id", "display_path", "start_line")
     scored = keyword_scores(passages, phrases).join(places, "chunk_id")
     order = [F.col(name) for name in ("score", "display_path", "start_line", "chunk_id")]
-    return top_k(scored, ["qid"], order, k, rank="keyword_rank")
+    salt = salt_when_wide(scored, "chunk_id")
+    return top_k(scored, ["qid"], order, k, rank="keyword_rank", salt=salt)

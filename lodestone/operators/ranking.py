@@ -12,6 +12,16 @@ from lodestone.session import materialize
 _ROW_BITS = 33
 
 
+# From this many shuffle partitions on, hot groups are cut in slices first.
+WIDE = 256
+
+
+def salt_when_wide(df: DataFrame, key: str) -> Column | None:
+    """A salt for ``top_k`` on clusters wide enough for one group to lag."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.col(key) if parts >= WIDE else None
+
+
 def top_k(
     df: DataFrame,
     group: Sequence[str],

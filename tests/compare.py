@@ -53,6 +53,21 @@ def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None
     return f"{len(wrong)} of {len(left)} rows differ: {wrong[:2]}" if wrong else None
 
 
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+}
+
+
+def type_difference(found, connection, statement: str) -> str | None:
+    """Columns whose types differ between Spark and SQL."""
+    described = connection.execute(f"DESCRIBE {statement}").fetchall()
+    wanted = {row[0]: TYPES.get(row[1], row[1]) for row in described}
+    ours = dict(found.dtypes)
+    wrong = {name: (ours.get(name), kind) for name, kind in wanted.items() if ours.get(name) != kind}
+    return f"types {wrong}" if wrong else None
+
+
 def main() -> int:
     import __spark_entry__ as contract
     from lodestone.session import local_session
@@ -68,13 +83,16 @@ def main() -> int:
             continue
         started = time.time()
         try:
-            found = run(spark, folder).toPandas()
+            frame = run(spark, folder)
+            found = frame.toPandas()
             took = time.time() - started
             problem = "no check"
             if name in checks:
                 started = time.time()
-                expected = open_tables(folder).execute(checks[name]).df()
+                connection = open_tables(folder)
+                expected = connection.execute(checks[name]).df()
                 problem = difference(found, expected)
+                problem = problem or type_difference(frame, connection, checks[name])
             note = f"rows {len(found)} spark {took:.1f}s sql {time.time() - started:.1f}s"
         except Exception as error:  # noqa: BLE001 - reported per query
             problem, note = f"{type(error).__name__}: {str(error)[:600]}", ""
