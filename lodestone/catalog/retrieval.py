@@ -13,6 +13,7 @@ from lodestone.functions import text
 from lodestone.functions.text import line_label, score_label
 from lodestone.operators import postings, tree
 from lodestone.operators.lexicon import with_lexical_columns
+from lodestone.operators.fusion import location_score
 from lodestone.operators.nearest import nearest
 from lodestone.operators.scopes import number_scopes
 from lodestone.plans.search import (
@@ -104,7 +105,7 @@ def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     phrases = postings.query_phrases(_requests(spark, folder))
     numbered = postings.number_phrases(phrases)
     totals = postings.index_totals(index)
-    frequency = postings.phrase_frequency(postings.phrase_hits(index, numbered))
+    frequency = postings.phrase_frequency(index, numbered)
     n = totals.select("n").scalar()
     return frequency.join(numbered.sized(numbered.dictionary), "phrase_id").select(
         "phrase",
@@ -489,3 +490,27 @@ def common_dir(spark: SparkSession, folder: str) -> DataFrame:
     return shared.join(counted, "host").select(
         "host", F.array_join("common", "/").alias("common"), "pages"
     )
+
+
+@query(
+    "route_locations",
+    q.with_ctes(
+        "vecr kwr",
+        f"""SELECT 'vector' AS route, qid, chunk_id, {q.r6("1 - distance")} AS score FROM vecr
+            UNION ALL SELECT 'keyword', qid, chunk_id, {q.r6("1.0::DOUBLE / keyword_rank")}
+            FROM kwr""",
+    ),
+)
+def route_locations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each route alone returns, scored as the benchmark scores it."""
+    routes = _routes(spark, folder, keep=True)
+    missing = F.lit(None).cast("double")
+    vector = location_score(F.col("distance"), F.col("vector_rank"))
+    keyword = location_score(missing, F.col("keyword_rank"))
+    return routes.vector.select(
+        F.lit("vector").alias("route"), "qid", "chunk_id", r6(vector).alias("score")
+    ).unionByName(
+        routes.keyword.select(
+            F.lit("keyword").alias("route"), "qid", "chunk_id", r6(keyword).alias("score")
+        )
+    )

@@ -95,7 +95,7 @@ def _trimmed(body: str) -> str:
 
 
 @query(
-    "chunk_markdown",
+    "chunk_lines",
     q.with_ctes(
         "",
         f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, part) - 1
@@ -106,7 +106,7 @@ def _trimmed(body: str) -> str:
         **_packed(1800),
     ),
 )
-def chunk_markdown(spark: SparkSession, folder: str) -> DataFrame:
+def chunk_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of every document under the default size limit."""
     rows = spread(frames.table(spark, folder, "documents"), "doc_id")
     chunks = chunk_documents(rows.select("doc_id", F.col("text").alias("content")))
@@ -119,7 +119,7 @@ def chunk_markdown(spark: SparkSession, folder: str) -> DataFrame:
     "line_split",
     q.with_ctes(
         "",
-        f"""SELECT doc_id, count(*) AS pieces, max(len(body)) AS longest, sum(len(body)) AS kept,
+        f"""SELECT doc_id, count(*) AS pieces, max(len(body)) AS longest, sum(len(body))::BIGINT AS kept,
               max(stop)::BIGINT AS last_line
             FROM (SELECT doc_id, stop, {_trimmed("body")} AS body FROM pieces)
             WHERE body <> '' GROUP BY doc_id""",

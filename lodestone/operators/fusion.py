@@ -16,6 +16,11 @@ def candidate_limit(top: Column, pool: int) -> Column:
     return F.least(F.lit(CANDIDATE_CAP), wanted)
 
 
+def location_score(distance: Column, rank: Column) -> Column:
+    """Score of a single route's result: similarity, or its reciprocal rank."""
+    return F.coalesce(1 - distance, 1 / rank)
+
+
 def fuse_routes(vector: DataFrame, keyword: DataFrame) -> DataFrame:
     """One row per query and passage found by either route."""
     left = vector.select("qid", "chunk_id", "distance", "vector_rank")

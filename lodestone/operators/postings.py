@@ -107,9 +107,19 @@ def contribution(idf: Column, hits: Column, length: Column, average: Column) ->
     return idf * hits * (K1 + 1) / (hits + K1 * (1 - B + B * length / average))
 
 
-def phrase_frequency(hits: DataFrame) -> DataFrame:
-    """Number of passages per phrase, over the whole index."""
-    return hits.groupBy("phrase_id").agg(F.sum(F.signum("hits")).cast("bigint").alias("df"))
+def phrase_frequency(passages: DataFrame, phrases: Phrases) -> DataFrame:
+    """Number of passages per phrase, over the whole index.
+
+    Repeats are dropped inside each passage, so this is a count per phrase
+    that combines before its shuffle and needs none of the hits.
+    """
+    runs = [
+        F.array_union(_runs(F.col("heading_tokens"), words), _runs(F.col("content_tokens"), words))
+        for words in phrases.lengths
+    ]
+    names = phrases.sized(phrases.dictionary.select("phrase", "phrase_id"))
+    present = passages.select(F.explode(F.flatten(F.array(*runs))).alias("phrase"))
+    return present.join(names, "phrase").groupBy("phrase_id").agg(F.count("*").alias("df"))
 
 
 def index_totals(passages: DataFrame) -> DataFrame:
@@ -129,7 +139,7 @@ def keyword_scores(passages: DataFrame, phrases: DataFrame) -> DataFrame:
     totals = index_totals(passages)
     total, average = totals.select("n").scalar(), totals.select("average").scalar()
     hits = phrase_hits(passages, numbered, scoped)
-    idf = phrase_frequency(hits).select(
+    idf = phrase_frequency(passages, numbered).select(
         "phrase_id", inverse_frequency(F.col("df"), total).alias("idf")
     )
     part = contribution(F.col("idf"), F.col("hits"), F.col("doc_len"), average)

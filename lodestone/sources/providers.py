@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 from typing import Protocol
 
 import numpy as np
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-from lodestone.config import EmbeddingConfig
+from lodestone.config import DTYPES, EmbeddingConfig
 from lodestone.errors import NavigationError
 
 IMPLEMENTATION = 1
@@ -36,6 +36,48 @@ def fingerprint(config: EmbeddingConfig, implementation: str) -> str:
     return hashlib.sha256(json.dumps(facts, sort_keys=True).encode()).hexdigest()
 
 
+# What the known kinds of model runtimes allow.
+POOLED_RUNTIMES = ("transformers", "transformers-core", "direct-ort")
+STATIC_RUNTIME = "static-ort"
+PLAIN_TEXT_MODELS = ("bge-small-zh", "granite-embedding")
+
+
+@dataclass(frozen=True)
+class RuntimeOptions:
+    """Options of a model runtime, filled in and checked against each other."""
+
+    runtime: str
+    model: str
+    pooling: str | None = None
+    dtype: str | None = None
+    document_prefix: str = ""
+    query_prefix: str = ""
+
+    def __post_init__(self):
+        def check(ok: bool, message: str) -> None:
+            if not ok:
+                raise NavigationError("INVALID_CONFIG", message)
+
+        static = self.runtime == STATIC_RUNTIME
+        check(
+            self.pooling is None or self.runtime in POOLED_RUNTIMES,
+            f"pooling is only supported by {', '.join(POOLED_RUNTIMES)}",
+        )
+        plain = any(name in self.model.lower() for name in PLAIN_TEXT_MODELS)
+        pooling = self.pooling or ("cls" if plain else "mean")
+        check(pooling in ("mean", "cls"), "pooling must be mean or cls")
+        dtype = self.dtype or ("int8" if static else "q8")
+        check(dtype in DTYPES, f"dtype must be one of {', '.join(DTYPES)}")
+        if static:
+            check(dtype == "int8", f"{STATIC_RUNTIME} requires dtype int8")
+            check(
+                not self.document_prefix and not self.query_prefix,
+                f"{STATIC_RUNTIME} requires empty prefixes",
+            )
+        object.__setattr__(self, "pooling", pooling)
+        object.__setattr__(self, "dtype", dtype)
+
+
 class HashingProvider:
     """Deterministic vectors from hashed words; stands in for a model."""
 

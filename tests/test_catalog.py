@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = (
-    "hybrid_search", "scoped_search", "chunk_markdown", "block_pack", "index_terms",
+    "hybrid_search", "scoped_search", "chunk_lines", "block_pack", "index_terms",
     "change_counts", "upsert_sources", "latency_percentiles", "nav_tree_stats", "suite_flatten",
 )
 

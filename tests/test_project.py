@@ -13,6 +13,7 @@ from lodestone.operators.scopes import scope_condition
 from lodestone.plans import indexing
 from lodestone.plans.evaluation import run_quality
 from lodestone.sources.markdown_dir import _matcher, matching_files
+from lodestone.sources.providers import RuntimeOptions
 from lodestone.sources.store import IndexStore
 
 # Workers cannot import a test module, so its provider travels by value.
@@ -208,3 +209,16 @@ def test_config_rules():
     for bad in (raw, {**raw, "extra": 1}):
         with pytest.raises(NavigationError):
             config.config_from_mapping(bad)
+
+
+def test_runtime_options():
+    assert RuntimeOptions("direct-ort", "org/bge-small-zh").pooling == "cls"
+    assert RuntimeOptions("static-ort", "m").dtype == "int8"
+    for bad in (
+        ("fastembed", "m", "mean"),
+        ("direct-ort", "m", "max"),
+        ("static-ort", "m", None, "q8"),
+        ("static-ort", "m", None, None, "passage: "),
+    ):
+        with pytest.raises(NavigationError):
+            RuntimeOptions(*bad)
