@@ -41,17 +41,17 @@ def fuse(spark, vector, keyword, terms, relaxed=False, top=5):
     return rank_results(scored).orderBy("rank").collect()
 
 
-RELEVANT = "Relevant content"
+RELEVANT = "Useful passage"
 
 
 def test_both_routes_promote(spark):
     found = fuse(
         spark,
-        [(1, "semantic.md", 1, RELEVANT, 0.1), (2, "both.md", 2, RELEVANT, 0.11)],
-        [(2, "both.md", 1, RELEVANT), (3, "keyword.md", 2, RELEVANT)],
-        ["relevant"],
+        [(1, "near.md", 1, RELEVANT, 0.1), (2, "twice.md", 2, RELEVANT, 0.11)],
+        [(2, "twice.md", 1, RELEVANT), (3, "word.md", 2, RELEVANT)],
+        ["useful"],
     )
-    assert found[0].path == "both.md" and found[0].reason == "signal"
+    assert found[0].path == "twice.md" and found[0].reason == "signal"
     # 0.6 * rrf + 0.2 * lexical + 0.2 * semantic by hand
     rrf = (0.45 / 10 + 0.55 / 9) / (1 / 9)
     lexical = (1 - 2.718281828459045 ** (-4 / 3)) ** 0.5
@@ -60,24 +60,24 @@ def test_both_routes_promote(spark):
 
 
 def test_exact_keyword_outranks_weak_semantics(spark):
-    exact = "GPU scheduler cold starts"
+    exact = "Token bucket limits"
     found = fuse(
         spark,
-        [(1, "semantic.md", 1, "Generic", 0.13), (2, "exact.md", 60, exact, 0.17)],
-        [(2, "exact.md", 1, exact)],
-        ["gpu", "scheduler"],
+        [(1, "near.md", 1, "Other things", 0.13), (2, "named.md", 60, exact, 0.17)],
+        [(2, "named.md", 1, exact)],
+        ["token", "bucket"],
     )
-    assert found[0].path == "exact.md"
+    assert found[0].path == "named.md"
 
 
 def test_no_credible_signal_is_rejected(spark):
-    text = "Documentation index"
+    text = "Table of pages"
     assert (
         fuse(
             spark,
             [(1, "a.md", 1, text, 0.14)],
             [(1, "a.md", 1, text)],
-            ["zxqv-9999", "香蕉协议"],
+            ["qwv-0000", "火星语言"],
         )
         == []
     )
@@ -85,35 +85,35 @@ def test_no_credible_signal_is_rejected(spark):
 
 def test_relaxed_terms_keep_bounded_weak_signals(spark):
     args = (
-        [(1, "semantic.md", 1, "Generic model", 0.2)],
-        [(2, "keyword.md", 1, "qualification")],
-        ["cache", "dispatch", "qualification"],
+        [(1, "near.md", 1, "Other things", 0.2)],
+        [(2, "word.md", 1, "gamma")],
+        ["alpha", "beta", "gamma"],
     )
     found = fuse(spark, *args, relaxed=True)
     assert [(r.path, r.reason) for r in found] == [
-        ("keyword.md", "term-keyword"),
-        ("semantic.md", "term-vector"),
+        ("word.md", "term-keyword"),
+        ("near.md", "term-vector"),
     ]
     assert fuse(spark, *args, relaxed=False) == []
 
 
 def test_ties_end_in_path_and_top_is_optional(spark):
     tied = [(1, "b.md", 1, RELEVANT, 0.11), (2, "a.md", 1, RELEVANT, 0.11)]
-    assert [r.path for r in fuse(spark, tied, [], ["relevant"])] == ["a.md", "b.md"]
+    assert [r.path for r in fuse(spark, tied, [], ["useful"])] == ["a.md", "b.md"]
     many = [(i, f"{i}.md", i, RELEVANT, 0.1) for i in range(1, 8)]
-    assert len(fuse(spark, many, [], ["relevant"], top=None)) == 7
-    assert len(fuse(spark, many, [], ["relevant"], top=3)) == 3
+    assert len(fuse(spark, many, [], ["useful"], top=None)) == 7
+    assert len(fuse(spark, many, [], ["useful"], top=3)) == 3
 
 
 def test_evidence_needs_two_parts_in_the_found_vocabulary(spark):
     rows = [
-        (0, [["sla"], ["退款"], ["赔付"]], ["sla", "赔付"], True),
-        (1, [["sla"], ["退款"], ["违约"]], ["sla", "赔付"], False),
-        (2, [["scheduler"]], ["scheduler"], True),
-        (3, [["x1"], ["x2"]], ["sla"], False),
+        (0, [["cache"], ["evict"], ["队列"]], ["cache", "队列"], True),
+        (1, [["cache"], ["evict"], ["淘汰"]], ["cache", "队列"], False),
+        (2, [["parser"]], ["parser"], True),
+        (3, [["x1"], ["x2"]], ["cache"], False),
     ]
     frame = spark.createDataFrame(
-        [(q, parts, words, "terms", 1, ["sla"], 4) for q, parts, words, _ in rows],
+        [(q, parts, words, "terms", 1, ["cache"], 4) for q, parts, words, _ in rows],
         "qid int, part_terms array<array<string>>, indexed_terms array<string>, mode string, "
         "keyword_rank int, terms array<string>, terms_weight int",
     )

@@ -5,11 +5,11 @@ SHAPE = (
     "qid int, display_path string, heading array<string>, start_line int, end_line int, score double"
 )
 PEAK = [
-    ("guide/average.md", ["Average", "Many"], 1, 2, 0.7),
-    ("guide/average.md", ["Average", "Many"], 3, 4, 0.7),
-    ("guide/peak.md", ["Peak", "Deep", "Answer"], 10, 12, 0.9),
-    ("guide/peak.md", ["Peak", "Other"], 20, 22, 0.3),
-    ("guide/only/one.md", ["One", "Nested", "Leaf"], 30, 30, 0.6),
+    ("man/wide.md", ["Wide", "Lots"], 2, 3, 0.6),
+    ("man/wide.md", ["Wide", "Lots"], 5, 6, 0.6),
+    ("man/best.md", ["Best", "Inner", "Result"], 11, 13, 0.95),
+    ("man/best.md", ["Best", "Rest"], 21, 25, 0.25),
+    ("man/deep/solo.md", ["Solo", "Mid", "End"], 31, 31, 0.5),
 ]
 
 
@@ -20,36 +20,36 @@ def as_dicts(rows):
 
 def test_tree_groups_files_headings_and_lines():
     rows = [
-        ("docs/mod/a.md", ["A", "3. Sim", "3.4 X"], 10, 12, 0.8),
-        ("docs/mod/a.md", ["A", "3. Sim", "3.2 Y"], 20, 20, 0.6),
-        ("docs/mod/b.md", ["B", "Overview"], 5, 6, 0.7),
+        ("kb/net/dns.md", ["DNS", "2. Cache", "2.1 TTL"], 40, 44, 0.75),
+        ("kb/net/dns.md", ["DNS", "2. Cache", "2.2 Flush"], 50, 50, 0.5),
+        ("kb/net/tls.md", ["TLS", "Setup"], 7, 9, 0.65),
     ]
     assert render.tree(as_dicts(rows)).splitlines() == [
-        "docs/mod/",
-        "├─ a.md › 3. Sim ×2 .700",
-        "│  ├─ 3.4 X L10-12 .800",
-        "│  └─ 3.2 Y L20 .600",
-        "└─ b.md › Overview L5-6 .700",
+        "kb/net/",
+        "├─ dns.md › 2. Cache ×2 .625",
+        "│  ├─ 2.1 TTL L40-44 .750",
+        "│  └─ 2.2 Flush L50 .500",
+        "└─ tls.md › Setup L7-9 .650",
     ]
 
 
 def test_tree_collapses_and_orders_by_best_match():
     wanted = [
-        "guide/",
-        "├─ peak.md ×2 .600",
-        "│  ├─ Deep › Answer L10-12 .900",
-        "│  └─ Other L20-22 .300",
-        "├─ average.md › Many ×2 .700",
-        "│  ├─ L1-2 .700",
-        "│  └─ L3-4 .700",
-        "└─ only/one.md › Nested › Leaf L30 .600",
+        "man/",
+        "├─ best.md ×2 .600",
+        "│  ├─ Inner › Result L11-13 .950",
+        "│  └─ Rest L21-25 .250",
+        "├─ wide.md › Lots ×2 .600",
+        "│  ├─ L2-3 .600",
+        "│  └─ L5-6 .600",
+        "└─ deep/solo.md › Mid › End L31 .500",
     ]
     assert render.tree(as_dicts(PEAK)).splitlines() == wanted
     assert render.tree(as_dicts(PEAK[::-1])).splitlines() == wanted
 
 
 def test_tree_without_a_shared_folder():
-    rows = [("README.md", ["README"], 1, 3, 0.8), ("docs/a.md", ["A", "Details"], 4, 8, 0.9)]
+    rows = [("NOTES.md", ["NOTES"], 2, 4, 0.7), ("kb/z.md", ["Z", "More"], 5, 9, 0.8)]
     assert render.tree(as_dicts(rows)).startswith("./\n")
     assert render.tree([]) == "No matching documentation found.\n"
 
@@ -59,10 +59,10 @@ def test_node_statistics_come_from_leaves(spark):
     nodes = {
         "/".join(n.label for n in r.node): r for r in ordered_nodes(tree_nodes(frame)).collect()
     }
-    peak = nodes["peak.md"]
-    assert (peak.leaves, round(peak.average, 6), peak.maximum, peak.place) == (2, 0.6, 0.9, 1)
-    assert nodes["average.md"].leaves == 2 and nodes["average.md/Many"].place == 1
-    assert nodes["only"].place == 3 and nodes["peak.md/Other"].place == 2
+    peak = nodes["best.md"]
+    assert (peak.leaves, round(peak.average, 6), peak.maximum, peak.place) == (2, 0.6, 0.95, 1)
+    assert nodes["wide.md"].leaves == 2 and nodes["wide.md/Lots"].place == 1
+    assert nodes["deep"].place == 3 and nodes["best.md/Rest"].place == 2
 
 
 def test_common_directory(spark):
