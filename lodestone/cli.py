@@ -63,7 +63,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             print(json.dumps(asdict(step(spark, chosen.root))))
         elif chosen.command == "status":
             found = indexing.status(spark, chosen.root)
-            print(json.dumps(found) if chosen.json else render.status_text(found), end="")
+            print(json.dumps(found) + "\n" if chosen.json else render.status_text(found), end="")
         else:
             request = {"query": " ".join(chosen.terms), "query_parts": chosen.terms}
             request |= {k: v for k in ("top", "path") if (v := getattr(chosen, k)) is not None}
