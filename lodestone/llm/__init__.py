@@ -10,6 +10,7 @@ def load() -> tuple[dict, dict]:
         multiset_hash,
         piece_coding,
         registry,
+        set_join,
         uniform_threshold,
         url_rules,
     )
