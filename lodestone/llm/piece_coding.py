@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -75,7 +76,7 @@ class CharacterMap:
 class PieceModel:
     """A SentencePiece BPE model that encodes with spans and decodes."""
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 500_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -95,6 +96,7 @@ class PieceModel:
         self._rank = {p.piece: -p.score for p in proto.pieces if p.type == NORMAL}
         self._bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unk, self.bos, self.eos = (kinds.index(UNKNOWN), *(self._named(n) for n in ("<s>", "</s>")))
+        self._pairs = {pair for p in self._ids for pair in zip(p, p[1:], strict=False)}
         joined = {c for p in self._ids if len(p) > 1 for c in p}
         alone = re.escape("".join(c for c in map(chr, range(128)) if c not in joined))
         self._cut = None
@@ -156,6 +158,24 @@ class PieceModel:
     def _merged(self, segment: str) -> list[str]:
         """Pieces of a segment: repeatedly the best pair, of equals the leftmost."""
         parts: list[str] = list(segment)
+        if len(parts) > 40:
+            return self._merged_long(parts)
+        rank, worst = self._rank, math.inf
+        ranks = [rank.get(a + b, worst) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == worst:
+                break
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            ranks.pop(i)
+            if i:
+                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], worst)
+            if i < len(ranks):
+                ranks[i] = rank.get(parts[i] + parts[i + 1], worst)
+        return parts
+
+    def _merged_long(self, parts: list[str]) -> list[str]:
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
         rank, heap = self._rank, []
@@ -186,8 +206,18 @@ class PieceModel:
     def _segment(self, segment: str) -> tuple[bytes, bytes, str]:
         """Ids and normalised byte lengths of the pieces, and the decoded segment."""
         ids, widths = [], []
-        for part in self._merged(segment):
-            found = self._ids.get(part)
+        if not segment[1:].isalpha() and len(bits := self._bits(segment)) > 1:
+            found = [self._memory.get(b) or self._segment(b) for b in bits]
+            ids, widths, surfaces = zip(*found, strict=True)
+            return self._remember(segment, (b"".join(ids), b"".join(widths), "".join(surfaces)))
+        parts = self._merged(segment)
+        whole = [*map(self._ids.get, parts)]
+        if None not in whole:
+            form = f"<{len(parts)}I"
+            widths = [len(p.encode()) for p in parts]
+            known = struct.pack(form, *whole), struct.pack(form, *widths), segment.replace(SPACE, " ")
+            return self._remember(segment, known)
+        for part, found in zip(parts, whole, strict=True):
             data = part.encode("utf-8", "surrogatepass")
             if found is not None:
                 ids.append(found)
@@ -201,12 +231,24 @@ class PieceModel:
                 widths.append(len(data))
         form = f"<{len(ids)}I"
         known = struct.pack(form, *ids), struct.pack(form, *widths), self.surface(ids)
+        return self._remember(segment, known)
+
+    def _remember(self, segment: str, known: tuple[bytes, bytes, str]) -> tuple[bytes, bytes, str]:
         if len(self._memory) >= self._limit:
             self._memory.clear()
         if len(segment) <= 64:
             self._memory[segment] = known
         return known
 
+    def _bits(self, segment: str) -> list[str]:
+        """The segment cut between characters that stand together in no piece."""
+        out, start = [], 0
+        for i, pair in enumerate(zip(segment, segment[1:], strict=False), 1):
+            if pair not in self._pairs:
+                out.append(segment[start:i])
+                start = i
+        return [*out, segment[start:]]
+
     def _segments(self, text: str) -> list[str]:
         return self._cut.findall(text) if self._cut else [text] * bool(text)
 
@@ -239,8 +281,6 @@ class PieceModel:
 
     def surface(self, ids) -> str:
         """Text of pieces in a row, spaces in place of marks, bytes put together."""
-        if all(self.kinds[i] == NORMAL for i in ids):
-            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
         out, run = [], bytearray()
         for i in ids:
             if self.kinds[i] == BYTE:
