@@ -8,9 +8,11 @@ def load() -> tuple[dict, dict]:
     from lodestone.llm import (  # noqa: F401
         lexical_packing,
         multiset_hash,
+        nb_svm,
         piece_coding,
         registry,
         set_join,
+        toxicity,
         uniform_threshold,
         url_rules,
     )
