@@ -6,9 +6,11 @@ from __future__ import annotations
 def load() -> tuple[dict, dict]:
     """Queries and their checks in SQL, by name."""
     from lodestone.llm import (  # noqa: F401
+        html_render,
         lexical_packing,
         multiset_hash,
         nb_svm,
+        personal_data,
         piece_coding,
         registry,
         set_join,
