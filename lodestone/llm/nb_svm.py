@@ -152,14 +152,19 @@ def fit_on(docs: DataFrame, labels: DataFrame, target: str = "quality", size: in
     return fit(found, np.array([r["label"] for r in rows], np.int64))
 
 
-def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and ``score``, 0 to 1, of every whole text (null: empty)."""
+def scoring(model: Model):
+    """A column function from texts to scores."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts.tolist()], dtype="float64")
 
-    return docs.withColumn("score", score("text"))
+    return score
+
+
+def score_quality(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` and ``score``, 0 to 1, of every whole text (null: empty)."""
+    return docs.withColumn("score", scoring(model)("text"))
 
 
 @query("op6_quality")

@@ -311,6 +311,22 @@ def find_personal_data(docs: DataFrame, classifier: Classifier | None) -> DataFr
     )
 
 
+def masking(classifier: Classifier | None):
+    """A column function from texts to texts with all spans masked (null: null)."""
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts.tolist():
+            if text:
+                base = base_spans(text)
+                text = masked(text, base + added_spans(text, base, classifier))
+            out.append(text)
+        return pd.Series(out, dtype="object")
+
+    return mask
+
+
 def span_digests(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
     """Counts and digests of the spans of every text."""
 

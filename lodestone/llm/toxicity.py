@@ -8,8 +8,9 @@ scored over all its overlapping windows and has the score of the highest.
 
 The network is trained in numpy on the driver, on a bounded sample of labelled
 documents (``SAMPLE``, half of each label). Labels are of documents, so training
-takes, in each round after the first, the windows of a document that the
-network scores highest. Scoring runs in tasks; a word's share of the gates'
+takes of each document the window that the network scores highest; to begin with,
+embeddings carry the log odds of their words and n-grams, and the first windows
+of toxic documents are those of the highest odds. Scoring runs in tasks; a word's share of the gates'
 inputs is worked out once and kept in a bounded memory.
 
 Texts without words, null ones too, score 0. A column ``score`` of the input is
@@ -19,7 +20,8 @@ replaced.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,12 +33,16 @@ from lodestone.llm.samples import held_out, labelled_sample
 
 SAMPLE = 6000
 #: What is kept of a sampled document for training: this many windows, evenly spread.
-SAMPLE_WINDOWS = 24
+SAMPLE_WINDOWS = 12
 WINDOW, STRIDE = 64, 48
 WORD_BINS, GRAM_BINS = 1 << 13, 1 << 14
 WORD_WIDTH, GRAM_WIDTH, HIDDEN = 8, 16, 8
 GRAMS = range(3, 6)
 REJECT = 0.3
+DROPOUT, DECAY = 0.15, 0.02
+CALIBRATE = 6
+#: Words and n-grams of fewer documents of the sample say nothing.
+MIN_DOCUMENTS = 3
 SEED = 11
 
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|=+-_/\\~`^@"
@@ -52,9 +58,9 @@ def words_of(text: str | None) -> list[str]:
 
 
 def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins of the words; bins of all their character n-grams; how many each word has."""
+    """Hashes of the words; bins of all their character n-grams; how many each word has."""
     plain = [("<" + (w.strip(_EDGE)[:64] or w[:1]) + ">").encode("utf-8", "surrogatepass") for w in words]
-    bins = np.array([zlib.crc32(w) for w in plain], np.int64) % WORD_BINS
+    hashes = np.array([zlib.crc32(w) for w in plain], np.int64)
     lengths = np.array([len(w) for w in plain], np.int64)
     codes = np.frombuffer(b"".join(plain), np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -70,10 +76,10 @@ def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             grams.append((mixed ^ (mixed >> np.uint32(15))).astype(np.int64) % GRAM_BINS)
             owners.append(owner[: len(rolled)][inside])
     if not grams:
-        return bins, np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        return hashes, np.zeros(0, np.int64), np.zeros(len(words), np.int64)
     gram, of = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(of, kind="stable")
-    return bins, gram[order], np.bincount(of, minlength=len(words))
+    return hashes, gram[order], np.bincount(of, minlength=len(words))
 
 
 def window_starts(words: int) -> range:
@@ -102,18 +108,25 @@ class Network:
             "out": normal(2 * h, scale=0.3),
             "bias": np.zeros(1, np.float32),
         }
+        #: Hashes of the words that have an embedding; others have their n-grams only.
+        self.known = np.zeros(0, np.int64)
+        #: A document's score is the logistic of slope * logit + offset.
+        self.slope, self.offset = 1.0, 0.0
 
     # -- forward
 
-    def word_vectors(self, words: list[str]) -> tuple[np.ndarray, tuple]:
-        bins, grams, counts = word_inputs(words)
-        sums = np.zeros((len(words), GRAM_WIDTH), np.float32)
+    def word_vectors(self, inputs: tuple) -> tuple[np.ndarray, tuple]:
+        """Vectors of the words of :func:`word_inputs`."""
+        hashes, grams, counts = inputs
+        known = np.isin(hashes, self.known)
+        sums = np.zeros((len(hashes), GRAM_WIDTH), np.float32)
         has = np.flatnonzero(counts)
         if len(has):
             starts = (np.cumsum(counts) - counts)[has]
             sums[has] = np.add.reduceat(self.p["gram"][grams], starts, axis=0)
         means = sums / np.maximum(counts, 1)[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][bins], means], axis=1), (bins, grams, counts)
+        own = self.p["word"][hashes % WORD_BINS] * known[:, None]
+        return np.concatenate([own, means], axis=1), (hashes, known, grams, counts)
 
     def gate_inputs(self, vectors: np.ndarray) -> np.ndarray:
         return vectors @ self.p["w_in"] + self.p["b_in"]
@@ -174,9 +187,9 @@ class Network:
         d_inputs = _summed(at.T.ravel(), d_x, len(vectors))
         g["w_in"], g["b_in"] = vectors.T @ d_inputs, d_inputs.sum(axis=0)
         d_vectors = d_inputs @ p["w_in"].T
-        bins, grams, counts = sources
+        hashes, known, grams, counts = sources
         each = d_vectors[:, WORD_WIDTH:] / np.maximum(counts, 1)[:, None]
-        g["word"] = _summed(bins, d_vectors[:, :WORD_WIDTH], WORD_BINS)
+        g["word"] = _summed(hashes[known] % WORD_BINS, d_vectors[known, :WORD_WIDTH], WORD_BINS)
         g["gram"] = _summed(grams, np.repeat(each, counts, axis=0), GRAM_BINS)
         return g
 
@@ -209,39 +222,84 @@ def _summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def train(documents: list[list[list[str]]], labels: list[int], rounds: int = 8, batch: int = 256) -> Network:
-    """A network from documents, each a list of windows of words, and their labels.
-
+class Sample(NamedTuple):
+    """Windows of labelled documents, their words as numbers."""
+
+    words: list[str]
+    at: np.ndarray  # (windows, WINDOW), rows of words
+    lengths: np.ndarray
+    owner: np.ndarray  # the document of each window
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, documents: Iterable[tuple[int, list[str]]]) -> Sample:
+        """From labels and windows, each a string of words between spaces."""
+        names: dict[str, int] = {}
+        rows, lengths, owner, labels = [], [], [], []
+        for d, (label, windows) in enumerate(documents):
+            labels.append(label)
+            for window in windows:
+                at = [names.setdefault(w, len(names)) for w in window.split()]
+                rows.append(np.array(at + [0] * (WINDOW - len(at)), np.int32))
+                lengths.append(len(at))
+                owner.append(d)
+        at = np.stack(rows) if rows else np.zeros((0, WINDOW), np.int32)
+        arrays = (np.array(x, np.int64) for x in (lengths, owner, labels))
+        return cls(list(names) or [""], at, *arrays)
+
+
+def _subset(inputs: tuple, starts: np.ndarray, used: np.ndarray) -> tuple:
+    """The word inputs of some words."""
+    hashes, grams, counts = inputs
+    n = counts[used]
+    at = np.repeat(starts[used] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return hashes[used], grams[at], n
+
+
+def train(
+    sample: Sample, prevalence: float = 0.5, steps: int = 160, batch: int = 256
+) -> Network:
+    """A network from labelled windows.
+
+    Both labels weigh the same in training. Few documents are gone through more
+    often, in smaller batches. Every ``CALIBRATE``-th document is left out, and on
+    these the scores are made probabilities, given the ``prevalence`` of label 1.
     With labels of one kind only, the bias alone is set.
     """
     net = Network()
-    if len(set(labels)) < 2:
+    labels = sample.labels
+    if len(set(labels.tolist())) < 2:
         net.p["out"][:] = 0
-        net.p["bias"][:] = 0.0 if not labels else 4.0 * (2 * labels[0] - 1)
+        net.p["bias"][:] = 0.0 if not len(labels) else 4.0 * (2 * int(labels[0]) - 1)
         return net
-    names: dict[str, int] = {}
-    rows, lengths, owner = [], [], []
-    for d, windows in enumerate(documents):
-        for words in windows:
-            at = [names.setdefault(w, len(names)) for w in words]
-            rows.append(at + [0] * (WINDOW - len(at)))
-            lengths.append(len(at))
-            owner.append(d)
-    listed = list(names) or [""]
-    at, lengths, owner = np.array(rows), np.array(lengths), np.array(owner)
-    y = np.array(labels, np.float32)
+    inputs = word_inputs(sample.words)
+    aside = sample.owner % CALIBRATE == CALIBRATE - 1
+    learned = set(labels[np.unique(sample.owner[~aside])].tolist())
+    if len(learned) < 2:
+        aside[:] = False
+    at, lengths, owner = (x[~aside] for x in (sample.at, sample.lengths, sample.owner))
+    starts = np.cumsum(inputs[2]) - inputs[2]
+    y = labels.astype(np.float32)
     random = np.random.default_rng(SEED)
+    odds = _set_log_odds(net, inputs, at, lengths, owner, y)
+    unseen = ~net.p["gram"].any(axis=1)
+    first_key = np.where(np.arange(at.shape[1]) < lengths[:, None], odds[at], -np.inf).max(axis=1)
+    first_key = np.where(y[owner] == 1, first_key, random.random(len(at)))
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    batch = min(batch, max(16, len(labels) // 12))
+    rounds = max(6, steps // -(-len(labels) // batch))
+    share = len(labels) / (2 * np.bincount(labels, minlength=2)).astype(np.float32)
     step = 0
     for turn in range(rounds):
-        chosen = _chosen(net, listed, at, lengths, owner, turn, random)
+        chosen = _chosen(net, inputs, at, lengths, owner, first_key if turn == 0 else None)
         random.shuffle(chosen)
         for start in range(0, len(chosen), batch):
             part = chosen[start : start + batch]
             used, local = np.unique(at[part], return_inverse=True)
-            vectors, sources = net.word_vectors([listed[i] for i in used])
+            vectors, sources = net.word_vectors(_subset(inputs, starts, used))
+            vectors *= random.random((len(used), 1)) >= DROPOUT
             target = y[owner[part]]
-            weight = np.full(len(part), 1 / len(part), np.float32)
+            weight = share[target.astype(int)] / np.float32(len(part))
             grads = net.gradients(
                 vectors, sources, local.reshape(len(part), -1), lengths[part], target, weight
             )
@@ -252,18 +310,82 @@ def train(documents: list[list[list[str]]], labels: list[int], rounds: int = 8,
                 v += 0.01 * (g * g - v)
                 rate = 0.01 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 net.p[k] -= (rate * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
+                if k in ("word", "gram"):
+                    net.p[k] *= np.float32(1 - rate * DECAY)
+            net.p["gram"][unseen] = 0
+    if aside.any():
+        _calibrate(net, inputs, sample, aside, prevalence)
     return net
 
 
-def _chosen(net, listed, at, lengths, owner, turn, random) -> np.ndarray:
-    """Windows to train on: of every document one, later its two highest."""
-    if turn == 0:
-        key = random.random(len(at))
-    else:
-        inputs = net.gate_inputs(net.word_vectors(listed)[0])
-        key = np.concatenate(
-            [net.windows(inputs, at[s : s + 1024], lengths[s : s + 1024])[0] for s in range(0, len(at), 1024)]
-        )
+def _logits(net, inputs, at, lengths) -> np.ndarray:
+    gates = net.gate_inputs(net.word_vectors(inputs)[0])
+    parts = range(0, len(at), 1024)
+    return np.concatenate([net.windows(gates, at[s : s + 1024], lengths[s : s + 1024])[0] for s in parts])
+
+
+def _calibrate(net: Network, inputs: tuple, sample: Sample, aside: np.ndarray, prevalence: float) -> None:
+    """Fit slope and offset on the documents left out, by Newton steps."""
+    best = np.full(len(sample.labels), -np.inf)
+    np.maximum.at(best, sample.owner[aside], _logits(net, inputs, sample.at[aside], sample.lengths[aside]))
+    seen = np.isfinite(best)
+    y, x = sample.labels[seen], np.stack([best[seen], np.ones(seen.sum())], axis=1)
+    counts = np.bincount(y, minlength=2)
+    if counts.min() == 0:
+        return
+    weight = np.where(y == 1, prevalence / counts[1], (1 - prevalence) / counts[0]) * len(y)
+    target = np.where(y == 1, (counts[1] + 1) / (counts[1] + 2), 1 / (counts[0] + 2))
+    theta, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - target)) + 0.1 * (theta - start))
+        theta = theta - np.clip(step, -1, 1)
+    net.slope, net.offset = max(0.05, float(theta[0])), float(theta[1])
+
+
+def _set_log_odds(net, inputs, at, lengths, owner, y) -> np.ndarray:
+    """First components of embeddings start as log odds of their bins; those of words.
+
+    Odds are of documents with the bin, by label, each label weighing the same.
+    """
+    hashes, grams, counts = inputs
+    inside = np.arange(at.shape[1]) < lengths[:, None]
+    word, document = at[inside], np.repeat(owner, lengths)
+    seen = np.unique(word * np.int64(len(y)) + document)
+    word, document = seen // len(y), seen % len(y)
+    starts = np.cumsum(counts) - counts
+    n = counts[word]
+    gram = grams[np.repeat(starts[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    names, number = np.unique(hashes, return_inverse=True)
+    of_word, word_documents = _log_odds(number[word], document, y, len(names))
+    net.known = names[word_documents >= MIN_DOCUMENTS]
+    of_word = np.where(word_documents >= MIN_DOCUMENTS, of_word, 0)
+    net.p["word"][names % WORD_BINS, 0] = of_word
+    of_gram, gram_documents = _log_odds(gram, np.repeat(document, n), y, GRAM_BINS)
+    net.p["gram"][:, 0] = of_gram
+    net.p["gram"][gram_documents < MIN_DOCUMENTS] = 0
+    means = np.zeros(len(hashes), np.float32)
+    has = np.flatnonzero(counts)
+    if len(has):
+        means[has] = np.add.reduceat(of_gram[grams], starts[has]) / counts[has]
+    return of_word[number] + means
+
+
+def _log_odds(found, of, y, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log odds by documents, and the number of documents, of each feature."""
+    pairs = np.unique(found * np.int64(len(y)) + of)
+    found, of = pairs // len(y), pairs % len(y)
+    total = np.bincount(y.astype(int), minlength=2)
+    toxic, clean = (np.bincount(found[y[of] == k], minlength=size) for k in (1, 0))
+    odds = np.log((toxic + 1) / (clean * total[1] / total[0] + 1))
+    return odds.astype(np.float32), toxic + clean
+
+
+def _chosen(net, inputs, at, lengths, owner, key: np.ndarray | None) -> np.ndarray:
+    """Of every document the window of the highest key, by default its score."""
+    if key is None:
+        key = _logits(net, inputs, at, lengths)
     order = np.lexsort((-key, owner))
     first = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])
     return order[first]
@@ -290,7 +412,7 @@ class Scorer:
             start = len(self._rows)
             if len(new) > self._limit:
                 self._inputs = np.zeros((2 * len(new), 6 * HIDDEN), np.float32)
-            inputs = self._net.gate_inputs(self._net.word_vectors(new)[0])
+            inputs = self._net.gate_inputs(self._net.word_vectors(word_inputs(new))[0])
             self._inputs[start : start + len(new)] = inputs
             self._rows.update(zip(new, range(start, start + len(new)), strict=True))
             found = [*map(self._rows.__getitem__, words)]
@@ -329,7 +451,8 @@ class Scorer:
             at = padded[np.minimum(starts[part][:, None] + np.arange(longest), len(padded) - 1)]
             logits, _ = self._net.windows(self._inputs, at, lengths[part])
             np.maximum.at(best, owner[part], logits)
-        out[places] = np.where(np.array(counts) > 0, _sigmoid(best[places]), 0.0)
+        scaled = self._net.slope * best[places] + self._net.offset
+        out[places] = np.where(np.array(counts) > 0, _sigmoid(scaled), 0.0)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, target: str = "toxic", size: int = SAMPLE) -> Network:
@@ -349,21 +472,29 @@ def fit_on(docs: DataFrame, labels: DataFrame, target: str = "toxic", size: int
             yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "windows": out})
 
     sample = labelled_sample(docs, labels, target, size)
-    rows = sample.mapInPandas(run, "doc_id long, label int, windows array<string>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["windows"]))
-    return train([[w.split() for w in r["windows"]] for r in rows], [r["label"] for r in rows])
+    rows = sample.mapInPandas(run, "doc_id long, label int, windows array<string>")
+    # Row by row, so that the driver keeps numbers of words only.
+    ordered = rows.orderBy("doc_id", "windows").toLocalIterator()
+    known = labels.where(F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
+    prevalence = known.agg(F.avg((F.col(target) == 1).cast("double"))).first()[0]
+    return train(Sample.of((r["label"], r["windows"]) for r in ordered), prevalence or 0.5)
 
 
-def score_toxicity(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` and ``score``, 0 to 1, of every whole text (null: empty)."""
+def scoring(net: Network):
+    """A column function from texts to scores."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(net)
         for texts in batches:
-            yield pd.Series(scorer.scores(texts.tolist()))
+            yield pd.Series(scorer.scores(texts.tolist()), dtype="float64")
 
-    return docs.withColumn("score", score("text"))
+    return score
+
+
+def score_toxicity(docs: DataFrame, net: Network) -> DataFrame:
+    """``docs`` and ``score``, 0 to 1, of every whole text (null: empty)."""
+    return docs.withColumn("score", scoring(net)("text"))
 
 
 @query("op4_toxicity")
