@@ -25,7 +25,10 @@ smallest of each Arrow batch before that, so a crowded signature sends one row o
 a batch through the shuffle). Then only members that no verified link
 connects so far are compared with each other.
 
-**Verification** compares the shingle sets of both texts. Links are united by
+**Verification.** Each set has a sketch of ``PARITY`` bits, the parities of its
+elements' counts by hash. Two sets differ in at least as many elements as their
+sketches differ in bits, so most chance candidates fall by size or sketch inside
+the joins; what is left is verified on the shingle sets of both texts. Links are united by
 rounds of stars over tables in the shared folder.
 
 Null texts and texts without words are empty and linked with nothing. Rows
@@ -55,6 +58,8 @@ SEEDS = 6
 #: A link needs SHARE[0] / SHARE[1] of the union.
 SHARE = (4, 5)
 COUNT_BINS = 1 << 20
+#: 64-bit words of the sketch of parities.
+PARITY = 16
 #: What comparing two sets costs, in signatures.
 COMPARISON = 50
 
@@ -130,6 +135,12 @@ def set_key(elements: np.ndarray) -> str | None:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).hexdigest()
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Bit by bit whether an even or odd number of elements fell there, as words."""
+    bits = np.bincount((elements >> np.uint64(20)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits(bits.astype(np.uint8) & 1).view(np.int64)
+
+
 # -- signatures
 
 
@@ -229,20 +240,23 @@ class Signer:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key`` of every row, and parts of the count table.
+    """``doc_id, n_shingles, set_key``, sketch of every row, and parts of the count table.
 
     Rows with a ``part`` hold a slice of a task's counts of shingles (``counts``,
     compressed 32-bit numbers) instead of a document.
     """
     slices = 16
+    sketch = [f"p{i}" for i in range(PARITY)]
+    empty = {c: pd.array([None] * slices, "Int64") for c in sketch}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, counts = Shingler(), np.zeros(COUNT_BINS, np.uint32)
         for rows in batches:
-            found, seen, pending = [], [], 0
+            found, sketches, seen, pending = [], [], [], 0
             for text in rows["text"].tolist():
                 elements = shingler.set_of(text)
                 found.append((len(elements), set_key(elements)))
+                sketches.append(parities(elements))
                 seen.append((elements & np.uint64(COUNT_BINS - 1)).astype(np.int64))
                 pending += len(elements)
                 if pending > COUNT_BINS:
@@ -252,6 +266,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 np.add.at(counts, np.concatenate(seen), np.uint32(1))
             made = pd.DataFrame(found, columns=["n_shingles", "set_key"])
             made.insert(0, "doc_id", rows["doc_id"].astype("Int64"))
+            words = np.array(sketches, np.int64).reshape(-1, PARITY)
+            made[sketch] = words
             yield made.assign(part=pd.array([None] * len(made), "Int32"), counts=None)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, slices)]
@@ -260,13 +276,17 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     "doc_id": pd.array([None] * slices, "Int64"),
                     "n_shingles": pd.array([None] * slices, "Int64"),
                     "set_key": None,
+                    **empty,
                     "part": np.arange(slices, dtype=np.int32),
                     "counts": parts,
                 }
             )
 
     return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_shingles long, set_key string, part int, counts binary"
+        run,
+        "doc_id long, n_shingles long, set_key string, "
+        + "".join(f"{c} long, " for c in sketch)
+        + "part int, counts binary",
     )
 
 
@@ -364,8 +384,13 @@ def _members(signature: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signature), pa.array(node)], ["signature", "node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``a, b`` whose texts link."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``a, b`` whose texts link; only texts of pairs are moved."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialize(ids, "pair-ids")
+    texts = materialize(
+        docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "pair-texts"
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, last, elements = Shingler(), None, None
@@ -384,15 +409,48 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "a long, b long").distinct()
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """Each member with the smallest of its group."""
+SKETCH = ("n_shingles", *(f"p{i}" for i in range(PARITY)))
+
+
+def node_sketches(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node`` with size and sketch of its set; none for ids with several sets."""
+    first = classes.select("set_key", F.col("first").alias("doc_id"))
+    found = rows.join(first, ["set_key", "doc_id"]).groupBy(F.col("doc_id").alias("node"))
+    kept = found.agg(
+        F.min("set_key").alias("low"), F.max("set_key").alias("high"), *[F.min(c).alias(c) for c in SKETCH]
+    )
+    return kept.where("low = high").select("node", *SKETCH)
+
+
+def may_link(one: str, other: str):
+    """What size and sketch of two sets, with these prefixes, cannot rule out."""
+    x, y = F.col(f"{one}n_shingles"), F.col(f"{other}n_shingles")
+    apart = sum(
+        F.bit_count(F.col(f"{one}p{i}").bitwiseXOR(F.col(f"{other}p{i}"))) for i in range(PARITY)
+    )
+    sizes = F.least(x, y) * SHARE[1] >= F.greatest(x, y) * SHARE[0]
+    bound = (SHARE[1] + SHARE[0]) * apart <= (SHARE[1] - SHARE[0]) * (x + y)
+    return F.coalesce(sizes & bound, F.lit(True))
+
+
+def _named(sketches: DataFrame, node: str, prefix: str) -> DataFrame:
+    return sketches.select(F.col("node").alias(node), *[F.col(c).alias(prefix + c) for c in SKETCH])
+
+
+def star_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Each member with the smallest of its group, where they may link."""
     least = members.groupBy("signature").agg(F.min("node").alias("a"))
     joined = members.join(least, "signature").where("node <> a")
-    return joined.select("a", F.col("node").alias("b")).distinct()
+    pairs = joined.select("a", F.col("node").alias("b")).distinct()
+    pairs = pairs.join(_named(sketches, "b", "b_"), "b", "left")
+    pairs = pairs.join(_named(sketches, "a", "a_"), "a", "left")
+    return pairs.where(may_link("a_", "b_")).select("a", "b")
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, compared: DataFrame) -> DataFrame:
-    """Pairs of a group that no link connects so far and that were not compared."""
+def cross_pairs(
+    members: DataFrame, labels: DataFrame, sketches: DataFrame, compared: DataFrame
+) -> DataFrame:
+    """Pairs of a group that may link, that no link connects and that were not compared."""
     named = members.join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
@@ -403,11 +461,17 @@ def cross_pairs(members: DataFrame, labels: DataFrame, compared: DataFrame) -> D
         .where("low < high")
         .select("signature")
     )
-    open_groups = materialize(named.join(split, "signature", "left_semi"), "open-groups")
+    open_groups = named.join(split, "signature", "left_semi")
+    open_groups = materialize(open_groups.join(_named(sketches, "node", "a_"), "node", "left"), "open-groups")
     other = open_groups.select(
-        "signature", F.col("node").alias("other"), F.col("label").alias("other_label")
+        "signature",
+        F.col("node").alias("other"),
+        F.col("label").alias("other_label"),
+        *[F.col("a_" + c).alias("b_" + c) for c in SKETCH],
+    )
+    pairs = open_groups.join(
+        other, (open_groups.signature == other.signature) & (F.col("label") < F.col("other_label")) & may_link("a_", "b_")
     )
-    pairs = open_groups.join(other, "signature").where("label < other_label")
     pairs = pairs.select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
     )
@@ -455,7 +519,7 @@ def join_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     sets = materialize(shingle_sets(docs), "shingle-sets")
     counts = count_table(sets)
-    rows = sets.where("part is null").select("doc_id", "n_shingles", "set_key")
+    rows = sets.where("part is null")
     classes = rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
     classes = materialize(
         classes.agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "set-classes"
@@ -466,17 +530,15 @@ def join_sets(docs: DataFrame) -> DataFrame:
         ),
         "set-members",
     )
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialize(
-        docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), "candidate-texts"
-    )
-    stars = materialize(star_pairs(members), "star-pairs")
-    links = materialize(verified(stars, texts), "star-links")
-    rest = cross_pairs(members, near_labels(links), stars)
-    links = links.unionByName(verified(materialize(rest, "cross-pairs"), texts))
+    sketches = node_sketches(rows, classes).join(members.select("node"), "node", "left_semi")
+    sketches = materialize(sketches, "node-sketches")
+    stars = materialize(star_pairs(members, sketches), "star-pairs")
+    links = materialize(verified(stars, docs), "star-links")
+    rest = cross_pairs(members, near_labels(links), sketches, stars)
+    links = links.unionByName(verified(materialize(rest, "cross-pairs"), docs))
     roots = components(links)
     several = classes.where("n > 1").select("set_key", "first")
-    placed = rows.join(several, "set_key", "left").withColumn(
+    placed = rows.select("doc_id", "n_shingles", "set_key").join(several, "set_key", "left").withColumn(
         "first", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("first", "doc_id"))
     )
     return placed.join(roots.withColumnRenamed("node", "first"), "first", "left").select(
