@@ -121,9 +121,11 @@ class Network:
         known = np.isin(hashes, self.known)
         sums = np.zeros((len(hashes), GRAM_WIDTH), np.float32)
         has = np.flatnonzero(counts)
-        if len(has):
-            starts = (np.cumsum(counts) - counts)[has]
-            sums[has] = np.add.reduceat(self.p["gram"][grams], starts, axis=0)
+        ends = np.cumsum(counts)
+        for part in np.array_split(has, len(has) // 20_000 + 1) if len(has) else ():
+            starts = (ends - counts)[part]
+            found = self.p["gram"][grams[starts[0] : ends[part[-1]]]]
+            sums[part] = np.add.reduceat(found, starts - starts[0], axis=0)
         means = sums / np.maximum(counts, 1)[:, None].astype(np.float32)
         own = self.p["word"][hashes % WORD_BINS] * known[:, None]
         return np.concatenate([own, means], axis=1), (hashes, known, grams, counts)
@@ -352,17 +354,22 @@ def _set_log_odds(net, inputs, at, lengths, owner, y) -> np.ndarray:
     hashes, grams, counts = inputs
     inside = np.arange(at.shape[1]) < lengths[:, None]
     word, document = at[inside], np.repeat(owner, lengths)
-    seen = np.unique(word * np.int64(len(y)) + document)
-    word, document = seen // len(y), seen % len(y)
+    seen = np.unique(document * np.int64(len(hashes)) + word)
+    document, word = seen // len(hashes), seen % len(hashes)
     starts = np.cumsum(counts) - counts
-    n = counts[word]
-    gram = grams[np.repeat(starts[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
     names, number = np.unique(hashes, return_inverse=True)
-    of_word, word_documents = _log_odds(number[word], document, y, len(names))
+    sums = _documents(number[word], document, y, len(names))
+    of_word, word_documents = _log_odds(sums, y), sums.sum(axis=0)
     net.known = names[word_documents >= MIN_DOCUMENTS]
     of_word = np.where(word_documents >= MIN_DOCUMENTS, of_word, 0)
     net.p["word"][names % WORD_BINS, 0] = of_word
-    of_gram, gram_documents = _log_odds(gram, np.repeat(document, n), y, GRAM_BINS)
+    sums = np.zeros((2, GRAM_BINS), np.int64)
+    for first in range(0, len(y), 256):  # some documents at a time: n-grams are many
+        part = slice(*np.searchsorted(document, [first, first + 256]))
+        n = counts[word[part]]
+        at_gram = np.repeat(starts[word[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sums += _documents(grams[at_gram], np.repeat(document[part], n), y, GRAM_BINS)
+    of_gram, gram_documents = _log_odds(sums, y), sums.sum(axis=0)
     net.p["gram"][:, 0] = of_gram
     net.p["gram"][gram_documents < MIN_DOCUMENTS] = 0
     means = np.zeros(len(hashes), np.float32)
@@ -372,14 +379,17 @@ def _set_log_odds(net, inputs, at, lengths, owner, y) -> np.ndarray:
     return of_word[number] + means
 
 
-def _log_odds(found, of, y, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log odds by documents, and the number of documents, of each feature."""
+def _documents(found, of, y, size: int) -> np.ndarray:
+    """(2, size): documents of label 0 and 1 that have each feature."""
     pairs = np.unique(found * np.int64(len(y)) + of)
     found, of = pairs // len(y), pairs % len(y)
+    return np.stack([np.bincount(found[y[of] == k], minlength=size) for k in (0, 1)])
+
+
+def _log_odds(sums: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of documents of label 1, each label weighing the same."""
     total = np.bincount(y.astype(int), minlength=2)
-    toxic, clean = (np.bincount(found[y[of] == k], minlength=size) for k in (1, 0))
-    odds = np.log((toxic + 1) / (clean * total[1] / total[0] + 1))
-    return odds.astype(np.float32), toxic + clean
+    return np.log((sums[1] + 1) / (sums[0] * total[1] / total[0] + 1)).astype(np.float32)
 
 
 def _chosen(net, inputs, at, lengths, owner, key: np.ndarray | None) -> np.ndarray:
