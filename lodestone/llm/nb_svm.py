@@ -92,11 +92,11 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, rounds: int = 20) -> Model:
     """Dual coordinate descent on the scaled, length-normed indicators.
 
-    Labels of one kind only give a model that says so everywhere; none at all 0.5.
+    Labels of one kind only give a model that says so everywhere; without any, all is good.
     """
     labels = np.asarray(labels, np.int64)
     if len(set(labels.tolist())) < 2:
-        offset = 0.0 if not len(labels) else 4.0 * (2 * int(labels[0]) - 1)
+        offset = 4.0 * (2 * int(labels.min(initial=1)) - 1)
         return Model(np.zeros(FEATURES), 0.0, 1.0, offset)
     ratio = log_count_ratio(rows, labels)
     y = 2.0 * labels - 1

@@ -542,7 +542,9 @@ def join_sets(docs: DataFrame) -> DataFrame:
         "first", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("first", "doc_id"))
     )
     return placed.join(roots.withColumnRenamed("node", "first"), "first", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "first").alias("component_id")
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "first")).alias("component_id"),
     )
 
 

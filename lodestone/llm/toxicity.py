@@ -266,13 +266,13 @@ def train(
     Both labels weigh the same in training. Few documents are gone through more
     often, in smaller batches. Every ``CALIBRATE``-th document is left out, and on
     these the scores are made probabilities, given the ``prevalence`` of label 1.
-    With labels of one kind only, the bias alone is set.
+    With labels of one kind only, the bias alone is set; without any, all is clean.
     """
     net = Network()
     labels = sample.labels
     if len(set(labels.tolist())) < 2:
         net.p["out"][:] = 0
-        net.p["bias"][:] = 0.0 if not len(labels) else 4.0 * (2 * int(labels[0]) - 1)
+        net.p["bias"][:] = 4.0 * (2 * int(labels.max(initial=0)) - 1)
         return net
     inputs = word_inputs(sample.words)
     aside = sample.owner % CALIBRATE == CALIBRATE - 1
