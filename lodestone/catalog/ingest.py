@@ -301,25 +301,21 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "corpus_fingerprint",
-    f"""SELECT sha256('total:' || count(*) || chr(10) || 'selected:' || count(*) || chr(10)
-          || string_agg(line || chr(10), '' ORDER BY block)) AS fingerprint,
-          sum(n)::BIGINT AS chunks
-        FROM (SELECT block, sha256(string_agg(line || chr(10), '' ORDER BY pos)) AS line,
-              count(*) AS n
-          FROM (SELECT pos // 256 AS block, pos, doc_id || ':' || sha256(text) AS line
-            FROM (SELECT doc_id, text, row_number() OVER (ORDER BY source || '/' || {_KEY}) - 1
-              AS pos FROM documents))
-          GROUP BY block)""".replace(
-        "'total:' || count(*) || chr(10) || 'selected:' || count(*)",
-        "'total:' || sum(n)::BIGINT || chr(10) || 'selected:' || sum(n)::BIGINT",
-    ),
+    f"""WITH lines AS (SELECT sha256(source || '/' || {_KEY} || ':0:' || doc_id || ':'
+              || sha256(text)) AS line FROM documents),
+        words AS (SELECT i, sum(('0x' || line[8 * i + 1:8 * i + 8])::BIGINT) % 4294967296 AS word
+          FROM lines, range(0, 8) r(i) GROUP BY i)
+        SELECT sha256('total:' || n || chr(10) || 'selected:' || n || chr(10)
+            || (SELECT string_agg(word::BIGINT::VARCHAR, ',' ORDER BY i) FROM words)) AS fingerprint,
+          n AS chunks
+        FROM (SELECT count(*) AS n FROM lines)""",
 )
 def corpus_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """Fingerprint of all documents in path order, over blocks of 256 lines."""
+    """Fingerprint of all documents as one corpus."""
     rows = frames.documents(spark, folder).select(
         F.col("doc_id").alias("chunk_id"), "display_path", F.lit(0).alias("ordinal"), "content_hash"
     )
-    return corpus.corpus_fingerprint(rows, 256).select("fingerprint", big("chunks"))
+    return corpus.corpus_fingerprint(rows).select("fingerprint", big("chunks"))
 
 
 @query(

@@ -285,7 +285,7 @@ def scoped_search(spark: SparkSession, folder: str) -> DataFrame:
         F.when(size % 3 == 0, F.array(F.lit("TOXIC"))).alias("tags"),
     )
     # The path filter starts at the folder: a leading "./" is dropped.
-    filters = filters.withColumn("path", F.concat(F.lit("\\"), F.substring("path", 3, 99)))
+    filters = filters.withColumn("path", F.expr("concat('\\\\', substring(path, 3))"))
     requests = materialize(read_requests(filters, CONFIG), "requests")
     index = frames.full_index(spark, folder)
     scopes = [

@@ -85,7 +85,7 @@ def _packed(limit: int) -> dict[str, str]:
             FROM walk JOIN lines USING (doc_id, n) WHERE NOT cut GROUP BY doc_id, start
             UNION ALL
             SELECT doc_id, n, n, part, line[part * {limit} + 1:(part + 1) * {limit}]
-            FROM lines, range(0, 1000) p(part)
+            FROM lines, unnest(range(0, size // {limit} + 1)) p(part)
             WHERE size > {limit} AND part * {limit} < size""",
     }
 
@@ -205,7 +205,7 @@ def heading_path(spark: SparkSession, folder: str) -> DataFrame:
             GROUP BY conv_id, turn, start
             UNION ALL
             SELECT conv_id, turn, p, p, part, line[part * {PACK_CHARS} + 1:(part + 1) * {PACK_CHARS}]
-            FROM lines, range(0, 1000) s(part)
+            FROM lines, unnest(range(0, size // {PACK_CHARS} + 1)) s(part)
             WHERE size > {PACK_CHARS} AND part * {PACK_CHARS} < size""",
         numbered="""SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY start, part)
               AS place FROM raw""",

@@ -14,7 +14,7 @@ from lodestone.errors import NavigationError
 from lodestone.operators.fusion import rank_results
 from lodestone.plans import indexing
 from lodestone.plans.search import diagnostics
-from lodestone.session import local_session
+from lodestone.session import local_session, name_scratch
 
 
 def search_rows(
@@ -57,6 +57,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     except SystemExit as stop:
         return int(stop.code or 0)
     spark = spark or local_session()
+    name_scratch(spark)
     try:
         if chosen.command in ("init", "update"):
             step = indexing.initialize if chosen.command == "init" else indexing.update

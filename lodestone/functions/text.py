@@ -188,7 +188,8 @@ def display_heading(file_name: Column, heading: Column) -> Column:
         lambda part, i: (i == 0) | (F.get(titles, i) != F.get(titles, i - 1)),
     )
     stem = plain_title(F.regexp_replace(file_name, r"\.[^.]+$", ""))
-    names_file = F.endswith(plain_title(F.get(unique, F.lit(0))), stem)
+    first = F.get(unique, F.lit(0))
+    names_file = (first != "") & F.endswith(plain_title(first), stem)
     rest = F.slice(unique, F.lit(2), F.greatest(F.size(unique) - 1, F.lit(0)))
     return F.when((F.size(unique) > 0) & names_file, rest).otherwise(unique)
 

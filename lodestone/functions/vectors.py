@@ -28,10 +28,6 @@ def normalized(vector: Column) -> Column:
     return F.when(usable, F.transform(vector, lambda x: x / length))
 
 
-def cosine_similarity(left: Column, right: Column) -> Column:
-    return dot(left, right) / (norm(left) * norm(right))
-
-
 def truncated(vector: Column, dimension: int) -> Column:
     """Leading part of a vector, brought back to unit length."""
     return F.when(F.size(vector) >= dimension, normalized(F.slice(vector, 1, dimension)))

@@ -42,13 +42,6 @@ def apply_changes(stored: DataFrame, discovered: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def prune_sources(rows: DataFrame, collection: str, source_ids: Sequence[str]) -> DataFrame:
-    """Drop a collection's rows of sources that are no longer configured."""
-    here = F.col("collection_id") == collection
-    listed = F.col("source_id").isin(list(source_ids)) if source_ids else F.lit(False)
-    return rows.filter(~here | listed)
-
-
 def keep_listed_sources(rows: DataFrame, configured: DataFrame) -> DataFrame:
     """The same with the configured ``collection_id, source_id`` as a frame."""
     return rows.join(configured, ["collection_id", "source_id"], "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.vectors import NORM_TOLERANCE, all_finite, as_doubles, norm
 from lodestone.operators.ranking import global_position
 
-FINGERPRINT_BLOCK = 4096
+FINGERPRINT_WORDS = 8
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -20,32 +20,27 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def corpus_fingerprint(chunks: DataFrame, block: int = FINGERPRINT_BLOCK) -> DataFrame:
-    """SHA-256 over the ordered ``chunk_id:content_hash`` lines of a corpus.
+def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
+    """SHA-256 over what the lines of a corpus add up to.
 
-    Lines are hashed in blocks of bounded size and the block hashes again, so
-    no task sees the whole corpus.  Up to one block this is the plain hash of
-    header and lines.
+    A line names a chunk's place, id and content hash, so the set of lines fixes
+    their order. The 32-bit words of the lines' hashes are summed, each modulo
+    2^32: one definition for every size, and sums that tasks share.
     """
-    order = ["display_path", "ordinal", "chunk_id"]
-    placed = global_position(chunks.select(*order, "content_hash"), order, "position", "lines")
-    total = placed.count()
-    line = F.concat_ws(":", F.col("chunk_id").cast("string"), "content_hash")
-    lines = placed.select("position", line.alias("line"))
-    size = total
-    while size > block:
-        grouped = lines.groupBy(F.expr(f"position div {block}").alias("position"))
-        lines = grouped.agg(F.sha2(_joined(), 256).alias("line"))
-        size = -(-size // block)
-    header = f"total:{total}\nselected:{total}\n"
-    whole = F.concat(F.lit(header), F.coalesce(_joined(), F.lit("")))
-    return lines.agg(F.sha2(whole, 256).alias("fingerprint"), F.lit(total).alias("chunks"))
-
-
-def _joined():
-    """The lines of one block in order, each ended by a line feed."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "line")))
-    return F.array_join(F.transform(ordered, lambda row: F.concat(row["line"], F.lit("\n"))), "")
+    key = ["display_path", "ordinal", "chunk_id", "content_hash"]
+    line = F.sha2(F.concat_ws(":", *[F.col(name).cast("string") for name in key]), 256)
+    words = [
+        F.conv(F.substring(line, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(FINGERPRINT_WORDS)
+    ]
+    folded = [F.sum(w.cast("decimal(28,0)")) % (1 << 32) for w in words]
+    summed = chunks.agg(
+        F.count("*").alias("chunks"),
+        *[F.coalesce(w, F.lit(0)).cast("bigint").alias(f"w{i}") for i, w in enumerate(folded)],
+    )
+    total = F.col("chunks").cast("string")
+    header = F.concat(F.lit("total:"), total, F.lit("\nselected:"), total, F.lit("\n"))
+    sums = F.concat_ws(",", *[F.col(f"w{i}").cast("string") for i in range(FINGERPRINT_WORDS)])
+    return summed.select(F.sha2(F.concat(header, sums), 256).alias("fingerprint"), "chunks")
 
 
 def vector_problems(vectors: DataFrame, dimension: int, column: str = "embedding") -> DataFrame:

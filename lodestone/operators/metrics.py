@@ -176,7 +176,17 @@ def route_coverage(vector: DataFrame, keyword: DataFrame, hybrid: DataFrame) ->
         hit = F.coalesce(F.col("expected_rank") <= DEPTH, F.lit(False))
         return observed.select("case_id", hit.alias(name))
 
-    joined = hits(vector, "v").join(hits(keyword, "k"), "case_id").join(hits(hybrid, "h"), "case_id")
+    # Every route must have observed the same cases.
+    joined = (
+        hits(vector, "v")
+        .join(hits(keyword, "k"), "case_id", "full_outer")
+        .join(hits(hybrid, "h"), "case_id", "full_outer")
+    )
+    problem = F.concat(F.lit("Routes are not aligned at case "), F.col("case_id").cast("string"))
+    aligned = F.col("v").isNotNull() & F.col("k").isNotNull() & F.col("h").isNotNull()
+    joined = joined.withColumn(
+        "v", F.when(aligned, F.col("v")).otherwise(F.raise_error(problem).cast("boolean"))
+    )
     union = F.col("v") | F.col("k")
     retained = F.count_if(union & F.col("h"))
     return joined.agg(

@@ -35,6 +35,12 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    if vectors.map(len).nunique() > 1:
+        raise NavigationError("EMBEDDING_DIMENSION_MISMATCH", "Vectors differ in dimension.")
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
 class _Best:
     """Running best ``k`` per query over the batches of one task."""
 
@@ -152,12 +158,12 @@ def _cogroup(passages: DataFrame, queries: DataFrame, k: int, scoped: bool) -> D
         if rows.empty or asked.empty:
             return _Best(np.array([]), np.array([]), np.zeros((0, 1)), k).result()
         scopes = asked["scope"].to_numpy()
-        keeper = _Best(asked["qid"].to_numpy(), scopes, np.stack(asked["vector"]).astype(float), k)
+        keeper = _Best(asked["qid"].to_numpy(), scopes, _stacked(asked["vector"]), k)
         allowed = None
         if scoped:
             allowed = _allowed(pa.array(rows["scopes"].tolist()), int(scopes.max()) + 1)
-        matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        keeper.add(rows[["chunk_id", "display_path", "start_line"]], matrix, allowed)
+        places = rows[["chunk_id", "display_path", "start_line"]]
+        keeper.add(places, _stacked(rows["embedding"]), allowed)
         return keeper.result()
 
     keys = [F.col("block").cast("bigint"), F.col("bucket").cast("bigint")]

@@ -12,8 +12,8 @@ from lodestone.session import materialize
 _ROW_BITS = 33
 
 
-# From this many shuffle partitions on, hot groups are cut in slices first.
-WIDE = 256
+# From this many shuffle partitions on, hot groups are cut in slices first; ranks stay the same.
+WIDE = 32
 
 
 def salt_when_wide(df: DataFrame, key: str) -> Column | None:

@@ -21,6 +21,9 @@ PRODUCT_SUITE = (
     f"path:string,expected:{_PLACES}>>"
 )
 
+#: Broken rules that an error spells out; it counts the others.
+SHOWN = 20
+
 
 def read_suite(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUITE).json(path, multiLine=True)
@@ -95,8 +98,11 @@ def suite_problems(suites: DataFrame) -> DataFrame:
 
 
 def checked_cases(suites: DataFrame) -> DataFrame:
-    problems = suite_problems(suites).limit(5).collect()
-    if problems:
-        listed = "; ".join(f"{row.intent_id}: {row.problem}" for row in problems)
+    broken = suite_problems(suites)
+    total = broken.count()
+    if total:
+        first = broken.orderBy("intent_id", "problem").limit(SHOWN).collect()
+        listed = "; ".join(f"{row.intent_id}: {row.problem}" for row in first)
+        listed += f"; and {total - SHOWN} more" if total > SHOWN else ""
         raise NavigationError("INVALID_CONFIG", listed)
     return flat_cases(suites)

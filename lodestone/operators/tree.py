@@ -80,9 +80,15 @@ def tree_nodes(results: DataFrame, group: str = "qid") -> DataFrame:
 
 
 def natural_key(label: Column) -> Column:
-    """Label with its numbers widened, so that ``2`` sorts before ``10``."""
-    wide = F.regexp_replace(label, r"(\d+)", "000000000000000000$1")
-    return F.regexp_replace(wide, r"0*(\d{18})(?!\d)", "$1")
+    """Label with each number led by its length, so that ``2`` sorts before ``10``."""
+    parts = F.regexp_extract_all(label, F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def led(part: Column) -> Column:
+        plain = F.regexp_replace(part, r"^0+(?=\d)", "")
+        length = F.lpad(F.length(plain).cast("string"), 10, "0")  # of any string's length
+        return F.when(part.rlike(r"^\d"), F.concat(length, plain)).otherwise(part)
+
+    return F.array_join(F.transform(parts, led), "")
 
 
 def ordered_nodes(nodes: DataFrame, group: str = "qid") -> DataFrame:

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.errors import NavigationError
 from lodestone.operators import metrics
 from lodestone.operators.fusion import rank_results
 from lodestone.operators.suites import read_product_suite
@@ -50,6 +51,8 @@ def run_quality(
     cases = read_product_suite(spark, suite)
     # A suite is a hand-written file; its cases become one request batch.
     listed = cases.orderBy("case_id").collect()
+    if not listed:
+        raise NavigationError("INVALID_CONFIG", "The suite has no cases.")
     requests = [
         {
             "query": case.query,
@@ -67,6 +70,8 @@ def run_quality(
     def once() -> DataFrame:
         passes = search_project(spark, root, requests, factory)
         ranked = [rank_results(routes.candidates) for routes in passes]
+        if not ranked:
+            raise NavigationError("PROJECT_NOT_INITIALIZED", "Nothing is indexed, so nothing can be judged.")
         found = reduce(DataFrame.unionByName, ranked).withColumn("score", F.round("score", 4))
         return materialize(found.join(names, "qid"), "run")
 

@@ -72,13 +72,17 @@ def prepare_chunks(
 
 def _check_vectors(chunks: DataFrame, store: IndexStore) -> int | None:
     """Common dimension of new vectors; an error when it differs anywhere."""
-    sizes = [r.d for r in chunks.select(F.size("embedding").alias("d")).distinct().limit(3).collect()]
+    size = F.size("embedding")
+    found = chunks.agg(
+        F.min(size).alias("low"), F.max(size).alias("high"), F.countDistinct(size).alias("n")
+    ).first()
     known = store.manifest["metadata"].get("embedding_dimension")
-    if len(sizes) > 1 or (sizes and known and int(known) != sizes[0]):
+    if found.n > 1 or (found.n and known and int(known) != found.low):
         raise NavigationError(
-            "EMBEDDING_DIMENSION_MISMATCH", f"Expected {known or 'one'} dimension, got {sizes}."
+            "EMBEDDING_DIMENSION_MISMATCH",
+            f"Expected {known or 'one'} dimension, got {found.n} from {found.low} to {found.high}.",
         )
-    return sizes[0] if sizes else None
+    return found.low
 
 
 def _counts(store: IndexStore) -> tuple[int, int]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.errors import NavigationError
 
@@ -32,20 +33,24 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the session names.
-
-    A machine-local folder is made up only for a local master that names none.
-    """
+    """Shared folder for intermediate tables: the one the session names."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise NavigationError(
             "INVALID_CONFIG", "Set spark.checkpoint.dir to a folder every executor can reach."
         )
+    return named.rstrip("/")
+
+
+def name_scratch(spark: SparkSession) -> None:
+    """Give a local session that names no folder one, which goes when Python ends."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if not spark.sparkContext.master.startswith("local["):
+        scratch_root(spark)
     made = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
-    return made
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -60,12 +65,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; past the bound the planner shuffles."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal out a scan that is too small to occupy every core.
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from lodestone.session import local_session  # noqa: E402
+from lodestone.session import local_session, name_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -19,4 +19,5 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    name_scratch(session)
     return session
