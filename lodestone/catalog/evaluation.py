@@ -147,7 +147,11 @@ def literal_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 def _run(spark: SparkSession, folder: str, probed: Probed) -> Routes:
     (routes,) = route_batch(
-        frames.full_index(spark, folder), probed.requests, CONFIG, keep_routes=True
+        frames.full_index(spark, folder),
+        probed.requests,
+        CONFIG,
+        keep_routes=True,
+        inverted=frames.inverted(spark, folder),
     )
     return routes
 
@@ -383,7 +387,7 @@ def _observations(spark: SparkSession, folder: str) -> DataFrame:
     asked = frames.requests(spark, folder).withColumn("top", F.lit(5))
     runs = [
         materialize(
-            search(index, asked, CONFIG)
+            search(index, asked, CONFIG, inverted=frames.inverted(spark, folder))
             .withColumnRenamed("qid", "case_id")
             .withColumn("score", F.round("score", 4)),
             "run",
@@ -479,6 +483,7 @@ def eval_gate(spark: SparkSession, folder: str) -> DataFrame:
 def location_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Passage ids of the hybrid results, found again by path and lines."""
     index = frames.full_index(spark, folder)
-    results = search(index, frames.requests(spark, folder), CONFIG).drop("chunk_id")
+    asked, inverted = frames.requests(spark, folder), frames.inverted(spark, folder)
+    results = search(index, asked, CONFIG, inverted=inverted).drop("chunk_id")
     found = located(results, index)
     return found.select("qid", big("rank"), "chunk_id", "display_path")

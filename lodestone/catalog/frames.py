@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.lexicon import with_lexical_columns
+from lodestone.operators.postings import Inverted, invert
 from lodestone.session import materialize, spread
 
 COLLECTION = "main"
@@ -76,15 +78,38 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, folder: str, name: str, build: Callable[[], object]):
+    """What ``build`` makes, once for a session and folder: indexes are written, then probed."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def lexical_index(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(with_lexical_columns(passages(spark, folder)), "index")
+    rows = passages(spark, folder)
+    return _once(
+        spark, folder, "lexical", lambda: materialize(with_lexical_columns(rows), "index")
+    )
+
+
+def inverted(spark: SparkSession, folder: str) -> Inverted:
+    """The stored inverted index of all documents."""
+    return _once(spark, folder, "inverted", lambda: invert(lexical_index(spark, folder)))
 
 
 def full_index(spark: SparkSession, folder: str) -> DataFrame:
     """Passages with lexical columns, tags and, where there is one, a vector."""
+    return _once(spark, folder, "full", lambda: _full_index(spark, folder))
+
+
+def _full_index(spark: SparkSession, folder: str) -> DataFrame:
     known = table(spark, folder, "embeddings")
     marks = table(spark, folder, "labels")
-    rows = passages(spark, folder)
+    rows = lexical_index(spark, folder)
     rows = rows.join(known, rows.chunk_id == known.vec_id, "left").drop("vec_id", "label")
     rows = rows.join(marks, rows.chunk_id == marks.doc_id, "left").drop("doc_id")
     tags = F.array_compact(
@@ -93,4 +118,4 @@ def full_index(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     rows = rows.withColumn("document_tags", tags).drop("quality", "toxic")
-    return materialize(with_lexical_columns(rows), "index")
+    return materialize(rows, "full-index")

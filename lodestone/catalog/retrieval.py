@@ -39,13 +39,15 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 
 def _routes(spark: SparkSession, folder: str, keep: bool = False) -> Routes:
     index = frames.full_index(spark, folder)
-    (routes,) = route_batch(index, frames.requests(spark, folder), CONFIG, keep_routes=keep)
+    asked, inverted = frames.requests(spark, folder), frames.inverted(spark, folder)
+    (routes,) = route_batch(index, asked, CONFIG, keep_routes=keep, inverted=inverted)
     return routes
 
 
 def _results(spark: SparkSession, folder: str, snippets: bool = False) -> DataFrame:
     index = frames.full_index(spark, folder)
-    return search(index, frames.requests(spark, folder), CONFIG, snippets)
+    asked, inverted = frames.requests(spark, folder), frames.inverted(spark, folder)
+    return search(index, asked, CONFIG, snippets, inverted)
 
 
 @query(
@@ -101,11 +103,11 @@ def rank_locations(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Passage frequency of every phrase of the request batch."""
-    index = frames.lexical_index(spark, folder)
+    inverted = frames.inverted(spark, folder)
     phrases = postings.query_phrases(_requests(spark, folder))
     numbered = postings.number_phrases(phrases)
-    totals = postings.index_totals(index)
-    frequency = postings.phrase_frequency(index, numbered)
+    totals = inverted.totals
+    frequency = postings.phrase_frequency(postings.phrase_hits(inverted, numbered))
     n = totals.select("n").scalar()
     return frequency.join(numbered.sized(numbered.dictionary), "phrase_id").select(
         "phrase",
@@ -123,9 +125,8 @@ def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
-    index = frames.lexical_index(spark, folder)
     phrases = postings.query_phrases(_requests(spark, folder))
-    found = postings.best_keywords(index, phrases, 100)
+    found = postings.best_keywords(frames.inverted(spark, folder), phrases, 100)
     return found.select("qid", "chunk_id", big("keyword_rank"), r6("score").alias("score"))
 
 
@@ -158,7 +159,7 @@ def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
         F.size("tokens").alias("words"),
     )
     numbered = postings.number_phrases(compound.distinct())
-    hits = postings.phrase_hits(index, numbered)
+    hits = postings.phrase_hits(frames.inverted(spark, folder), numbered)
     per_phrase = hits.groupBy("phrase_id").agg(
         F.count("*").alias("passages"), F.sum("hits").alias("hits")
     )
@@ -298,7 +299,8 @@ def scoped_search(spark: SparkSession, folder: str) -> DataFrame:
         numbered, scoped = number_scopes(requests, index, some)
         numbered = numbered.filter(F.col("scope").isNotNull())
         phrases = postings.query_phrases(numbered).join(numbered.select("qid", "scope"), "qid")
-        part = postings.best_keywords(scoped, phrases, 20)
+        allowed = scoped.select("chunk_id", "scopes")
+        part = postings.best_keywords(frames.inverted(spark, folder), phrases, 20, allowed)
         found = part if found is None else found.unionByName(part)
     return found.select("qid", "chunk_id", big("keyword_rank"), r6("score").alias("score"))
 

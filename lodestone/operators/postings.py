@@ -1,8 +1,9 @@
-"""Weighted BM25 over the two indexed columns of every passage.
+"""Weighted BM25 over a stored inverted index of two columns.
 
-A query term is a phrase of one or more index tokens.  Phrases are matched by
-an equality join on their text, so that any number of passages can be probed
-without scanning queries per passage.
+The index has one row per token and passage with the token's places in both
+columns, and is written once.  A query term is a phrase of one or more tokens:
+its tokens are looked up by an equality join, and of a phrase the shifted
+places that all its tokens share are counted.  A search never reads passages.
 """
 
 from __future__ import annotations
@@ -33,29 +34,49 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return phrases.groupBy("qid", "phrase", "words").agg(F.count("*").alias("times"))
 
 
-def _runs(tokens: Column, words: int) -> Column:
-    """All runs of ``words`` adjacent tokens, as text."""
-    if words == 1:
-        return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - words + 1)
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(words)), " "))
-    return F.when(F.size(tokens) >= words, runs).otherwise(F.array().cast("array<string>"))
-
-
-def occurrences(passages: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
-    """Every token run of the given lengths with the weight of its column."""
-    columns = F.array(
-        *[
-            F.struct(F.lit(weight).alias("weight"), _runs(F.col(name), words).alias("runs"))
-            for words in lengths
-            for name, weight in (
-                ("heading_tokens", HEADING_WEIGHT),
-                ("content_tokens", CONTENT_WEIGHT),
-            )
-        ]
+PLACE = ("chunk_id", "doc_len", "display_path", "start_line")
+POSTINGS = (
+    "token string, chunk_id bigint, doc_len int, display_path string, start_line int, "
+    "heading_at array<int>, content_at array<int>"
+)
+
+
+def postings_of(passages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``POSTINGS`` and ``keep`` of every passage, sorted by token within a task.
+
+    Rows are spread by token and passage, so a token of every passage is hot in
+    no task.
+    """
+    sides = F.array(
+        F.struct(F.lit(True).alias("title"), F.col("heading_tokens").alias("tokens")),
+        F.struct(F.lit(False).alias("title"), F.col("content_tokens").alias("tokens")),
     )
-    per_column = passages.select(*keep, F.explode(columns).alias("c"))
-    return per_column.select(*keep, "c.weight", F.explode("c.runs").alias("phrase"))
+    place = [*keep, *PLACE]
+    per_side = passages.select(*place, F.explode(sides).alias("s")).select(*place, "s.*")
+    found = per_side.select(*place, "title", F.posexplode("tokens").alias("at", "token"))
+
+    def places(title: bool) -> Column:
+        return F.collect_list(F.when(F.col("title") == title, F.col("at")))
+
+    grouped = found.groupBy("token", *place).agg(
+        places(True).alias("heading_at"), places(False).alias("content_at")
+    )
+    return grouped.select(
+        "token", *place, F.array_sort("heading_at").alias("heading_at"),
+        F.array_sort("content_at").alias("content_at"),
+    ).sortWithinPartitions("token")
+
+
+class Inverted(NamedTuple):
+    """Postings, and the passage count and mean length of the whole index."""
+
+    postings: DataFrame
+    totals: DataFrame
+
+
+def invert(passages: DataFrame) -> Inverted:
+    """The inverted index of a frame of passages, written to the shared folder."""
+    return Inverted(materialize(postings_of(passages), "postings"), index_totals(passages))
 
 
 class Phrases(NamedTuple):
@@ -82,20 +103,38 @@ def number_phrases(phrases: DataFrame) -> Phrases:
     return Phrases(dictionary, asked.drop("phrase"), sorted(facts.lengths) or [1], small)
 
 
-def phrase_hits(passages: DataFrame, phrases: Phrases, scoped: bool = False) -> DataFrame:
-    """Weighted hits per passage and phrase; all rows of a passage stay together.
-
-    Partitioning by ``chunk_id`` alone serves this grouping and the later one
-    by query and passage, so matched rows are shuffled once.
-    """
-    keep = ["chunk_id", "doc_len"] + (["scopes"] if scoped else [])
-    names = phrases.sized(phrases.dictionary.select("phrase", "phrase_id"))
-    found = occurrences(passages, phrases.lengths, keep).join(names, "phrase").drop("phrase")
-    return (
-        found.repartition("chunk_id")
-        .groupBy(*keep, "phrase_id")
-        .agg(F.sum("weight").alias("hits"))
+def phrase_hits(inverted: Inverted, phrases: Phrases) -> DataFrame:
+    """``phrase_id``, passage and weighted ``hits`` of every match in the index."""
+    tokens = phrases.dictionary.select(
+        "phrase_id", "words", F.posexplode(F.split("phrase", " ")).alias("at", "token")
+    )
+    found = inverted.postings.join(phrases.sized(tokens), "token")
+    hits = HEADING_WEIGHT * F.size("heading_at") + CONTENT_WEIGHT * F.size("content_at")
+    columns = ["phrase_id", *PLACE]
+    single = found.filter(F.col("words") == 1).select(*columns, hits.alias("hits"))
+    if phrases.lengths == [1]:
+        return single
+
+    def shifted(name: str) -> Column:
+        return F.transform(name, lambda x: x - F.col("at"))
+
+    def shared(name: str) -> Column:
+        lists = F.collect_list(shifted(name))
+        rest = F.slice(lists, F.lit(2), F.greatest(F.size(lists) - 1, F.lit(0)))
+        return F.aggregate(rest, F.get(lists, F.lit(0)), F.array_intersect)
+
+    several = (
+        found.filter(F.col("words") > 1)
+        .groupBy(*columns, "words")
+        .agg(
+            F.count("*").alias("n"),
+            shared("heading_at").alias("heading_at"),
+            shared("content_at").alias("content_at"),
+        )
+        .filter(F.col("n") == F.col("words"))
+        .select(*columns, hits.alias("hits"))
     )
+    return single.unionByName(several.filter("hits > 0"))
 
 
 def inverse_frequency(n: Column, total: Column) -> Column:
@@ -107,19 +146,9 @@ def contribution(idf: Column, hits: Column, length: Column, average: Column) ->
     return idf * hits * (K1 + 1) / (hits + K1 * (1 - B + B * length / average))
 
 
-def phrase_frequency(passages: DataFrame, phrases: Phrases) -> DataFrame:
-    """Number of passages per phrase, over the whole index.
-
-    Repeats are dropped inside each passage, so this is a count per phrase
-    that combines before its shuffle and needs none of the hits.
-    """
-    runs = [
-        F.array_union(_runs(F.col("heading_tokens"), words), _runs(F.col("content_tokens"), words))
-        for words in phrases.lengths
-    ]
-    names = phrases.sized(phrases.dictionary.select("phrase", "phrase_id"))
-    present = passages.select(F.explode(F.flatten(F.array(*runs))).alias("phrase"))
-    return present.join(names, "phrase").groupBy("phrase_id").agg(F.count("*").alias("df"))
+def phrase_frequency(hits: DataFrame) -> DataFrame:
+    """Number of passages per phrase, over the whole index."""
+    return hits.groupBy("phrase_id").agg(F.count("*").alias("df"))
 
 
 def index_totals(passages: DataFrame) -> DataFrame:
@@ -128,18 +157,19 @@ def index_totals(passages: DataFrame) -> DataFrame:
     return counted.select("n", (F.col("tokens") / F.col("n")).alias("average"))
 
 
-def keyword_scores(passages: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``qid, chunk_id, score`` of every match; lower is better.
+def keyword_scores(
+    inverted: Inverted, phrases: DataFrame, allowed: DataFrame | None = None
+) -> DataFrame:
+    """``qid, chunk_id, display_path, start_line, score`` of every match; lower is better.
 
-    Frequencies, passage count and mean length come from all passages; the
-    request's filter is applied to the matches.
+    Frequencies, passage count and mean length come from the whole index. With
+    ``allowed`` (``chunk_id, scopes``) a match must be in its request's ``scope``.
     """
-    scoped = "scopes" in passages.columns and "scope" in phrases.columns
     numbered = number_phrases(phrases)
-    totals = index_totals(passages)
+    totals = inverted.totals
     total, average = totals.select("n").scalar(), totals.select("average").scalar()
-    hits = phrase_hits(passages, numbered, scoped)
-    idf = phrase_frequency(passages, numbered).select(
+    hits = materialize(phrase_hits(inverted, numbered), "phrase-hits")
+    idf = phrase_frequency(hits).select(
         "phrase_id", inverse_frequency(F.col("df"), total).alias("idf")
     )
     part = contribution(F.col("idf"), F.col("hits"), F.col("doc_len"), average)
@@ -147,16 +177,22 @@ def keyword_scores(passages: DataFrame, phrases: DataFrame) -> DataFrame:
         "units", F.round(part * UNIT).cast("bigint")
     )
     matched = weighed.join(numbered.sized(numbered.asked), "phrase_id")
-    if scoped:
-        matched = matched.filter(F.array_contains("scopes", F.col("scope")))
+    key = ["qid", "chunk_id", "display_path", "start_line"]
+    if allowed is not None:
+        key.append("scope")
     units = F.sum(F.col("units") * F.col("times"))
-    return matched.groupBy("qid", "chunk_id").agg((-units / UNIT).alias("score"))
+    scored = matched.groupBy(*key).agg((-units / UNIT).alias("score"))
+    if allowed is None:
+        return scored
+    kept = scored.join(allowed, "chunk_id").filter(F.array_contains("scopes", F.col("scope")))
+    return kept.drop("scope", "scopes")
 
 
-def best_keywords(passages: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
+def best_keywords(
+    inverted: Inverted, phrases: DataFrame, k: int, allowed: DataFrame | None = None
+) -> DataFrame:
     """Best ``k`` passages per query: ``qid, chunk_id, …, score, keyword_rank``."""
-    places = passages.select("chunk_id", "display_path", "start_line")
-    scored = keyword_scores(passages, phrases).join(places, "chunk_id")
+    scored = keyword_scores(inverted, phrases, allowed)
     order = [F.col(name) for name in ("score", "display_path", "start_line", "chunk_id")]
     salt = salt_when_wide(scored, "chunk_id")
     return top_k(scored, ["qid"], order, k, rank="keyword_rank", salt=salt)

@@ -16,6 +16,7 @@ from lodestone.functions.text import mask_block
 from lodestone.operators.changes import KEY, change_set
 from lodestone.operators.chunking import chunk_documents
 from lodestone.operators.lexicon import with_lexical_columns
+from lodestone.operators.postings import postings_of
 from lodestone.operators.ranking import global_position
 from lodestone.operators.scopes import clean_tags
 from lodestone.plans.search import check_request, requests_frame, route_batch
@@ -138,6 +139,7 @@ def index_documents(
         .unionByName(documents),
         "chunks": store.table("chunks", touched).join(moved, KEY, "left_anti").unionByName(chunks),
     }
+    frames["postings"] = postings_of(frames["chunks"], ("source_id", "document_key"))
     sources = [asdict(source) for source in config.sources]
     store.commit(frames, touched, metadata, sources, chunks.count())
     return Summary(**counts, **dict(zip(("documents", "chunks"), _counts(store), strict=True)))
@@ -223,4 +225,11 @@ def search_project(
     asked = asked.withColumn(
         "vector", embed_column(factory, config.embedding, F.col("query"), prefix)
     )
-    return route_batch(store.passages(), asked, config.search, snippets, keep_routes=True)
+    return route_batch(
+        store.passages(),
+        asked,
+        config.search,
+        snippets,
+        keep_routes=True,
+        inverted=store.inverted(),
+    )

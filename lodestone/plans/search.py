@@ -14,7 +14,6 @@ from lodestone.errors import NavigationError
 from lodestone.functions import text
 from lodestone.functions.scoring import total_weight
 from lodestone.operators.fusion import (
-    CANDIDATE_CAP,
     candidate_limit,
     fuse_routes,
     rank_results,
@@ -23,9 +22,9 @@ from lodestone.operators.fusion import (
     with_text_evidence,
 )
 from lodestone.operators.nearest import nearest
-from lodestone.operators.postings import best_keywords, query_phrases
+from lodestone.operators.postings import Inverted, best_keywords, invert, query_phrases
 from lodestone.operators.scopes import distinct_scopes, number_scopes
-from lodestone.session import BROADCAST_ROWS, materialize
+from lodestone.session import materialize
 
 REQUEST = (
     "qid bigint, query string, query_parts array<string>, top int, path string, "
@@ -88,6 +87,7 @@ def read_requests(queries: DataFrame, config: SearchConfig) -> DataFrame:
 
 def _one_pass(
     passages: DataFrame,
+    inverted: Inverted,
     requests: DataFrame,
     scopes: list,
     config: SearchConfig,
@@ -97,22 +97,26 @@ def _one_pass(
     asked, scoped = number_scopes(requests, passages, scopes)
     phrases = query_phrases(asked).join(asked.select("qid", "scope"), "qid")
     limits = asked.select("qid", "candidate_limit")
-    vector = nearest(scoped, asked, CANDIDATE_CAP).join(limits, "qid")
+    most = requests.agg(F.max("candidate_limit")).first()[0] or 1
+    allowed = None if scopes in ([], [{}]) else scoped.select("chunk_id", "scopes")
+    vector = nearest(scoped, asked, most).join(limits, "qid")
     vector = vector.filter(F.col("vector_rank") <= F.col("candidate_limit"))
-    keyword = best_keywords(scoped, phrases, CANDIDATE_CAP).join(limits, "qid")
+    keyword = best_keywords(inverted, phrases, most, allowed).join(limits, "qid")
     keyword = keyword.filter(F.col("keyword_rank") <= F.col("candidate_limit"))
     if keep_routes:
         vector, keyword = materialize(vector, "vector"), materialize(keyword, "keyword")
 
-    fused = fuse_routes(vector, keyword)
-    if 2 * CANDIDATE_CAP * requests.count() <= BROADCAST_ROWS:
-        fused = F.broadcast(fused)  # a route gives a request at most the cap
+    # Written, so that the planner knows how few passages are wanted: it then
+    # sends their ids to the passages instead of the passages over the network.
+    fused = materialize(fuse_routes(vector, keyword), "fused")
+    wanted = materialize(fused.select("chunk_id").distinct(), "wanted")
     payload = passages.select(
         *("chunk_id", "display_path", "start_line", "end_line", "heading"),
         F.concat("heading_terms", "content_terms").alias("indexed_terms"),
         *([text.snippet(F.col("content")).alias("snippet")] if snippets else []),
     )
     known = asked.select("qid", "mode", "terms", "terms_weight", "part_terms", "top")
+    payload = payload.join(wanted, "chunk_id", "left_semi")
     found = payload.join(fused, "chunk_id").join(known, "qid")
     evident = with_text_evidence(found, config.candidate_pool)
     candidates = score_candidates(with_relaxation(evident), config)
@@ -125,33 +129,40 @@ def route_batch(
     config: SearchConfig,
     snippets: bool = False,
     keep_routes: bool = False,
+    inverted: Inverted | None = None,
 ) -> list[Routes]:
     """Both routes and all scored candidates; one entry per 256 filters.
 
+    ``inverted`` is the stored index of ``passages``; without it one is built.
     ``keep_routes`` writes the routes' candidates, for readers of several parts.
     """
+    inverted = inverted or invert(passages)
     requests = materialize(read_requests(queries, config), "requests")
     scopes = distinct_scopes(requests)
     if len(scopes) <= SCOPES_PER_PASS:
-        return [_one_pass(passages, requests, scopes, config, snippets, keep_routes)]
+        return [_one_pass(passages, inverted, requests, scopes, config, snippets, keep_routes)]
     passes = []
     for first in range(0, len(scopes), SCOPES_PER_PASS):
         some = scopes[first : first + SCOPES_PER_PASS]
         numbered, _ = number_scopes(requests, passages, some)
         part = numbered.filter(F.col("scope").isNotNull()).drop("scope")
-        passes.append(_one_pass(passages, part, some, config, snippets, keep_routes))
+        passes.append(_one_pass(passages, inverted, part, some, config, snippets, keep_routes))
     return passes
 
 
 def search(
-    passages: DataFrame, queries: DataFrame, config: SearchConfig, snippets: bool = False
+    passages: DataFrame,
+    queries: DataFrame,
+    config: SearchConfig,
+    snippets: bool = False,
+    inverted: Inverted | None = None,
 ) -> DataFrame:
     """Ranked results of a request batch.
 
     ``passages`` is an index frame (see ``plans.indexing``); ``queries`` needs
     ``qid`` and ``query`` and may carry the other request columns.
     """
-    passes = route_batch(passages, queries, config, snippets)
+    passes = route_batch(passages, queries, config, snippets, inverted=inverted)
     ranked = reduce(DataFrame.unionByName, [rank_results(p.candidates) for p in passes])
     return ranked.select(*RESULT_COLUMNS, *(["snippet"] if snippets else []))
 

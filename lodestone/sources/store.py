@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import NavigationError
+from lodestone.operators.postings import POSTINGS, Inverted, index_totals, postings_of
 from lodestone.sources.schema import DOCUMENTS, SCHEMA_VERSION, upgraded
 
 BUCKETS = 64
@@ -26,7 +27,10 @@ CHUNKS = (
     "embedding array<float>, heading_terms array<string>, content_terms array<string>, "
     "heading_tokens array<string>, content_tokens array<string>, doc_len int"
 )
-TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS}
+STORED_POSTINGS = "source_id string, document_key string, " + POSTINGS
+TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "postings": STORED_POSTINGS}
+# What the files of a bucket are sorted by, so that readers can skip row groups.
+SORTED_BY = {"documents": "display_path", "chunks": "display_path", "postings": "token"}
 
 
 def bucket_of(buckets: int) -> Column:
@@ -89,7 +93,7 @@ class IndexStore:
     def table(self, name: str, only: list[int] | None = None) -> DataFrame:
         """A stored table, or some of its buckets."""
         by_folder: dict[str, list[str]] = {}
-        for bucket, folder in self.manifest["parts"][name].items():
+        for bucket, folder in self.manifest["parts"].get(name, {}).items():
             if only is None or int(bucket) in only:
                 by_folder.setdefault(folder, []).append(bucket)
         frames = [
@@ -110,6 +114,12 @@ class IndexStore:
         # One row per configured source.
         return self.table("chunks").join(F.broadcast(owners), "source_id")
 
+    def inverted(self) -> Inverted | None:
+        """The stored inverted index; none in an index that an older version made."""
+        if "postings" not in self.manifest["parts"]:
+            return None
+        return Inverted(self.table("postings"), index_totals(self.table("chunks")))
+
     def commit(
         self,
         frames: dict[str, DataFrame],
@@ -124,15 +134,17 @@ class IndexStore:
         for name, frame in frames.items():
             folder = f"{name}/v{version}"
             kept = {
-                b: f for b, f in self.manifest["parts"][name].items() if int(b) not in touched
+                b: f
+                for b, f in self.manifest["parts"].get(name, {}).items()
+                if int(b) not in touched
             }
             if touched:
                 where = os.path.join(self.path, folder)
                 rows = frame.withColumn("bucket", bucket_of(self.buckets))
                 # Rebalancing gives big buckets several tasks and small ones a
-                # shared task; sorted files let readers skip row groups by path.
+                # shared task.
                 rows.hint("rebalance", "bucket").sortWithinPartitions(
-                    "bucket", "display_path"
+                    "bucket", SORTED_BY[name]
                 ).write.mode("overwrite").partitionBy("bucket").parquet(where)
                 written = self.spark.read.parquet(where).select("bucket").distinct().collect()
                 kept.update({str(row.bucket): folder for row in written})

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import search_terms
 from lodestone.operators.lexicon import with_lexical_columns
-from lodestone.operators.postings import best_keywords, keyword_scores, query_phrases
+from lodestone.operators.postings import best_keywords, invert, keyword_scores, query_phrases
 
 TEXTS = [
     ("Cold start", "gpu scheduler cold scale out gpu-warmup-42"),
@@ -41,7 +41,7 @@ def test_scores_equal_the_embedded_engine(spark, index):
         )
     asked = spark.createDataFrame(list(enumerate(QUERIES)), "qid bigint, query string")
     asked = asked.withColumn("terms", search_terms(F.col("query")))
-    found = keyword_scores(index, query_phrases(asked)).collect()
+    found = keyword_scores(invert(index), query_phrases(asked)).collect()
     ours = {(r.qid, r.chunk_id): r.score for r in found}
     theirs = {}
     for row in asked.collect():
@@ -58,17 +58,18 @@ def test_scores_equal_the_embedded_engine(spark, index):
 
 def test_equal_scores_are_ordered_by_path(spark, index):
     asked = spark.createDataFrame([(0, ["filler"])], "qid bigint, terms array<string>")
-    rows = best_keywords(index, query_phrases(asked), 5).orderBy("keyword_rank").collect()
+    rows = best_keywords(invert(index), query_phrases(asked), 5).orderBy("keyword_rank").collect()
     assert [r.keyword_rank for r in rows] == [1, 2, 3, 4, 5]
     paths = [r.display_path for r in rows]
     assert paths == sorted(f"p{i % 3}/{i}.md" for i in range(7, 16))[:5]
 
 
 def test_filter_leaves_statistics_alone(spark, index):
-    scoped = index.withColumn("scopes", F.when(F.col("chunk_id") < 3, F.array(F.lit(0))).otherwise(
-        F.array().cast("array<int>")))
+    allowed = index.select("chunk_id", F.when(F.col("chunk_id") < 3, F.array(F.lit(0))).otherwise(
+        F.array().cast("array<int>")).alias("scopes"))
     asked = spark.createDataFrame([(0, ["scale"])], "qid bigint, terms array<string>")
     phrases = query_phrases(asked)
-    plain = {r.chunk_id: r.score for r in keyword_scores(index, phrases).collect()}
-    kept = keyword_scores(scoped, phrases.withColumn("scope", F.lit(0))).collect()
+    stored = invert(index)
+    plain = {r.chunk_id: r.score for r in keyword_scores(stored, phrases).collect()}
+    kept = keyword_scores(stored, phrases.withColumn("scope", F.lit(0)), allowed).collect()
     assert {r.chunk_id: r.score for r in kept} == {k: v for k, v in plain.items() if k < 3}
