@@ -1,71 +1,59 @@
 """Plain substring search of many patterns over many texts.
 
-Each text is scanned once for all patterns with a shared automaton, instead
-of pairing every pattern with every text.
+A text that holds a pattern holds all its three-letter runs, so each pattern is
+looked up by the rarest of its runs (shorter patterns are their own run), and
+what an equality join finds is tested on the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-
-from lodestone.session import materialize
-
-PATTERNS_PER_PASS = 50_000
-
-try:
-    import ahocorasick
-except ImportError:  # the plain scan below gives the same answer
-    ahocorasick = None
-
-
-def _finder(patterns: list[tuple[int, str]]):
-    if ahocorasick is None:
-        return lambda text: sorted({number for number, word in patterns if word in text})
-    automaton = ahocorasick.Automaton()
-    owners: dict[str, list[int]] = {}
-    for number, word in patterns:
-        owners.setdefault(word, []).append(number)
-    for word, numbers in owners.items():
-        automaton.add_word(word, numbers)
-    automaton.make_automaton()
-
-    def find(text: str) -> list[int]:
-        return sorted({number for _, numbers in automaton.iter(text) for number in numbers})
 
-    return find
+from lodestone.session import materialize, spread
 
+RUN = 3
 
-def _scan(shared):
-    @pandas_udf("array<bigint>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = _finder(shared.value)
-        for batch in batches:
-            yield batch.map(lambda one: find(one) if one else [])
 
-    return scan
+def _runs(letters: Column, size: int) -> Column:
+    """The distinct runs of ``size`` letters."""
+    starts = F.sequence(F.lit(0), F.size(letters) - size)
+    found = F.transform(
+        starts, lambda i: F.concat(*[F.get(letters, i + k) for k in range(size)])
+    )
+    none = F.array().cast("array<string>")
+    return F.when(F.size(letters) >= size, F.array_distinct(found)).otherwise(none)
 
 
 def containing(texts: DataFrame, patterns: DataFrame, text: str, key: str) -> DataFrame:
-    """``pattern_id`` and ``key`` of every text containing a pattern.
+    """``pattern_id`` and ``key`` of every text containing a pattern, each pair once.
 
-    ``patterns`` holds ``pattern_id`` (whole number) and a non-empty
-    ``pattern``.  Patterns are handed to the tasks in passes of bounded size.
+    ``patterns`` holds ``pattern_id`` (whole number) and a non-empty ``pattern``;
+    ``key`` is of one text.
     """
-    spark = texts.sparkSession
     usable = patterns.filter(F.col("pattern") != "").select("pattern_id", "pattern")
     stored = materialize(usable, "patterns")
-    passes = -(-stored.count() // PATTERNS_PER_PASS)
-    shape = texts.select(F.lit(0).cast("bigint").alias("pattern_id"), key).schema
-    found = spark.createDataFrame([], shape)
-    for number in range(passes):
-        part = stored.filter(F.pmod(F.xxhash64("pattern_id"), F.lit(passes)) == number)
-        listed = [(row.pattern_id, row.pattern) for row in part.collect()]
-        shared = spark.sparkContext.broadcast(listed)
-        hits = texts.select(key, _scan(shared)(F.col(text)).alias("_hits"))
-        found = found.unionByName(hits.select(F.explode("_hits").alias("pattern_id"), key))
-    return found
+    size = F.least(F.length("pattern"), F.lit(RUN))
+    sizes = [row[0] for row in stored.select(size).distinct().collect()]  # at most RUN
+    if not sizes:
+        return texts.select(F.lit(0).cast("bigint").alias("pattern_id"), key).limit(0)
+    # Letters are a column of their own, or they would be cut anew for every run.
+    cut = stored.withColumn("letters", F.split("pattern", ""))
+    own = [F.when(size == n, _runs(F.col("letters"), n)) for n in sizes]
+    asked = cut.select("pattern_id", F.explode(F.coalesce(*own)).alias("run"))
+    asked = materialize(asked, "pattern-runs")
+    cut = spread(texts.select(key, text), key).select(key, F.split(text, "").alias("letters"))
+    runs = F.flatten(F.array(*[_runs(F.col("letters"), n) for n in sizes]))
+    held = cut.select(key, F.explode(runs).alias("run"))
+    held = materialize(held.join(asked.select("run"), "run", "left_semi"), "text-runs")
+    frequency = held.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = (
+        asked.join(frequency, "run", "left")
+        .groupBy("pattern_id")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("rarest"))
+        .filter("rarest.n > 0")
+        .select("pattern_id", "rarest.run")
+    )
+    candidates = held.join(rarest, "run").select("pattern_id", key)
+    tested = candidates.join(stored, "pattern_id").join(texts.select(key, text), key)
+    return tested.filter(F.contains(text, "pattern")).select("pattern_id", key).distinct()

@@ -70,3 +70,12 @@ def test_mixed_dimensions_are_refused(spark):
     with pytest.raises(NavigationError) as caught:
         nearest(rows, asked, 5)
     assert caught.value.code == "EMBEDDING_DIMENSION_MISMATCH"
+
+
+@pytest.mark.parametrize("block", [1, 4096])
+def test_mixed_dimensions_are_one_error_on_both_paths(spark, block):
+    rows = [(0, "a", 1, [1.0, 0.0]), (1, "b", 1, [1.0, 0.0, 0.0])]
+    passages = spark.createDataFrame(rows, SHAPE).coalesce(1)
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "qid bigint, vector array<float>")
+    with pytest.raises(Exception, match="differ in dimension"):
+        nearest(passages, asked, 2, block).collect()

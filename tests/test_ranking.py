@@ -67,15 +67,17 @@ def test_fingerprint(spark):
     frame = spark.createDataFrame(
         rows, "chunk_id bigint, display_path string, ordinal int, content_hash string"
     )
-    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
-    lines = "".join(f"{r[0]}:{r[3]}\n" for r in ordered)
-    plain = hashlib.sha256(f"total:40\nselected:40\n{lines}".encode()).hexdigest()
-    assert corpus_fingerprint(frame).first().fingerprint == plain
-    blocked = corpus_fingerprint(frame, 5).first().fingerprint
-    assert blocked != plain
-    assert corpus_fingerprint(frame.repartition(7), 5).first().fingerprint == blocked
+    hashes = [hashlib.sha256(f"{r[1]}:{r[2]}:{r[0]}:{r[3]}".encode()).digest() for r in rows]
+    words = [sum(int.from_bytes(h[4 * i : 4 * i + 4]) for h in hashes) % 2**32 for i in range(8)]
+    body = f"total:40\nselected:40\n{','.join(map(str, words))}"
+    plain = hashlib.sha256(body.encode()).hexdigest()
+    for parts in (1, 3, 17):
+        found = corpus_fingerprint(frame.repartition(parts)).first()
+        assert (found.fingerprint, found.chunks) == (plain, 40)
     other = frame.withColumn("content_hash", F.when(F.col("chunk_id") == 3, "x").otherwise(F.col("content_hash")))
-    assert corpus_fingerprint(other, 5).first().fingerprint != blocked
+    assert corpus_fingerprint(other).first().fingerprint != plain
+    empty = corpus_fingerprint(frame.limit(0)).first()
+    assert empty.chunks == 0 and empty.fingerprint
 
 
 def test_missing_location_is_an_error(spark):

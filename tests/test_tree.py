@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 from lodestone import render
-from lodestone.operators.tree import common_directory, ordered_nodes, tree_nodes
+from lodestone.operators.tree import common_directory, natural_key, ordered_nodes, tree_nodes
 
 SHAPE = (
     "qid int, display_path string, heading array<string>, start_line int, end_line int, score double"
@@ -70,3 +72,10 @@ def test_common_directory(spark):
     frame = spark.createDataFrame(rows, "qid int, display_path string")
     found = {r.qid: list(r.common) for r in common_directory(frame).collect()}
     assert found == {0: ["a", "b"], 1: [], 2: ["a", "b"]}
+
+
+def test_numbers_of_any_length_sort_by_value(spark):
+    labels = ["n2", "n10", "n12345678901234567890", "n0003", "n", "m9"]
+    frame = spark.createDataFrame([(x,) for x in labels], "label string")
+    rows = frame.orderBy(natural_key(F.col("label"))).collect()
+    assert [r.label for r in rows] == ["m9", "n", "n2", "n0003", "n10", "n12345678901234567890"]
