@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -111,7 +112,13 @@ def candidates(text: str, base: list[Span]) -> Iterator[Candidate]:
     """
     if not _DIGIT.search(text):
         return
-    taken = [(s, e) for _, s, e in base]
+    starts, ends = [], []  # of stretches that base spans cover, in order
+    for _, s, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     at = 0
     for line in text.splitlines(keepends=True):
         if _DIGIT.search(line):
@@ -129,7 +136,8 @@ def candidates(text: str, base: list[Span]) -> Iterator[Candidate]:
             last = -1
             for s, e in sorted(spans):
                 s, e = s + at, e + at
-                if s < last or any(s < y and x < e for x, y in taken):
+                covered = bisect_right(ends, s)  # the first stretch that ends behind s
+                if s < last or covered < len(starts) and starts[covered] < e:
                     continue
                 last = e
                 yield Candidate(s, e, text[s:e], text[max(0, s - 48) : s].lower(), text[e : e + 2])
