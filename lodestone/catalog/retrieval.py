@@ -21,6 +21,7 @@ from lodestone.plans.search import (
     Routes,
     diagnostics,
     read_requests,
+    request_problem,
     route_batch,
     search,
 )
@@ -378,23 +379,47 @@ def index_build(spark: SparkSession, folder: str) -> DataFrame:
     "result_json",
     q.with_ctes(
         "results",
-        """SELECT qid, rank, '{"path":"' || display_path || '","start_line":' || start_line
-             || ',"end_line":' || end_line || ',"score":' || round(score, 4)::DOUBLE
-             || ',"confidence_reason":"' || reason || '"}' AS json FROM results""",
+        r"""SELECT qid, rank, '{"path":' || to_json(display_path) || ',"heading":' || to_json([heading])
+             || ',"start_line":' || start_line || ',"end_line":' || end_line
+             || ',"score":' || round(score, 4)::DOUBLE
+             || ',"snippet":' || to_json(CASE WHEN len(flat) <= 240 THEN flat
+                  ELSE rtrim(flat[:237]) || '...' END)
+             || ',"confidence_reason":"' || reason || '"}' AS json
+            FROM (SELECT *, trim(regexp_replace(content, '\s+', ' ', 'g')) AS flat FROM results)""",
     ),
 )
 def result_json(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = _results(spark, folder)
+    ranked = _results(spark, folder, snippets=True)
     body = F.struct(
         F.col("display_path").alias("path"),
+        "heading",
         "start_line",
         "end_line",
         F.round("score", 4).alias("score"),
+        "snippet",
         F.col("reason").alias("confidence_reason"),
     )
     return ranked.select("qid", big("rank"), F.to_json(body).alias("json"))
 
 
+@query(
+    "request_check",
+    r"""SELECT item_id AS qid, CASE WHEN regexp_full_match(query, '\s*') THEN 'QUERY_EMPTY'
+          WHEN top < 1 OR top > 100 THEN 'TOP_INVALID' END AS problem
+        FROM (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN ' ' || chr(10) ELSE text END AS query,
+                CASE WHEN item_id % 5 > 0 THEN item_id % 130 - 10 END AS top FROM benchmark)""",
+)
+def request_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of every passage, some blank and some with a bad count, with the rule they break."""
+    items = frames.table(spark, folder, "benchmark")
+    asked = items.select(
+        F.col("item_id").alias("qid"),
+        F.when(F.col("item_id") % 7 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("query"),
+        F.when(F.col("item_id") % 5 > 0, F.col("item_id") % 130 - 10).alias("top"),
+    )
+    return asked.select("qid", request_problem(F.col("query"), F.col("top")).alias("problem"))
+
+
 @query(
     "result_snippets",
     q.with_ctes(

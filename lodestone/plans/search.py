@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import SearchConfig
@@ -32,6 +32,7 @@ REQUEST = (
     "vector array<float>"
 )
 SCOPES_PER_PASS = 256
+MOST_RESULTS = 100
 
 
 @dataclass(frozen=True)
@@ -47,10 +48,16 @@ class Routes:
 def check_request(query: str, top: int | None = None) -> None:
     if not query.strip():
         raise NavigationError("QUERY_EMPTY", "Search query cannot be empty.")
-    if top is not None and (not isinstance(top, int) or not 1 <= top <= 100):
+    if top is not None and (not isinstance(top, int) or not 1 <= top <= MOST_RESULTS):
         raise NavigationError("TOP_INVALID", "Result count must be a whole number from 1 to 100.")
 
 
+def request_problem(query: Column, top: Column) -> Column:
+    """Code of the rule that a request of a frame breaks, or null."""
+    blank = query.isNull() | query.rlike(r"(?U)^\s*$")
+    return F.when(blank, "QUERY_EMPTY").when((top < 1) | (top > MOST_RESULTS), "TOP_INVALID")
+
+
 def requests_frame(spark: SparkSession, requests: Iterable[dict]) -> DataFrame:
     """A request batch from plain dictionaries, checked on the driver."""
     rows = []
@@ -61,7 +68,10 @@ def requests_frame(spark: SparkSession, requests: Iterable[dict]) -> DataFrame:
 
 
 def read_requests(queries: DataFrame, config: SearchConfig) -> DataFrame:
-    """Add mode, searchable terms, part terms and candidate limit to requests."""
+    """Add mode, searchable terms, part terms and candidate limit to requests.
+
+    A blank query and a result count out of range are errors, as for one request.
+    """
     full = queries
     for name, kind in (
         ("query_parts", "array<string>"),
@@ -70,6 +80,10 @@ def read_requests(queries: DataFrame, config: SearchConfig) -> DataFrame:
     ):
         if name not in full.columns:
             full = full.withColumn(name, F.lit(None).cast(kind))
+    problem = request_problem(F.col("query"), F.col("top"))
+    said = F.concat(problem, F.lit(": request "), F.col("qid").cast("string"))
+    checked = F.when(problem.isNull(), F.col("query")).otherwise(F.raise_error(said).cast("string"))
+    full = full.withColumn("query", checked)
     return (
         full.withColumn("mode", text.query_mode(F.col("query_parts")))
         .withColumn("terms", text.search_terms(F.col("query")))

@@ -3,9 +3,11 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.config import SearchConfig
 from lodestone.functions.text import search_terms
 from lodestone.operators.lexicon import with_lexical_columns
 from lodestone.operators.postings import best_keywords, invert, keyword_scores, query_phrases
+from lodestone.plans.search import read_requests, route_batch
 
 TEXTS = [
     ("Cold start", "gpu scheduler cold scale out gpu-warmup-42"),
@@ -73,3 +75,21 @@ def test_filter_leaves_statistics_alone(spark, index):
     plain = {r.chunk_id: r.score for r in keyword_scores(stored, phrases).collect()}
     kept = keyword_scores(stored, phrases.withColumn("scope", F.lit(0)), allowed).collect()
     assert {r.chunk_id: r.score for r in kept} == {k: v for k, v in plain.items() if k < 3}
+
+
+@pytest.mark.parametrize(
+    "query,top,code", [(" \n", None, "QUERY_EMPTY"), (None, 5, "QUERY_EMPTY"), ("a", 0, "TOP_INVALID"), ("a", 101, "TOP_INVALID")]
+)
+def test_requests_of_a_frame_are_checked(spark, query, top, code):
+    shape = "qid bigint, query string, query_parts array<string>, top int"
+    asked = spark.createDataFrame([(1, "fine", None, 100), (2, query, None, top)], shape)
+    with pytest.raises(Exception, match=f"{code}: request 2"):
+        read_requests(asked, SearchConfig()).collect()
+
+
+def test_many_requests_over_a_stored_index(spark, index):
+    asked = spark.range(1000).selectExpr("id as qid", "concat('filler ', id % 20) as query")
+    full = index.withColumn("end_line", F.lit(1)).withColumn("embedding", F.lit(None).cast("array<float>"))
+    (routes,) = route_batch(full, asked, SearchConfig(), inverted=invert(index))
+    found = routes.candidates.groupBy("qid").count().collect()
+    assert len(found) == 1000
