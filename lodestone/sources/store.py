@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,10 +74,19 @@ class IndexStore:
         return json.loads(text.value)
 
     def _save(self, manifest: dict) -> None:
-        """Write the manifest beside the old one and rename over it."""
+        """Write the manifest beside the old one and rename over it.
+
+        An index that someone else published meanwhile is left as it is. Renaming is
+        one step on HDFS and local disks; object stores need a committer for that.
+        """
         target, files = self._files()
+        current = (self._load() or {"version": 0})["version"]
+        if current != self.manifest["version"]:
+            raise NavigationError(
+                "INDEX_DATA_INVALID", f"The index changed meanwhile, to version {current}."
+            )
         jvm = self.spark._jvm
-        fresh = jvm.org.apache.hadoop.fs.Path(target.toString() + ".next")
+        fresh = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.{uuid.uuid4().hex}")
         stream = files.create(fresh, True)
         stream.write(bytearray(json.dumps(manifest, indent=1).encode()))
         stream.close()
@@ -130,9 +140,11 @@ class IndexStore:
     ) -> None:
         """Replace the touched buckets of every table and publish the result."""
         version = self.manifest["version"] + 1
+        # A folder of its own: another writer of this version cannot touch it.
+        written_by = uuid.uuid4().hex[:8]
         parts = {}
         for name, frame in frames.items():
-            folder = f"{name}/v{version}"
+            folder = f"{name}/v{version}-{written_by}"
             kept = {
                 b: f
                 for b, f in self.manifest["parts"].get(name, {}).items()
@@ -145,8 +157,10 @@ class IndexStore:
                 # shared task.
                 rows.hint("rebalance", "bucket").sortWithinPartitions(
                     "bucket", SORTED_BY[name]
-                ).write.mode("overwrite").partitionBy("bucket").parquet(where)
-                written = self.spark.read.parquet(where).select("bucket").distinct().collect()
+                ).write.partitionBy("bucket").parquet(where)
+                shape = f"{TABLES[name]}, bucket int"  # a folder without rows has none
+                stored = self.spark.read.schema(shape).parquet(where)
+                written = stored.select("bucket").distinct().collect()
                 kept.update({str(row.bucket): folder for row in written})
             parts[name] = kept
         self._save(
