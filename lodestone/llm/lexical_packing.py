@@ -84,7 +84,8 @@ class ShardIndex:
 
     def __init__(self, texts: list[str]):
         n = len(texts)
-        number = defaultdict(count().__next__).__getitem__
+        numbers = defaultdict(count().__next__)
+        number = numbers.__getitem__
         documents = [np.array([*map(number, t.lower().split())], np.int64) for t in texts]
         terms, docs, counts = [], [], []
         for i, words in enumerate(documents):
@@ -92,30 +93,32 @@ class ShardIndex:
             terms.append(found)
             docs.append(np.full(len(found), i))
             counts.append(times)
-        self._own = terms
         term = np.concatenate(terms) if n else np.zeros(0, np.int64)
-        doc = np.concatenate(docs) if n else np.zeros(0, np.int64)
-        tf = (np.concatenate(counts) if n else np.zeros(0)).astype(np.float64)
+        df = np.bincount(term, minlength=len(numbers))
+        # A word of one document leads to no other.
+        shared = df[term] > 1
+        term = term[shared]
+        doc = np.concatenate(docs)[shared] if n else term
+        tf = (np.concatenate(counts)[shared] if n else term).astype(np.float64)
         lengths = np.array([len(d) for d in documents], np.float64)
         order = np.argsort(term, kind="stable")
-        self._doc, tf = doc[order], tf[order]
-        self._terms, self._starts = np.unique(term[order], return_index=True)
-        self._ends = np.append(self._starts[1:], len(term))
-        df = self._ends - self._starts
+        term, self._doc, tf = term[order], doc[order], tf[order]
+        self._own = [t[df[t] > 1] for t in terms]
         self._df = df
+        self._ends = np.cumsum(np.where(df > 1, df, 0))
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
-        self._weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self._doc])
+        self._weight = idf[term] * tf * (K1 + 1) / (tf + norm[self._doc])
         self._n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share the seed's rarest shared words, best first."""
-        at = np.searchsorted(self._terms, self._own[seed])
-        at = at[self._df[at] > 1]
-        at = at[np.argsort(self._df[at], kind="stable")[:QUERY_WORDS]]
-        if not len(at):
-            return at
-        rows = np.concatenate([np.arange(self._starts[t], self._ends[t]) for t in at])
+        own = self._own[seed]
+        own = own[np.argsort(self._df[own], kind="stable")[:QUERY_WORDS]]
+        if not len(own):
+            return own
+        ends = self._ends[own]
+        rows = np.concatenate([np.arange(e - d, e) for e, d in zip(ends, self._df[own], strict=True)])
         scores = np.bincount(self._doc[rows], self._weight[rows], self._n)
         scores[seed] = 0
         found = np.flatnonzero((scores > 0) & unused)
