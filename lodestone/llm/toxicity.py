@@ -2,7 +2,8 @@
 
 Each word is two inputs: an embedding of its hash, and the mean of embeddings of
 the hashes of its character n-grams, so forms of a word are known by their
-parts. Two gated recurrent units read a window of words in both directions,
+parts. A run of over ``LONGEST`` characters without white space, as in Chinese or
+Thai, is several words. Two gated recurrent units read a window of words in both directions,
 attention pools their states, and a logistic unit scores the window. A text is
 scored over all its overlapping windows and has the score of the highest.
 
@@ -35,6 +36,8 @@ SAMPLE = 6000
 #: What is kept of a sampled document for training: this many windows, evenly spread.
 SAMPLE_WINDOWS = 12
 WINDOW, STRIDE = 64, 48
+#: A longer run without white space counts as several words.
+LONGEST = 64
 WORD_BINS, GRAM_BINS = 1 << 13, 1 << 14
 WORD_WIDTH, GRAM_WIDTH, HIDDEN = 8, 16, 8
 GRAMS = range(3, 6)
@@ -54,12 +57,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Runs between white space; a long one is cut into consecutive words, all of it kept."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
 def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words; bins of all their character n-grams; how many each word has."""
-    plain = [("<" + (w.strip(_EDGE)[:64] or w[:1]) + ">").encode("utf-8", "surrogatepass") for w in words]
+    plain = [("<" + (w.strip(_EDGE) or w[:1]) + ">").encode("utf-8", "surrogatepass") for w in words]
     hashes = np.array([zlib.crc32(w) for w in plain], np.int64)
     lengths = np.array([len(w) for w in plain], np.int64)
     codes = np.frombuffer(b"".join(plain), np.uint8).astype(np.uint32)
@@ -478,7 +485,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, target: str = "toxic", size: int
                 words = words_of(text)
                 starts = list(window_starts(len(words)))
                 keep = np.unique(np.linspace(0, len(starts) - 1, min(len(starts), SAMPLE_WINDOWS)).astype(int))
-                out.append([" ".join(w[:64] for w in words[starts[k] : starts[k] + WINDOW]) for k in keep])
+                out.append([" ".join(words[starts[k] : starts[k] + WINDOW]) for k in keep])
             yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "windows": out})
 
     sample = labelled_sample(docs, labels, target, size)

@@ -131,3 +131,14 @@ def test_a_small_memory_changes_no_score():
     assert np.allclose(all_at_once, toxicity.Scorer(net, memory=2, together=3).scores(texts), atol=1e-6)
     alone = [toxicity.Scorer(net).scores([t])[0] for t in texts]
     assert np.allclose(all_at_once, alone, atol=1e-6)
+
+
+def test_runs_without_spaces_are_scored_to_their_end():
+    run = "".join(chr(0x4E00 + i) for i in range(100))
+    words = toxicity.words_of(f"A {run}b c")
+    assert "".join(words) == f"a{run}bc" and max(map(len, words)) == 64
+    clean, bad = "的一是不了人我在有他" * 10, "毒恶骂" * 10
+    texts = [(clean + (bad if i % 2 else clean[:30])) for i in range(60)]
+    documents = [(i % 2, [" ".join(toxicity.words_of(t))]) for i, t in enumerate(texts)]
+    scores = toxicity.Scorer(toxicity.train(toxicity.Sample.of(documents))).scores(texts[:2])
+    assert scores[0] < 0.3 < 0.7 < scores[1]
