@@ -33,8 +33,10 @@ from lodestone.llm.registry import query, table
 from lodestone.llm.samples import held_out, labelled_sample
 
 SAMPLE = 6000
-#: What is kept of a sampled document for training: this many windows, evenly spread.
+#: What is kept of a sampled document for training: this many windows, of the highest odds.
 SAMPLE_WINDOWS = 12
+#: Bins of words when odds are counted over whole sampled texts.
+ODDS_BINS = 1 << 18
 WINDOW, STRIDE = 64, 48
 #: A longer run without white space counts as several words.
 LONGEST = 64
@@ -472,23 +474,87 @@ class Scorer:
         out[places] = np.where(np.array(counts) > 0, _sigmoid(scaled), 0.0)
 
 
+class Odds(NamedTuple):
+    """Log odds of words and n-grams in the whole sampled texts, by bin."""
+
+    word: np.ndarray
+    gram: np.ndarray
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Like the first components of the embeddings: of each word, and of its n-grams."""
+        hashes, grams, counts = word_inputs(words)
+        out = self.word[hashes % ODDS_BINS].copy()
+        has = np.flatnonzero(counts)
+        if len(has):
+            starts = np.cumsum(counts) - counts
+            out[has] += np.add.reduceat(self.gram[grams], starts[has]) / counts[has]
+        return out
+
+
+def count_odds(sample: DataFrame) -> Odds:
+    """Odds from all words of the documents of :func:`labelled_sample`.
+
+    Tasks send, for each bin, the number of documents of each label that have it.
+    """
+    size = ODDS_BINS + GRAM_BINS + 1  # the last bin counts documents
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, size), np.int64)
+        for rows in batches:
+            for text, label in zip(rows["text"].tolist(), rows["label"].tolist(), strict=True):
+                hashes, grams, _ = word_inputs(list(set(words_of(text))))
+                bins = np.concatenate([hashes % ODDS_BINS, ODDS_BINS + grams, [size - 1]])
+                sums[label, np.unique(bins)] += 1
+        label, found = np.nonzero(sums)
+        yield pd.DataFrame({"label": label, "bin": found, "n": sums[label, found]})
+
+    counted = sample.mapInPandas(run, "label long, bin long, n long")
+    rows = counted.groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()
+    sums = np.zeros((2, size), np.int64)
+    sums[rows["label"], rows["bin"]] = rows["n"]
+    labels = np.repeat([0, 1], sums[:, -1])
+    if len(set(labels.tolist())) < 2:
+        return Odds(np.zeros(ODDS_BINS, np.float32), np.zeros(GRAM_BINS, np.float32))
+    odds = np.where(sums.sum(axis=0) >= MIN_DOCUMENTS, _log_odds(sums, labels), 0).astype(np.float32)
+    return Odds(odds[:ODDS_BINS], odds[ODDS_BINS:-1])
+
+
+def training_windows(text: str | None, label: int, odds: Odds) -> list[str]:
+    """Of all windows those whose words have the highest odds, in the order of the text.
+
+    A window ranks by its highest word, then by the mean of its words. Half of the windows of
+    a document of label 0 are spread over the others instead, so that clean text is ordinary.
+    """
+    words = words_of(text)
+    starts = list(window_starts(len(words)))
+    kept = np.arange(len(starts))
+    if len(starts) > SAMPLE_WINDOWS:
+        names, number = np.unique(words, return_inverse=True)
+        of_word = odds.of(names.tolist())[number]
+        windows = [of_word[s : s + WINDOW] for s in starts]
+        order = np.lexsort(([-w.mean() for w in windows], [-w.max() for w in windows]))
+        top = SAMPLE_WINDOWS if label == 1 else SAMPLE_WINDOWS // 2
+        kept, others = order[:top], np.sort(order[top:])
+        spread = np.linspace(0, len(others) - 1, SAMPLE_WINDOWS - top).astype(int)
+        kept = np.sort(np.concatenate([kept, others[spread]]))
+    return [" ".join(words[starts[k] : starts[k] + WINDOW]) for k in kept]
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, target: str = "toxic", size: int = SAMPLE) -> Network:
     """A network of ``labels[target]``, from a bounded sample of ``docs``.
 
-    Of each sampled document at most ``SAMPLE_WINDOWS`` windows come to the driver.
+    Of each sampled document at most ``SAMPLE_WINDOWS`` windows come to the driver,
+    chosen in the tasks among all its windows.
     """
+    sample = labelled_sample(docs, labels, target, size)
+    odds = count_odds(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for text in rows["text"].tolist():
-                words = words_of(text)
-                starts = list(window_starts(len(words)))
-                keep = np.unique(np.linspace(0, len(starts) - 1, min(len(starts), SAMPLE_WINDOWS)).astype(int))
-                out.append([" ".join(words[starts[k] : starts[k] + WINDOW]) for k in keep])
+            pairs = zip(rows["text"].tolist(), rows["label"].tolist(), strict=True)
+            out = [training_windows(text, label, odds) for text, label in pairs]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "windows": out})
 
-    sample = labelled_sample(docs, labels, target, size)
     rows = sample.mapInPandas(run, "doc_id long, label int, windows array<string>")
     # Row by row, so that the driver keeps numbers of words only.
     ordered = rows.orderBy("doc_id", "windows").toLocalIterator()

@@ -142,3 +142,19 @@ def test_runs_without_spaces_are_scored_to_their_end():
     documents = [(i % 2, [" ".join(toxicity.words_of(t))]) for i, t in enumerate(texts)]
     scores = toxicity.Scorer(toxicity.train(toxicity.Sample.of(documents))).scores(texts[:2])
     assert scores[0] < 0.3 < 0.7 < scores[1]
+
+
+def test_training_windows_hold_the_toxic_passage(spark, documents_of, monkeypatch):
+    """Wherever it stands in a long document."""
+    plain = " ".join(f"word{i % 90}" for i in range(2400))
+    texts = [plain if i % 2 else f"{plain[: 500 + 150 * i]} venomous {plain[500 + 150 * i :]}" for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sample, prevalence: seen.append(sample))
+    toxicity.fit_on(documents_of(texts), labels)
+    (sample,) = seen
+    bad = sample.words.index("venomous")
+    inside = (sample.at == bad) & (np.arange(toxicity.WINDOW) < sample.lengths[:, None])
+    found = set(sample.owner[inside.any(axis=1)].tolist())
+    assert found == set(np.flatnonzero(sample.labels).tolist()) and found
+    assert np.bincount(sample.owner).max() == toxicity.SAMPLE_WINDOWS
