@@ -1,22 +1,27 @@
 """Lexical retrieval packing: windows filled with a seed document's neighbours.
 
-The corpus is dealt in shards, at most ``SHARD_DOCS`` documents that lie in one
-input partition, so nothing is shuffled. Each shard has its own BM25 inverted
-index. A window starts with a seed: what is left of the last document, else the
-first unused one. The unused documents that score best for the seed's rarest
-words follow, then other unused ones. A document that does not fit is cut, and
-its rest is the seed of the next window, so windows are full. A partition's
+Texts are shuffled once, to ranges of a lexical key, wherever they lay before: a
+first pass counts the documents of each word (by bin), and the key of a text names
+its rarest words that a few shards' documents have, that half a shard's have, and
+that any other has. Texts of one key are split by a hash of their ids. In the order
+of keys, shards are at most ``SHARD_DOCS`` documents (or ``SHARD_TOKENS``) of one
+range; each has its own BM25 inverted index, and a seed sees its shard only.
+
+A window starts with a seed: what is left of the last document, else the
+first unused one. The unused documents that share words with the seed follow, best
+first, then other unused ones. A document that does not fit is cut, and
+its rest is the seed of the next window, so windows are full. A range's
 last, partial window is cut into sequences whose lengths are powers of two.
 
-Numbers of sequences come from the number of the input partition, so a task that
-is run again after a lost executor makes the same sequences.
+Numbers of sequences come from the number of the range, and rows are sorted in it, so a
+task that is run again after a lost executor makes the same sequences.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
@@ -31,8 +36,12 @@ from lodestone.llm.registry import query, table
 WINDOW = 1024
 SHARD_DOCS = 1024
 SHARD_TOKENS = 2_000_000
-QUERY_WORDS = 24
-NEIGHBOURS = 32
+#: Bins of words when their documents are counted; bin 0 is no word.
+WORD_BINS = 1 << 20
+#: A key names the rarest words of at least so many documents; the last level is in 12 bits.
+LEVELS = (2 * SHARD_DOCS, SHARD_DOCS // 2, 2)
+RANGE_CHARS = 1 << 24
+SAMPLED = 40
 K1, B = 1.2, 0.75
 END_ID = 0
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -112,21 +121,20 @@ class ShardIndex:
         self._n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share the seed's rarest shared words, best first."""
+        """All unused documents that share words with the seed, best first."""
         own = self._own[seed]
-        own = own[np.argsort(self._df[own], kind="stable")[:QUERY_WORDS]]
         if not len(own):
             return own
-        ends = self._ends[own]
-        rows = np.concatenate([np.arange(e - d, e) for e, d in zip(ends, self._df[own], strict=True)])
+        ends, df = self._ends[own], self._df[own]
+        rows = np.arange(df.sum()) + np.repeat(ends - np.cumsum(df), df)
         scores = np.bincount(self._doc[rows], self._weight[rows], self._n)
         scores[seed] = 0
         found = np.flatnonzero((scores > 0) & unused)
-        return found[np.argsort(-scores[found], kind="stable")[:NEIGHBOURS]]
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 class Packer:
-    """Fills the windows of one input partition, shard after shard."""
+    """Fills the windows of one partition, shard after shard."""
 
     def __init__(self, partition: int, window: int = WINDOW):
         self._window = window
@@ -139,13 +147,11 @@ class Packer:
         index = ShardIndex(texts)
         unused = np.ones(len(ids), bool)
         following = 0
-        waiting: list[int] = []
+        waiting: Iterator[int] = iter(())
         while True:
-            while waiting and not unused[waiting[0]]:
-                waiting.pop(0)
-            if waiting:
-                doc = waiting.pop(0)
-            else:
+            doc = next((d for d in waiting if unused[d]), None)
+            seed = doc is None
+            if seed:
                 while following < len(ids) and not unused[following]:
                     following += 1
                 if following == len(ids):
@@ -153,8 +159,10 @@ class Packer:
                 doc = following
             unused[doc] = False
             crossed = yield from self._place(names[doc], ids[doc])
-            if crossed or not waiting:
-                waiting = index.neighbours(doc, unused).tolist()
+            if self._used == 0:
+                waiting = iter(())  # the window is full, and nothing is left of its last document
+            elif crossed or seed:
+                waiting = iter(index.neighbours(doc, unused).tolist())
 
     def _place(self, name, ids: np.ndarray) -> Iterator[tuple]:
         """Pieces of full windows; true if the document ends in another window."""
@@ -199,12 +207,106 @@ OUT = (
 )
 
 
+class _Bins(dict):
+    """Bins of words, kept."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % (WORD_BINS - 1) + 1
+        return found
+
+
+def _words(text: str | None) -> set[str]:
+    return set((text or "").lower().split())
+
+
+def word_documents(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """How many documents have the words of each bin; numbers of documents and characters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(WORD_BINS + 1, np.int64)  # the last counts characters, bin 0 documents
+        words: Counter = Counter()
+
+        def empty() -> None:
+            bins = _Bins()
+            at = np.fromiter((bins[w] for w in words), np.int64, len(words))
+            np.add.at(sums, at, np.fromiter(words.values(), np.int64, len(words)))
+            words.clear()
+
+        for rows in batches:
+            for text in rows["text"].tolist():
+                words.update(_words(text))
+                sums[0] += 1
+                sums[WORD_BINS] += len(text or "")
+            if len(words) > 500_000:
+                empty()
+        empty()
+        found = np.flatnonzero(sums)
+        yield pd.DataFrame({"bin": found, "n": sums[found]})
+
+    counted = docs.select("text").mapInPandas(run, "bin long, n long").groupBy("bin")
+    # No level asks for words of one document.
+    wanted = (F.col("n") > 1) | F.col("bin").isin(0, WORD_BINS)
+    rows = counted.agg(F.sum("n").alias("n")).where(wanted).toPandas()
+    sums = np.zeros(WORD_BINS + 1, np.int64)
+    sums[rows["bin"]] = rows["n"]
+    return sums[:WORD_BINS], int(sums[0]), int(sums[WORD_BINS])
+
+
+def lexical_key(bins: np.ndarray, documents: np.ndarray) -> int:
+    """The bins of a text's rarest words of each level, in 52 bits."""
+    ranked = documents[bins] * WORD_BINS + bins
+    first, second, third = (
+        int(ranked.min(initial=np.iinfo(np.int64).max, where=ranked >= least * WORD_BINS)) for least in LEVELS
+    )
+    first, second, third = (0 if x == np.iinfo(np.int64).max else x % WORD_BINS for x in (first, second, third))
+    return (first * WORD_BINS + second) << 12 | third & 0xFFF
+
+
+def by_lexical_key(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """``doc_id, text``, dealt to ranges of the key of about ``range_chars`` and sorted in these.
+
+    11 bits of a hash of the id follow the key, so that many texts of one key are split.
+    """
+    documents, rows, chars = word_documents(docs)
+    documents = documents.astype(np.int64)
+    ranges = max(1, -(-chars // range_chars))
+
+    def places(bounds: np.ndarray):
+        @F.pandas_udf("struct<key:long,place:int>")
+        def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            kept = _Bins()
+            for texts, salts in batches:
+                keys = []
+                for text in texts.tolist():
+                    words = _words(text)
+                    bins = np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
+                    keys.append(lexical_key(bins, documents))
+                    if len(kept) > 500_000:
+                        kept.clear()
+                key = np.array(keys, np.int64) << 11 | salts.to_numpy(np.int64)
+                yield pd.DataFrame({"key": key, "place": np.searchsorted(bounds, key, "right").astype(np.int32)})
+
+        return place("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 11)))
+
+    bounds = np.zeros(0, np.int64)
+    if ranges > 1:
+        every = max(1, rows // (SAMPLED * ranges))
+        some = docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(every)) == 0)
+        keys = np.sort(some.select(places(bounds)["key"].alias("key")).toPandas()["key"].to_numpy(np.int64))
+        if len(keys):
+            bounds = keys[np.arange(1, ranges) * len(keys) // ranges]
+    placed = docs.select("doc_id", "text", places(bounds).alias("at"))
+    dealt = placed.repartitionById(ranges, F.col("at.place"))
+    return dealt.sortWithinPartitions("at.key", "doc_id", "text").select("doc_id", "text")
+
+
 def pack_documents(
     docs: DataFrame,
     path: str | None = None,
     ranks_path: str | None = None,
     window: int = WINDOW,
     shard_docs: int = SHARD_DOCS,
+    range_chars: int = RANGE_CHARS,
 ) -> DataFrame:
     """The pieces of all documents, each id in one piece.
 
@@ -238,6 +340,7 @@ def pack_documents(
             yield frame(packer.pack(names, ids, texts))
             yield frame(packer.finish())
 
+    docs = by_lexical_key(docs.select("doc_id", "text"), range_chars)
     return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInPandas(run, OUT)
 
 

@@ -113,3 +113,37 @@ def test_a_document_seeds_the_next_window():
     assert [(r[0], r[1], r[2], r[5], r[6]) for r in rows] == [
         (0, 0, 8, 0, 0), (0, 8, 5, 1, 0), (1, 0, 3, 1, 5), (2, 0, 8, 2, 0), (2, 8, 8, 3, 0), (2, 16, 4, 4, 0),
     ]
+
+
+def test_related_documents_meet_wherever_they_lie(spark, documents_of):
+    """Each pair shares one word; its halves lie in different partitions, over a shard apart."""
+    texts = [f"pair{i % 40} only{i} " + "the and of " * 20 for i in range(80)]
+    docs = documents_of(texts).repartitionByRange(4, "doc_id")
+    rows = lp.pack_documents(docs, window=256, shard_docs=8, range_chars=2500).collect()
+    windows = defaultdict(set)
+    for r in rows:
+        windows[r["doc_id"]].add(r["sequence_id"])
+    assert len({r["sequence_id"] >> 40 for r in rows}) > 1
+    together = sum(bool(windows[i] & windows[i + 40]) for i in range(40))
+    assert together >= 20
+
+
+def test_many_texts_of_one_key_are_split(spark, documents_of):
+    docs = documents_of(["the same words"] * 400)
+    parts = lp.by_lexical_key(docs, 700).rdd.glom().map(len).collect()
+    assert sum(parts) == 400 and max(parts) < 200
+
+
+def test_neighbours_are_all_documents_with_a_shared_word():
+    words = " ".join(f"w{i}" for i in range(60))
+    index = lp.ShardIndex([words, *[f"w{i} x{i}" for i in range(60)], "none"])
+    unused = np.arange(62) > 0
+    assert sorted(index.neighbours(0, unused).tolist()) == list(range(1, 61))
+
+
+def test_the_windows_seed_stays_the_query():
+    """Its neighbours end after two documents; the last one's do not follow."""
+    texts = ["a b", "z y", "a q", "b", "q q", "z"]
+    ids = [np.arange(2, dtype=np.uint32) for _ in texts]
+    rows = list(lp.Packer(0, window=8).pack(list(range(6)), ids, texts))
+    assert [r[0] for r in rows] == [0, 3, 2, 1]
