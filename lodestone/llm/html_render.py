@@ -4,7 +4,9 @@ A tree builder closes what HTML lets authors leave open (paragraphs, list items,
 table parts) and ignores stray end tags. The tree is then laid out: hidden
 elements are left out, blocks start on lines of their own, paragraphs and the
 like stand apart by an empty line, list items have markers and indents, and the
-cells of a table are padded to common widths. All other white space is one space.
+cells of a table are padded to common widths, also around cells that reach over several
+rows. What stands in a table but in none of its cells is moved in front of it, as in
+browsers. All other white space is one space.
 
 Null and empty pages give empty text. Text of a page that is cut off in a tag is
 kept up to there.
@@ -53,6 +55,11 @@ CLOSES = {
 #: Elements that an end tag outside of them does not reach into.
 SCOPE = frozenset("table td th caption template html".split())
 
+#: Elements in which only parts of tables may stand; what else does goes in front of the table.
+TABLE = frozenset("table thead tbody tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
+NOT_MOVED = TABLE_PARTS | frozenset("table body head script style template".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
@@ -109,7 +116,34 @@ class TreeBuilder:
 
     def _text(self, source: str) -> None:
         if source:
-            self._open[-1].children.append(html.unescape(source))
+            source = html.unescape(source)
+            self._add(source, bool(source.strip(" \t\n\r\f")))
+
+    def _add(self, item: Node | str, move: bool) -> None:
+        """Below the open element, or in front of its table if it may not stand there."""
+        if move and self._open[-1].tag == "colgroup":
+            self._open.pop()
+        if not move or self._open[-1].tag not in TABLE:
+            self._open[-1].children.append(item)
+            return
+        i = max((i for i, node in enumerate(self._open) if node.tag == "table"), default=0)
+        if not i:  # parts of no table
+            self._open[-1].children.append(item)
+            return
+        siblings = self._open[i - 1].children
+        at = len(siblings) - 1
+        while siblings[at] is not self._open[i]:
+            at -= 1
+        siblings.insert(at, item)
+
+    def _back_to_table(self) -> None:
+        """Parts of a table end what stands in it but in no cell."""
+        for i in range(len(self._open) - 1, 0, -1):
+            tag = self._open[i].tag
+            if tag in TABLE:
+                del self._open[i + 1 :]
+            if tag in TABLE or tag in ("td", "th", "caption", "colgroup"):
+                return
 
     def _start(self, name: str, attributes: dict[str, str]) -> None:
         if name == "html":
@@ -117,6 +151,10 @@ class TreeBuilder:
             return
         if self._open[-1].tag == "head" and name not in HIDDEN | {"title"}:
             self._open.pop()
+        if name in TABLE_PARTS:
+            self._back_to_table()
+        elif name == "table" and self._open[-1].tag in TABLE | {"colgroup"}:
+            self._end("table")
         if name in CLOSES:
             self._close(*CLOSES[name])
         elif name in BLOCK:
@@ -124,7 +162,7 @@ class TreeBuilder:
         if name in ("td", "th") and self._open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._start("tr", {})
         node = Node(name, attributes)
-        self._open[-1].children.append(node)
+        self._add(node, name not in NOT_MOVED)
         # Like browsers: what is nested deeper stands side by side.
         if name not in VOID and (len(self._open) < MOST_DEPTH or name in RAW):
             self._open.append(node)
@@ -280,35 +318,51 @@ def render(node: Node, tables: int = 0) -> list[str]:
     return out.result()
 
 
-def _rows(node: Node) -> tuple[list[Node], list[Node]]:
-    """Visible rows of a table, and its captions."""
-    rows, captions, stack = [], [], list(reversed(node.children))
+def _rows(node: Node) -> tuple[list[tuple[Node, Node]], list[Node]]:
+    """Visible rows of a table, each with the element that holds it, and its captions."""
+    rows, captions, stack = [], [], [(item, node) for item in reversed(node.children)]
     while stack:
-        item = stack.pop()
+        item, group = stack.pop()
         if isinstance(item, str) or hidden(item):
             continue
         if item.tag == "tr":
-            rows.append(item)
+            rows.append((item, group))
         elif item.tag in ("thead", "tbody", "tfoot"):
-            stack.extend(reversed(item.children))
+            stack.extend((child, item) for child in reversed(item.children))
         else:
             captions.append(item)
     return rows, captions
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    span = cell.attributes.get(name, "1").strip()
+    return min(int(span), most) if span.isdecimal() and len(span) < 6 else 1
+
+
 def table_lines(node: Node, tables: int) -> list[str]:
     """Captions, then rows whose cells are padded to the widths of their columns."""
     rows, captions = _rows(node)
     lines = [line for c in captions for line in render(c, tables)]
     grid: list[list[list[str]]] = []
-    for row in rows:
+    taken: list[int] = []  # of each column, the first row below the cells so far
+    within = None
+    for number, (row, group) in enumerate(rows):
+        if group is not within:
+            taken, within = [], group
         cells: list[list[str]] = []
         for cell in row.children:
             if isinstance(cell, str) or hidden(cell):
                 continue
+            while len(cells) < len(taken) and taken[len(cells)] > number:
+                cells.append([])
+            first = len(cells)
             cells.append(render(cell, tables))
-            span = cell.attributes.get("colspan", "1")
-            cells.extend([[]] * (min(int(span), 1000) - 1 if span.isdecimal() and len(span) < 6 else 0))
+            cells.extend([[]] * (_span(cell, "colspan", 1000) - 1))
+            # 0 is all rows of the group.
+            below = number + (_span(cell, "rowspan", 65534) or len(rows))
+            if below > number + 1:
+                taken.extend([0] * (len(cells) - len(taken)))
+                taken[first : len(cells)] = [max(t, below) for t in taken[first : len(cells)]]
         grid.append(cells)
     widths: list[int] = []
     for cells in grid:

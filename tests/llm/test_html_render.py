@@ -73,3 +73,27 @@ def test_odd_rows(spark):
     got = sorted((r["page_id"] or 0, r["text"]) for r in hr.render_pages(pages).collect())
     assert got == [(0, ""), (1, "a"), (1, "a")]
     assert hr.render_pages(pages.limit(0)).count() == 0
+
+
+def test_what_stands_in_no_cell_goes_before_the_table():
+    def lines(page):
+        return [x for x in hr.render_page(page).split("\n") if x]
+
+    assert lines("<table><tr><td>a</td>stray<td>b</table>") == ["stray", "a  b"]
+    assert lines("<p>x</p><table>Note<tr><td>a</table>end") == ["x", "Note", "a", "end"]
+    assert lines("<table><tbody><b>one <i>two</i></b><tr><td>a</td><div>three</div><td>b</table>") == [
+        "one two", "three", "a  b",
+    ]
+    assert lines("<table><colgroup><col>lost<tr><td>a</table>") == ["lost", "a"]
+    assert lines("<table><tr><td><table>in<tr><td>x</table></table>") == ["in", "x"]
+    assert lines("<table> <tr> <form><td>a</td></form> </tr> </table>") == ["a"]
+    assert lines("<table><tr><td>a<table><tr><td>b</table>c</table>") == ["a", "b", "c"]
+
+
+def test_cells_of_several_rows_keep_columns():
+    def table(inner):
+        return [x for x in hr.render_page(f"<table>{inner}</table>").split("\n") if x]
+
+    assert table("<tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e") == ["aa  b", "    c", "d   e"]
+    assert table("<tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e") == ["a  b    c", "d       e"]
+    assert table("<tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e") == ["a  b", "   c", "d  e"]
