@@ -1,7 +1,8 @@
 """Personal data: weak labelers vote, their reliabilities are estimated, a classifier decides.
 
-Four kinds of spans are exact patterns (``BASE_KINDS``). Beyond them, tokens that
-hold digits are candidates. Patterns, word lists and context each vote on a
+Four kinds of spans are exact patterns (``BASE_KINDS``). Beyond them, candidates are
+tokens that hold digits, numbers in groups, values of assignments and behind private
+words, and names and addresses that word lists know. Patterns, word lists and context each vote on a
 candidate: private, not private, or nothing. Candidates are counted by their
 votes and features in one pass over all texts; from these counts, of which there
 are a bounded number of kinds, expectation-maximisation estimates how reliable
@@ -55,6 +56,35 @@ _HEX = re.compile(r"[0-9a-fA-F]{16,}")
 _MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/=_-]{20,}")
 _PLAIN_NUMBER = re.compile(r"[0-9]{1,6}|[0-9]+(?:\.[0-9]+){1,2}|v[0-9.]+")
 _WORD = re.compile(r"[a-z]+")
+_GROUPS = re.compile(
+    r"(?<![\w.-])(?:[A-Z]{2}[0-9]{2}(?:[ -][0-9A-Z]{4}){2,7}(?:[ -][0-9A-Z]{1,3})?|[0-9]{2,6}(?:[ -][0-9]{2,6})+)(?![\w-])"
+)
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}")
+_SOCIAL = re.compile(r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}")
+_VALUE = re.compile(
+    r"(?:(?<![A-Za-z])(?i:" + "|".join(sorted(PRIVATE_WORDS)) + r")(?![A-Za-z])[\"']?(?:[ \t]*[:=]|[ \t]+(?i:is|number|no))?|\w[\"']?[ \t]*[:=])"
+    r"[ \t]*[\"']?(?!//)(?P<value>[^\s\"'<>,;|:=]{3,})"
+)
+GIVEN_NAMES = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul "
+    "Steven Andrew George Peter Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen "
+    "Nancy Lisa Margaret Emily Emma Olivia Sophia Anna Maria Laura Julia Hans Klaus Wolfgang Stefan "
+    "Andreas Jürgen Heike Petra Sabine Ursula Monika Pierre Jean Jacques Michel François Marie Claire "
+    "Sophie Camille Carlos José Juan Luis Miguel Antonio Carmen Lucía Isabel Pablo"
+).split()
+_NAME = re.compile(
+    r"(?<!\w)(?:" + "|".join(GIVEN_NAMES) + r")(?: [A-Z]\.)?(?: (?:von|van|de|del|la))?(?: [A-ZÄÖÜÉ][a-zäöüßéèáíóúñç]+(?:-[A-Z]\w+)?){1,2}(?!\w)"
+)
+_STREET = re.compile(
+    r"(?<!\w)(?:[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)"
+    r"|[0-9]{1,4},? (?:rue|avenue|boulevard|place) (?:(?:de|du|des|la) ){0,2}[A-ZÉ]\w+"
+    r"|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|gasse|allee) [0-9]{1,4}[a-z]?"
+    r"|(?:Calle|Avenida|Plaza) (?:(?:de|del|la) ){0,2}[A-Z]\w+,? [0-9]{1,4})(?!\w)"
+)
+_DIRECT = re.compile(
+    r"(?<![a-z])(?:" + "|".join(sorted(PRIVATE_WORDS)) + r")[\"']?(?:[ \t]*[:=]|[ \t]+(?:is|number|no))[ \t]*[\"']?$"
+)
+_ORDINARY = re.compile(r"[^\W\d_]+[.!?]?")
 
 Span = tuple[str, int, int]
 
@@ -105,13 +135,48 @@ class Candidate(NamedTuple):
     after: str
 
 
-def candidates(text: str, base: list[Span]) -> Iterator[Candidate]:
-    """Tokens of at least six characters with a digit, and loose phone numbers.
+def _tokens(line: str) -> Iterator[tuple[int, int]]:
+    """Tokens of at least six characters with a digit."""
+    for m in _TOKEN.finditer(line):
+        token = m[0].strip(".:!?*#$%&()=")
+        if len(token) < 6 or not _DIGIT.search(token):
+            continue
+        start = m.start() + m[0].index(token)
+        # An assignment is judged by its value.
+        cut = max(token.rfind("="), token.rfind(":"))
+        if 0 <= cut < len(token) - 6 and _DIGIT.search(token, cut):
+            token, start = token[cut + 1 :], start + cut + 1
+        yield start, start + len(token)
 
-    They overlap no base span and not each other.
-    """
-    if not _DIGIT.search(text):
-        return
+
+def _values(line: str) -> Iterator[tuple[int, int]]:
+    """What stands behind a private word or an assignment."""
+    at = 0
+    while m := _VALUE.search(line, at):
+        value = m["value"].rstrip(".!?*#$%&()")
+        if len(value) >= 3:
+            yield m.start("value"), m.start("value") + len(value)
+        # The value may be a private word itself.
+        at = max(m.start("value"), m.start() + 1)
+
+
+def _apart(sources: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Spans that do not overlap; those of a source go before those of later ones."""
+    kept: list[tuple[int, int]] = []
+    for spans in sources:
+        starts, ends = [s for s, _ in kept], [e for _, e in kept]
+        added, last = [], -1
+        for s, e in sorted(spans):
+            i = bisect_right(ends, s)  # the first kept one that ends behind s
+            if s >= last and (i == len(starts) or starts[i] >= e):
+                added.append((s, e))
+                last = e
+        kept = sorted(kept + added)
+    return kept
+
+
+def candidates(text: str, base: list[Span]) -> Iterator[Candidate]:
+    """Spans of all sources, by start; they overlap no base span and not each other."""
     starts, ends = [], []  # of stretches that base spans cover, in order
     for _, s, e in base:
         if ends and s <= ends[-1]:
@@ -121,26 +186,20 @@ def candidates(text: str, base: list[Span]) -> Iterator[Candidate]:
             ends.append(e)
     at = 0
     for line in text.splitlines(keepends=True):
+        sources: list[list[tuple[int, int]]] = []
         if _DIGIT.search(line):
-            spans = [(m.start(), m.end()) for m in _LOOSE_PHONE.finditer(line)]
-            for m in _TOKEN.finditer(line):
-                token = m[0].strip(".:!?*#$%&()=")
-                if len(token) < 6 or not _DIGIT.search(token):
-                    continue
-                start = m.start() + m[0].index(token)
-                # An assignment is judged by its value.
-                cut = max(token.rfind("="), token.rfind(":"))
-                if 0 <= cut < len(token) - 6 and _DIGIT.search(token, cut):
-                    token, start = token[cut + 1 :], start + cut + 1
-                spans.append((start, start + len(token)))
-            last = -1
-            for s, e in sorted(spans):
-                s, e = s + at, e + at
-                covered = bisect_right(ends, s)  # the first stretch that ends behind s
-                if s < last or covered < len(starts) and starts[covered] < e:
-                    continue
-                last = e
-                yield Candidate(s, e, text[s:e], text[max(0, s - 48) : s].lower(), text[e : e + 2])
+            sources.append([m.span() for m in _LOOSE_PHONE.finditer(line)])
+            sources.append([m.span() for m in _GROUPS.finditer(line)])
+            sources.append([m.span() for m in _STREET.finditer(line)])
+            sources.append(list(_tokens(line)))
+        sources.append([m.span() for m in _NAME.finditer(line)])
+        sources.append(list(_values(line)))
+        for s, e in _apart(sources):
+            s, e = s + at, e + at
+            covered = bisect_right(ends, s)  # the first stretch that ends behind s
+            if covered < len(starts) and starts[covered] < e:
+                continue
+            yield Candidate(s, e, text[s:e], text[max(0, s - 48) : s].lower(), text[e : e + 2])
         at += len(line)
 
 
@@ -156,16 +215,41 @@ def _share(c: Candidate) -> float:
     return len(_DIGIT.findall(c.token)) / len(c.token)
 
 
+def _account(c: Candidate) -> bool:
+    """A social security number, or an account number whose check digits are right."""
+    if _SOCIAL.fullmatch(c.token):
+        return True
+    plain = c.token.replace(" ", "").replace("-", "")
+    return bool(_IBAN.fullmatch(plain)) and int("".join(str(int(x, 36)) for x in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _listed(c: Candidate) -> bool:
+    return bool(_NAME.fullmatch(c.token) or _STREET.fullmatch(c.token))
+
+
+def _direct(c: Candidate) -> bool:
+    """A private word has this value."""
+    return bool(_DIRECT.search(c.before))
+
+
+def _ordinary(c: Candidate) -> bool:
+    return bool(_ORDINARY.fullmatch(c.token)) and not _direct(c)
+
+
 #: Each says 1 (private), 0 (not), or nothing (None).
 LABELERS = {
     "pattern of a key": lambda c: 1 if _HEX.fullmatch(c.token) or _MIXED.fullmatch(c.token) else None,
     "pattern of a plain number": lambda c: 0 if _PLAIN_NUMBER.fullmatch(c.token) else None,
     "pattern of a phone number": lambda c: 1 if _LOOSE_PHONE.fullmatch(c.token) else None,
-    "list of private words": lambda c: 1 if PRIVATE_WORDS.intersection(_near(c)) else None,
+    "list of private words": lambda c: 1 if PRIVATE_WORDS.intersection(_near(c)) and not _ordinary(c) else None,
     "list of public words": lambda c: 0 if PUBLIC_WORDS.intersection(_near(c)) else None,
-    "context of an assignment": lambda c: 1 if _assigned(c) else None,
+    "context of an assignment": lambda c: 1 if _assigned(c) and not _ordinary(c) else None,
     "context of an address": lambda c: 0 if "://" in c.token or "www." in c.token else None,
-    "few digits in a word": lambda c: 0 if _share(c) < 0.2 and len(c.token) < 20 else None,
+    "few digits in a word": lambda c: 0 if _share(c) < 0.2 and len(c.token) < 20 and not _listed(c) else None,
+    "pattern of an account": lambda c: 1 if _account(c) else None,
+    "list of names and streets": lambda c: 1 if _listed(c) else None,
+    "context of a private value": lambda c: 1 if _direct(c) else None,
+    "an ordinary word": lambda c: 0 if _ordinary(c) else None,
 }
 
 FEATURES = (
@@ -181,6 +265,10 @@ FEATURES = (
     lambda c: bool(PUBLIC_WORDS.intersection(_near(c))),
     lambda c: "." in c.token or "/" in c.token,
     lambda c: bool(_LOOSE_PHONE.fullmatch(c.token)),
+    _account,
+    _listed,
+    _direct,
+    _ordinary,
 )
 
 
@@ -209,9 +297,14 @@ class Reliability(NamedTuple):
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[Reliability, np.ndarray]:
-    """Expectation-maximisation over kinds of votes; also each kind's likelihood."""
+    """Expectation-maximisation over kinds of votes; also each kind's likelihood.
+
+    Ordinary words have a share of private ones of their own: they are no secrets
+    for the reason that most other candidates are.
+    """
     v = _digits(votes, 3, len(LABELERS))
     private, against = v == 1, v == 0
+    ordinary = against[:, list(LABELERS).index("an ordinary word")]
     # Start from the majority, with labelers taken as a little better than chance.
     belief = (private.sum(1) + 0.5) / (private.sum(1) + against.sum(1) + 1.0)
     for _ in range(rounds):
@@ -220,7 +313,11 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[R
         right = ((agree * counts[:, None]).sum(0) + 4.0) / (cast.sum(0) + 5.0)
         right = np.clip(right, 0.55, 0.99)
         prior = float(np.clip((belief * counts).sum() / max(1, counts.sum()), 0.02, 0.98))
-        odds = np.log(prior / (1 - prior)) + (private.astype(float) - against) @ np.log(right / (1 - right))
+        shares = np.full(len(v), prior)
+        for group in (ordinary, ~ordinary):
+            share = (belief * counts)[group].sum() / max(1, counts[group].sum())
+            shares[group] = np.clip(share, 0.02, 0.98)
+        odds = np.log(shares / (1 - shares)) + (private.astype(float) - against) @ np.log(right / (1 - right))
         belief = 1 / (1 + np.exp(-odds))
     return Reliability(right, prior), belief
 
@@ -238,7 +335,8 @@ def train_classifier(bits: np.ndarray, belief: np.ndarray, counts: np.ndarray) -
     """Logistic regression of the likelihoods on the features, by Newton steps."""
     x = np.concatenate([_digits(bits, 2, len(FEATURES)), np.ones((len(bits), 1), np.int64)], axis=1)
     x = x.astype(float)
-    share = counts / counts.sum() * min(counts.sum(), 1000.0)
+    # Rare kinds count too, however many others there are.
+    share = np.maximum(counts / counts.sum() * min(counts.sum(), 1000.0), 3.0)
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -251,14 +349,14 @@ def learn(docs: DataFrame) -> Classifier | None:
     """A classifier from all candidates of all texts; none without candidates.
 
     Tasks send counts of kinds of candidates (votes and features), at most
-    3^8 * 2^12 kinds for any number of texts and a few hundred in practice.
+    3^12 * 2^16 kinds for any number of texts and a few hundred in practice.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds: Counter = Counter()
         for rows in batches:
             for text in rows["text"].tolist():
-                if text and _DIGIT.search(text):
+                if text:
                     kinds.update((votes_of(c), features_of(c)) for c in candidates(text, base_spans(text)))
         made = [(v, b, n) for (v, b), n in kinds.items()]
         yield pd.DataFrame(made, columns=["votes", "bits", "n"], dtype="int64")

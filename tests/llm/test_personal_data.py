@@ -96,3 +96,23 @@ def test_secrets_are_added_and_plain_numbers_are_not(spark, documents_of):
 
 def test_overlapping_spans_are_masked_once():
     assert pd_.masked("abcdefgh", [("ip", 1, 4), ("card", 3, 6), ("phone", 7, 8)]) == "a[IP]g[PHONE]"
+
+
+def test_spans_of_all_sources(spark, documents_of):
+    private = {
+        "password: hunterxyzabc here": "hunterxyzabc",
+        "my pin: 4821 ok": "4821",
+        "ssn 078 05 1120": "078 05 1120",
+        "IBAN DE89 3704 0044 0532 0130 00 thanks": "DE89 3704 0044 0532 0130 00",
+        "we met Anna Schmidt today": "Anna Schmidt",
+        "she lives at 12 Baker Street now": "12 Baker Street",
+    }
+    plain = ["Note: this is fine", "the key idea is simple", "version 1234567 of the page"]
+    many = [f'token = "{i:040x}"' for i in range(10**12, 10**12 + 300)]
+    docs = documents_of([*private, *plain, *many])
+    rows = pd_.find_personal_data(docs, pd_.learn(docs)).collect()
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows}
+    for i, (text, span) in enumerate(private.items()):
+        at = text.index(span)
+        assert found[i] == [(at, at + len(span))], text
+    assert found[6] == [] and found[7] == []
