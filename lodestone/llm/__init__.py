@@ -10,10 +10,13 @@ def load() -> tuple[dict, dict]:
         lexical_packing,
         multiset_hash,
         nb_svm,
+        negative_mining,
         personal_data,
         piece_coding,
         registry,
+        secret_scan,
         set_join,
+        token_alignment,
         toxicity,
         uniform_threshold,
         url_rules,
