@@ -224,7 +224,7 @@ def spill(
         made = pd.DataFrame(rows, columns=columns)
         for name in ("run", "radix", "doc", "doc_id", "n_a", "n_b", "n_groups", "n_links"):
             made[name] = made[name].astype("Int64")
-        return made
+        return made.astype({"groups_sha256": object})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair = tokenizers(ranks_path, pieces_path)
@@ -332,7 +332,7 @@ def highest(keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
 def merge_counts(runs: DataFrame, n_runs: int, fan: int = FAN) -> DataFrame:
     """``radix, keys, totals``: one list of each radix, from ``run, radix, keys, totals``."""
 
-    def merge(key, group: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         blobs = list(zip(group["keys"], group["totals"], strict=True))
         parts = list(merge_runs(blobs))
         keys = np.concatenate([k for k, _ in parts])
