@@ -44,7 +44,11 @@ LEVELS = (1, 4, 16)
 ANCHOR_BLOCK = 8192
 #: Pairs that a task holds at a time.
 CELLS = 1 << 21
+#: Below this share of pairs left they are bounded one by one.
+SPARSE = 1 / 16
 EXACT = float(2**53)
+#: Ends of windows without a limit; whole numbers, so that large scores stay apart.
+LEAST, MOST = -(2**62), 2**62
 #: Bounds are widened by this share of the vectors' lengths, beyond what rounding can do.
 SLACK = 1e-9
 
@@ -121,10 +125,15 @@ def blocks_of(rows: pd.DataFrame) -> Iterator[Block]:
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of matching rows."""
-    big = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] >= EXACT
-    if big:
-        return np.array([sum(x * y for x, y in zip(p, q, strict=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    return np.einsum("ij,ij->i", a, b)
+    if _small(a, b):
+        return np.einsum("ij,ij->i", a, b)
+    pairs = zip(a.tolist(), b.tolist(), strict=True)
+    return np.array([sum(x * y for x, y in zip(p, q, strict=True)) for p, q in pairs], np.int64)
+
+
+def _small(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether inner products of these rows are exact in floating point."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < EXACT
 
 
 # -- one task ---------------------------------------------------------------------------
@@ -134,7 +143,7 @@ class Kept:
     """The best entries of every window so far: ``(window, score, id)``."""
 
     def __init__(self, n: int, size: int):
-        self._size = size
+        self.size = size
         self.window = np.zeros(0, np.int64)
         self.score = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int64)
@@ -150,76 +159,100 @@ class Kept:
         window, score, ids = window[order], score[order], ids[order]
         starts = np.flatnonzero(np.diff(window, prepend=-1))
         place = np.arange(len(window)) - np.repeat(starts, np.diff(starts, append=len(window)))
-        keep = place < self._size
+        keep = place < self.size
         self.window, self.score, self.ids = window[keep], score[keep], ids[keep]
-        last = place == self._size - 1
+        last = place == self.size - 1
         self.cutoff[window[last]] = score[last]
 
 
+class Windows(NamedTuple):
+    """Score windows of every anchor: ``low`` and ``high`` of (anchor, slot); unused slots are empty."""
+
+    low: np.ndarray
+    high: np.ndarray
+
+
 class Tally(NamedTuple):
-    """How many pairs each step decided, for tests and reports."""
+    """How many pairs there were, and how many no level of bounds decided."""
 
     pairs: int
     exact: int
 
 
-def refine(
-    anchors: Block, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, kept: Kept, rows: Block, same: bool
-) -> Tally:
-    """Add to ``kept`` what ``rows`` offer to windows ``low <= score <= high`` of ``anchors``.
+def refine(anchors: Block, windows: Windows, kept: Kept, rows: Block, same: bool) -> Tally:
+    """Add to ``kept`` what ``rows`` offer to the ``windows`` of ``anchors``.
 
-    ``anchor`` is the place of each window's anchor; ``same`` asks for rows of its
-    label, else for rows of another.
+    ``same`` asks for rows of an anchor's label, else for rows of another. Bounds are
+    products of whole blocks while they leave many pairs, and of single pairs then.
     """
     pairs = exact = 0
+    slots, size = windows.low.shape[1], kept.size
     step = max(1, CELLS // max(1, len(rows.ids)))
-    for first in range(0, len(anchor), step):
-        windows = np.arange(first, min(first + step, len(anchor)))
-        own = anchor[windows]
-        usable = (anchors.labels[own][:, None] == rows.labels[None, :]) == same
-        usable &= anchors.ids[own][:, None] != rows.ids[None, :]
-        pairs += int(usable.sum())
-        # The first level is bounded for all pairs at once, as two small products.
-        top_a, top_r = anchors.levels[0], rows.levels[0]
-        middle = top_a.means[own] @ top_r.means.T
-        spread = top_a.deviations[own] @ top_r.deviations.T + SLACK * np.outer(anchors.norms[own], rows.norms) + SLACK
-        window, row = np.nonzero(usable & (middle - spread <= high[windows, None]) & (middle + spread >= low[windows, None]))
-        middle, spread = middle[window, row], spread[window, row]
-        for level in range(len(rows.levels)):
-            if level:
-                a, r = anchors.levels[level], rows.levels[level]
-                middle, spread = np.empty(len(window)), np.empty(len(window))
-                for at in range(0, len(window), 1 << 17):
-                    part = slice(at, at + (1 << 17))
-                    i, j = own[window[part]], row[part]
-                    middle[part] = np.einsum("ij,ij->i", a.means[i], r.means[j])
-                    spread[part] = np.einsum("ij,ij->i", a.deviations[i], r.deviations[j])
-                    spread[part] += SLACK * anchors.norms[i] * rows.norms[j] + SLACK
-            lower, upper = middle - spread, middle + spread
-            cutoff = np.maximum(kept.cutoff[windows], low[windows])
-            certain = (lower >= low[windows][window]) & (upper <= high[windows][window])
-            cutoff = np.maximum(cutoff, _kth(window[certain], lower[certain], len(windows), kept._size))
-            keep = (upper >= cutoff[window]) & (lower <= high[windows][window])
-            window, row = window[keep], row[keep]
-        exact += len(window)
-        for at in range(0, len(window), 1 << 17):
-            w, j = window[at : at + (1 << 17)], row[at : at + (1 << 17)]
-            score = exact_scores(anchors.ints[own[w]], rows.ints[j])
-            inside = (score >= low[windows][w]) & (score <= high[windows][w])
-            kept.add(windows[w[inside]], score[inside], rows.ids[j[inside]])
+    for first in range(0, len(anchors.ids), step):
+        own = slice(first, first + step)
+        low, high = windows.low[own], windows.high[own]
+        used = low <= high
+        any_low = np.where(used, low, MOST).min(axis=1)
+        any_high = np.where(used, high, LEAST).max(axis=1)
+        # A pair within these is in every window of its anchor.
+        all_low = np.where(used, low, LEAST).max(axis=1)
+        all_high = np.where(used, high, MOST).min(axis=1)
+        reached = np.where(used, kept.cutoff.reshape(-1, slots)[own], np.inf).min(axis=1)
+        cutoff = np.maximum(any_low, reached)
+        alive = (anchors.labels[own][:, None] == rows.labels[None, :]) == same
+        alive &= anchors.ids[own][:, None] != rows.ids[None, :]
+        alive &= used.any(axis=1)[:, None]
+        pairs += int(alive.sum())
+        slack = SLACK * np.outer(anchors.norms[own], rows.norms) + SLACK
+        anchor = row = None
+        for at, r in zip(anchors.levels, rows.levels, strict=True):
+            if anchor is None:
+                middle = at.means[own] @ r.means.T
+                spread = at.deviations[own] @ r.deviations.T + slack
+                lower, upper = middle - spread, middle + spread
+                sure = alive & (lower >= all_low[:, None]) & (upper <= all_high[:, None])
+                if len(rows.ids) >= size and sure.any():
+                    sure = np.where(sure, lower, -np.inf)
+                    cutoff = np.maximum(cutoff, np.partition(sure, -size, axis=1)[:, -size])
+                alive &= (upper >= cutoff[:, None]) & (lower <= any_high[:, None])
+                if alive.sum() < SPARSE * alive.size:
+                    anchor, row = np.nonzero(alive)
+            else:
+                keep = np.empty(len(anchor), bool)
+                for part in _parts(len(anchor)):
+                    i, j = anchor[part] + first, row[part]
+                    middle = np.einsum("ij,ij->i", at.means[i], r.means[j])
+                    spread = np.einsum("ij,ij->i", at.deviations[i], r.deviations[j])
+                    spread += slack[anchor[part], j]
+                    keep[part] = (middle + spread >= cutoff[anchor[part]]) & (middle - spread <= any_high[anchor[part]])
+                anchor, row = anchor[keep], row[keep]
+        if anchor is None and _small(anchors.ints[own], rows.ints):
+            exact += int(alive.sum())
+            scores = anchors.ints[own].astype(np.float64) @ rows.ints.T.astype(np.float64)
+            anchor, row = np.nonzero(alive & (scores >= cutoff[:, None]) & (scores <= any_high[:, None]))
+            score = scores[anchor, row].astype(np.int64)
+        else:
+            if anchor is None:
+                anchor, row = np.nonzero(alive)
+            exact += len(anchor)
+            score = np.empty(len(anchor), np.int64)
+            for part in _parts(len(anchor)):
+                score[part] = exact_scores(anchors.ints[anchor[part] + first], rows.ints[row[part]])
+        order = np.lexsort((rows.ids[row], -score, anchor))
+        anchor, score, ids = anchor[order], score[order], rows.ids[row[order]]
+        for slot in range(slots):
+            inside = (score >= low[anchor, slot]) & (score <= high[anchor, slot])
+            who, what, which = anchor[inside], score[inside], ids[inside]
+            starts = np.flatnonzero(np.diff(who, prepend=-1))
+            place = np.arange(len(who)) - np.repeat(starts, np.diff(starts, append=len(who)))
+            keep = place < size
+            kept.add((who[keep] + first) * slots + slot, what[keep], which[keep])
     return Tally(pairs, exact)
 
 
-def _kth(group: np.ndarray, values: np.ndarray, n: int, k: int) -> np.ndarray:
-    """The k-th highest value of each group; minus infinity where there are fewer."""
-    out = np.full(n, -np.inf)
-    order = np.lexsort((-values, group))
-    group, values = group[order], values[order]
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    ends = np.diff(starts, append=len(group))
-    enough = ends >= k
-    out[group[starts[enough]]] = values[starts[enough] + k - 1]
-    return out
+def _parts(n: int, size: int = 1 << 17) -> Iterator[slice]:
+    for at in range(0, n, size):
+        yield slice(at, at + size)
 
 
 # -- the corpus -------------------------------------------------------------------------
@@ -261,27 +294,24 @@ def _blocks(anchors: DataFrame) -> Iterator[list[Block]]:
 FOUND = "anchor_id long, bound long, vec_id long, score long"
 
 
-def _pass(rows: DataFrame, blocks: list[Block], bounds: list[tuple], size: int, same: bool) -> DataFrame:
-    """Candidates of every window, ``size`` of each from a task.
-
-    ``bounds`` are places of anchors with the lower and upper ends of their windows.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast((blocks, bounds))
+def _pass(rows: DataFrame, blocks: list[Block], windows: list[Windows], size: int, same: bool) -> DataFrame:
+    """Candidates of every window, ``size`` of each from a task; ``bound`` is a window's upper end."""
+    shared = rows.sparkSession.sparkContext.broadcast((blocks, windows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks, bounds = shared.value
+        blocks, windows = shared.value
         by_width = {b.ints.shape[1]: i for i, b in enumerate(blocks)}
-        kept = [Kept(len(anchor), size) for anchor, _, _ in bounds]
+        kept = [Kept(w.low.size, size) for w in windows]
         for batch in batches:
             for part in blocks_of(batch):
                 i = by_width.get(part.ints.shape[1])
                 if i is not None:
-                    refine(blocks[i], *bounds[i], kept[i], part, same)
-        for block, (anchor, _, high), found in zip(blocks, bounds, kept, strict=True):
+                    refine(blocks[i], windows[i], kept[i], part, same)
+        for block, w, found in zip(blocks, windows, kept, strict=True):
             yield pd.DataFrame(
                 {
-                    "anchor_id": block.ids[anchor[found.window]],
-                    "bound": pd.array(np.where(np.isinf(high), 0, high)[found.window].astype(np.int64)),
+                    "anchor_id": block.ids[found.window // w.low.shape[1]],
+                    "bound": w.high.ravel()[found.window],
                     "vec_id": found.ids,
                     "score": found.score,
                 }
@@ -299,21 +329,24 @@ def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFram
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def _positive_windows(blocks: list[Block]) -> list[tuple]:
-    return [(np.arange(len(b.ids)), np.full(len(b.ids), -np.inf), np.full(len(b.ids), np.inf)) for b in blocks]
+def _positive_windows(blocks: list[Block]) -> list[Windows]:
+    return [Windows(np.full((len(b.ids), 1), LEAST), np.full((len(b.ids), 1), MOST)) for b in blocks]
 
 
-def _negative_windows(blocks: list[Block], scores: pd.DataFrame, least: int, most: int, whole: int) -> list[tuple]:
-    """Each anchor's different positive scores as windows."""
+def _negative_windows(blocks: list[Block], scores: pd.DataFrame, slots: int, least: int, whole: int) -> list[Windows]:
+    """Each anchor's different positive scores as windows from ``least / whole`` of them."""
+    own = scores[["anchor_id", "score"]].drop_duplicates()
+    slot = own.groupby("anchor_id").cumcount().to_numpy()
+    high = own["score"].to_numpy(np.int64)
+    low = -(-least * high // whole)
     out = []
     for b in blocks:
-        place = pd.Series(np.arange(len(b.ids)), index=b.ids)
-        own = scores[scores["anchor_id"].isin(b.ids)][["anchor_id", "score"]].drop_duplicates()
-        high = own["score"].to_numpy(np.int64)
-        low, top = -(-least * high // whole), most * high // whole
-        usable = low <= top
-        anchor = place.loc[own["anchor_id"]].to_numpy(np.int64)
-        out.append((anchor[usable], low[usable].astype(float), top[usable].astype(float)))
+        place = pd.Index(b.ids).get_indexer(own["anchor_id"])
+        here = (place >= 0) & (low <= high)
+        windows = Windows(np.full((len(b.ids), slots), MOST), np.full((len(b.ids), slots), LEAST))
+        windows.low[place[here], slot[here]] = low[here]
+        windows.high[place[here], slot[here]] = high[here]
+        out.append(windows)
     return out
 
 
@@ -338,7 +371,7 @@ def mine(
         positives.append(known)
         # At most n_positives rows for each anchor of the block.
         scores = known.select("anchor_id", "score").toPandas()
-        windows = _negative_windows(blocks, scores, 80, 100, 100)
+        windows = _negative_windows(blocks, scores, n_positives, 80, 100)
         near = _pass(rows, blocks, windows, n_negatives, same=False)
         negatives.append(materialize(_first(near, ["anchor_id", "bound"], n_negatives, "rank"), "negatives"))
     chosen = _union(positives, spark, "anchor_id long, positive_id long, score long")
