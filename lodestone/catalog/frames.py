@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.lexicon import with_lexical_columns
+from lodestone.operators.literal import LiteralIndex, index_runs
 from lodestone.operators.postings import Inverted, invert
 from lodestone.session import materialize, spread
 
@@ -101,6 +102,12 @@ def inverted(spark: SparkSession, folder: str) -> Inverted:
     return _once(spark, folder, "inverted", lambda: invert(lexical_index(spark, folder)))
 
 
+def literal(spark: SparkSession, folder: str) -> LiteralIndex:
+    """The stored index of runs of letters of all documents."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _once(spark, folder, "literal", lambda: index_runs(texts))
+
+
 def full_index(spark: SparkSession, folder: str) -> DataFrame:
     """Passages with lexical columns, tags and, where there is one, a vector."""
     return _once(spark, folder, "full", lambda: _full_index(spark, folder))

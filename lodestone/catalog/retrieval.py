@@ -107,15 +107,13 @@ def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     inverted = frames.inverted(spark, folder)
     phrases = postings.query_phrases(_requests(spark, folder))
     numbered = postings.number_phrases(phrases)
-    totals = inverted.totals
-    frequency = postings.phrase_frequency(postings.phrase_hits(inverted, numbered))
-    n = totals.select("n").scalar()
-    return frequency.join(numbered.sized(numbered.dictionary), "phrase_id").select(
+    n = F.lit(inverted.passages).cast("bigint")
+    return postings.phrase_terms(inverted, numbered).join(numbered.sized(numbered.dictionary), "phrase_id").select(
         "phrase",
         "df",
         r6(postings.inverse_frequency(F.col("df"), n)).alias("idf"),
         n.alias("passages"),
-        r6(totals.select("average").scalar()).alias("average_length"),
+        r6(F.lit(inverted.average)).alias("average_length"),
     )
 
 
@@ -162,7 +160,7 @@ def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
     numbered = postings.number_phrases(compound.distinct())
     hits = postings.phrase_hits(frames.inverted(spark, folder), numbered)
     per_phrase = hits.groupBy("phrase_id").agg(
-        F.count("*").alias("passages"), F.sum("hits").alias("hits")
+        F.count("*").alias("passages"), F.sum("hits").cast("double").alias("hits")
     )
     named = per_phrase.join(numbered.sized(numbered.dictionary), "phrase_id")
     return named.select("phrase", "passages", "hits")

@@ -1,21 +1,34 @@
-"""Weighted BM25 over a stored inverted index of two columns.
-
-The index has one row per token and passage with the token's places in both
-columns, and is written once.  A query term is a phrase of one or more tokens:
-its tokens are looked up by an equality join, and of a phrase the shifted
-places that all its tokens share are counted.  A search never reads passages.
+"""Weighted BM25 over a stored inverted index of two columns, in bounded blocks.
+
+Postings of a token lie in blocks: one row holds those of its passages whose ids fall
+in one range of ``BLOCK_IDS``, with the most hits and the least length among them.
+Blocks are stored by bucket of the token, so a search opens the buckets of asked
+tokens only, and the statistics of tokens are a small table of their own beside them.
+
+A search keeps each request's best ``k`` as MaxScore does, in joins. What the rarest
+phrases of a request give to their passages yields a cutoff that ``k`` passages
+reach. Ranges of ids are the same for all tokens, so the bounds of a request's blocks
+of one range add up to what any passage there can reach; ranges below the
+cutoff are left out before a posting is read. What is left is scored exactly.
+
+A query term is a phrase of one or more tokens: of a phrase, the shifted places that
+all its tokens share are counted, in ranges that hold all of them. Contributions are
+summed as whole numbers: row order cannot change a rank. A search never reads
+passages, only the paths of those that may be among the best.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import index_tokens
 from lodestone.operators.ranking import salt_when_wide, top_k
-from lodestone.session import BROADCAST_ROWS, materialize
+from lodestone.session import BROADCAST_ROWS, collect_bounded, materialize, scratch_root
 
 K1, B = 1.2, 0.75
 HEADING_WEIGHT, CONTENT_WEIGHT = 4.0, 1.0
@@ -24,6 +37,23 @@ IDF_FLOOR = 1e-6
 # not depend on the order of rows, and equal passages tie exactly.
 UNIT = 1_000_000_000_000
 
+TOKEN_BUCKETS = 64
+BLOCK_IDS = 256
+# Blocks of so many neighbouring ranges and one bucket are made by one task.
+STRIPE = 256
+# Up to so many asked tokens are named to the scan, which then skips row groups.
+NAMED_TOKENS = 64
+# The rarest phrases of a request that set its cutoff have so many postings for each result.
+LEAD = 4
+
+PLACE = ("chunk_id", "display_path", "start_line")
+BLOCKS = (
+    "token string, block bigint, most_hits int, least_len int, at array<int>, lens array<int>, "
+    "hits array<int>, heading_at array<array<int>>, content_at array<array<int>>"
+)
+TERMS = "token string, df bigint, most_hits int, least_len int"
+
+
 def query_phrases(queries: DataFrame) -> DataFrame:
     """``qid, phrase, words, times`` from ``qid, terms``."""
     terms = queries.select("qid", F.explode("terms").alias("term"))
@@ -34,107 +64,284 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return phrases.groupBy("qid", "phrase", "words").agg(F.count("*").alias("times"))
 
 
-PLACE = ("chunk_id", "doc_len", "display_path", "start_line")
-POSTINGS = (
-    "token string, chunk_id bigint, doc_len int, display_path string, start_line int, "
-    "heading_at array<int>, content_at array<int>"
-)
+# ---- the stored index ----
+
+
+def token_bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(TOKEN_BUCKETS)).cast("int")
+
+
+def weighted_hits(heading_at: Column | str, content_at: Column | str) -> Column:
+    return HEADING_WEIGHT * F.size(heading_at) + CONTENT_WEIGHT * F.size(content_at)
+
 
+def _folded(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``at, lens, hits`` and other values, as arrays of one row per key."""
+    posting = F.struct("at", "len", "hits", "heading_at", "content_at")
+    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(posting)).alias("p"))
 
-def postings_of(passages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``POSTINGS`` and ``keep`` of every passage, sorted by token within a task.
+    def part(name: str) -> Column:
+        return F.col(f"p.{name}")
 
-    Rows are spread by token and passage, so a token of every passage is hot in
-    no task.
+    return listed.select(
+        *keys,
+        F.array_max(part("hits")).alias("most_hits"),
+        F.array_min(part("len")).alias("least_len"),
+        part("at").alias("at"),
+        part("len").alias("lens"),
+        part("hits").alias("hits"),
+        part("heading_at").alias("heading_at"),
+        part("content_at").alias("content_at"),
+    )
+
+
+def blocks_of(passages: DataFrame) -> DataFrame:
+    """``bucket`` and ``BLOCKS`` of every passage, sorted by token within a task.
+
+    One shuffle, by bucket and stripe of ids: a token of every passage is hot in no
+    task, and both groupings find their rows together.
     """
     sides = F.array(
         F.struct(F.lit(True).alias("title"), F.col("heading_tokens").alias("tokens")),
         F.struct(F.lit(False).alias("title"), F.col("content_tokens").alias("tokens")),
     )
-    place = [*keep, *PLACE]
-    per_side = passages.select(*place, F.explode(sides).alias("s")).select(*place, "s.*")
-    found = per_side.select(*place, "title", F.posexplode("tokens").alias("at", "token"))
+    per_side = passages.select("chunk_id", "doc_len", F.explode(sides).alias("s"))
+    found = per_side.select(
+        "chunk_id", "doc_len", "s.title", F.posexplode("s.tokens").alias("pos", "token")
+    ).withColumn("block", F.expr(f"(chunk_id - pmod(chunk_id, {BLOCK_IDS})) div {BLOCK_IDS}"))
+    dealt = found.select(
+        token_bucket(F.col("token")).alias("bucket"),
+        F.expr(f"block div {STRIPE}").alias("stripe"),
+        *found.columns,
+    ).repartition("bucket", "stripe")
 
     def places(title: bool) -> Column:
-        return F.collect_list(F.when(F.col("title") == title, F.col("at")))
+        return F.array_sort(F.collect_list(F.when(F.col("title") == title, F.col("pos"))))
 
-    grouped = found.groupBy("token", *place).agg(
+    keys = ["bucket", "stripe", "token", "block"]
+    grouped = dealt.groupBy(*keys, "chunk_id", "doc_len").agg(
         places(True).alias("heading_at"), places(False).alias("content_at")
     )
-    return grouped.select(
-        "token", *place, F.array_sort("heading_at").alias("heading_at"),
-        F.array_sort("content_at").alias("content_at"),
-    ).sortWithinPartitions("token")
+    postings = grouped.select(
+        *keys,
+        (F.col("chunk_id") - F.col("block") * BLOCK_IDS).cast("int").alias("at"),
+        F.col("doc_len").alias("len"),
+        weighted_hits("heading_at", "content_at").cast("int").alias("hits"),
+        "heading_at",
+        "content_at",
+    )
+    blocks = _folded(postings, keys).drop("stripe")
+    return blocks.sortWithinPartitions("bucket", "token", "block")
+
+
+def terms_of(blocks: DataFrame) -> DataFrame:
+    """``bucket`` and ``TERMS``: passages of every token and bounds over all its blocks."""
+    counted = blocks.groupBy("bucket", "token").agg(
+        F.sum(F.size("at")).alias("df"),
+        F.max("most_hits").alias("most_hits"),
+        F.min("least_len").alias("least_len"),
+    )
+    return counted.sortWithinPartitions("bucket", "token")
+
+
+def removed_terms(passages: DataFrame) -> DataFrame:
+    """``bucket`` and ``TERMS`` that take passages out of the counts again."""
+    tokens = F.explode(F.array_distinct(F.concat("heading_tokens", "content_tokens")))
+    counted = passages.select(tokens.alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("int")
+    return counted.select(
+        token_bucket(F.col("token")).alias("bucket"), "token", (-F.col("n")).alias("df"),
+        none.alias("most_hits"), none.alias("least_len"),
+    )
+
+
+def passage_totals(passages: DataFrame) -> tuple[int, int]:
+    """Number and summed length of passages, to be added to the totals of an index."""
+    found = passages.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    return found[0], found[1]
+
+
+def write_segment(passages: DataFrame, folder: str, removed: DataFrame | None = None) -> None:
+    """Blocks and terms of passages; the terms also take ``removed`` passages out."""
+    spark = passages.sparkSession
+    blocks_of(passages).write.partitionBy("bucket").parquet(os.path.join(folder, "blocks"))
+    terms = terms_of(_read(spark, folder, "blocks").select("bucket", *_META, "at"))
+    if removed is not None:
+        terms = terms.unionByName(removed_terms(removed))
+    terms.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy(
+        "bucket"
+    ).parquet(os.path.join(folder, "terms"))
+
+
+_META = ["token", "block", "most_hits", "least_len"]
+
+
+def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    shape = f"{BLOCKS if name == 'blocks' else TERMS}, bucket int"
+    return spark.read.schema(shape).parquet(os.path.join(folder, name))
 
 
 class Inverted(NamedTuple):
-    """Postings, and the passage count and mean length of the whole index."""
+    """A stored index: its blocks and terms, the totals it counts with, and its passages' paths.
+
+    ``dead`` holds ids of passages that are in blocks but no longer in the index.
+    """
 
-    postings: DataFrame
-    totals: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    passages: int
+    tokens: int
+    places: DataFrame
+    dead: DataFrame | None = None
+
+    @property
+    def average(self) -> float:
+        return self.tokens / self.passages if self.passages else 0.0
+
+
+def read_segments(
+    spark: SparkSession,
+    folders: list[str],
+    totals: tuple[int, int],
+    places: DataFrame,
+    dead: DataFrame | None = None,
+) -> Inverted:
+    """The index that written segments make up together."""
+    frames = {}
+    for name in ("blocks", "terms"):
+        parts = [_read(spark, folder, name) for folder in folders]
+        whole = parts[0] if parts else spark.createDataFrame([], f"{BLOCKS if name == 'blocks' else TERMS}, bucket int")
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        frames[name] = whole
+    return Inverted(frames["blocks"], frames["terms"], *totals, places.select(*PLACE), dead)
 
 
 def invert(passages: DataFrame) -> Inverted:
-    """The inverted index of a frame of passages, written to the shared folder."""
-    return Inverted(materialize(postings_of(passages), "postings"), index_totals(passages))
+    """The index of a frame of passages, written to the shared folder."""
+    spark = passages.sparkSession
+    folder = os.path.join(scratch_root(spark), "lodestone", f"postings-{uuid.uuid4().hex}")
+    write_segment(passages, folder)
+    return read_segments(spark, [folder], passage_totals(passages), passages)
+
+
+# ---- what a request batch asks of it ----
 
 
 class Phrases(NamedTuple):
-    """The distinct phrases of a request batch with short ids, and who asks."""
+    """The distinct phrases of a request batch with short ids, and who asks.
+
+    ``buckets`` are those of all tokens, ``named`` the tokens themselves if they are few.
+    """
 
     dictionary: DataFrame
     asked: DataFrame
     lengths: list[int]
     small: bool
+    buckets: list[int]
+    named: list[str] | None
 
     def sized(self, df: DataFrame) -> DataFrame:
         """Hint a broadcast of a frame of at most one row per asked phrase."""
         return F.broadcast(df) if self.small else df
 
+    def pruned(self, stored: DataFrame) -> DataFrame:
+        """The part of a stored frame that can hold asked tokens: their buckets, and row groups."""
+        wanted = stored.where(F.col("bucket").isin(self.buckets))
+        return wanted if self.named is None else wanted.where(F.col("token").isin(self.named))
+
 
 def number_phrases(phrases: DataFrame) -> Phrases:
-    """Write the asked phrases once; everything else derives from that table."""
+    """Write the asked phrases once; everything else derives from that table.
+
+    Numbers of at most ``TOKEN_BUCKETS`` buckets come to the driver, and tokens if they are few.
+    """
     stored = materialize(phrases.withColumn("_row", F.monotonically_increasing_id()), "phrases")
     facts = stored.agg(F.count("*").alias("n"), F.collect_set("words").alias("lengths")).first()
     small = facts.n <= BROADCAST_ROWS
     dictionary = stored.groupBy("phrase", "words").agg(F.min("_row").alias("phrase_id"))
     names = dictionary.select("phrase", "phrase_id")
     asked = stored.drop("_row").join(F.broadcast(names) if small else names, "phrase")
-    return Phrases(dictionary, asked.drop("phrase"), sorted(facts.lengths) or [1], small)
+    tokens = stored.select(F.explode(F.split("phrase", " ")).alias("token")).distinct()
+    buckets = tokens.select(token_bucket(F.col("token")).alias("bucket")).distinct().collect()
+    named = collect_bounded(tokens, NAMED_TOKENS)
+    return Phrases(
+        dictionary,
+        asked.drop("phrase"),
+        sorted(facts.lengths) or [1],
+        small,
+        sorted(r.bucket for r in buckets),
+        None if named is None else sorted(r.token for r in named),
+    )
 
 
-def phrase_hits(inverted: Inverted, phrases: Phrases) -> DataFrame:
-    """``phrase_id``, passage and weighted ``hits`` of every match in the index."""
-    tokens = phrases.dictionary.select(
-        "phrase_id", "words", F.posexplode(F.split("phrase", " ")).alias("at", "token")
+def _phrase_tokens(phrases: Phrases) -> DataFrame:
+    return phrases.dictionary.select(
+        "phrase_id", "words", F.posexplode(F.split("phrase", " ")).alias("nth", "token")
     )
-    found = inverted.postings.join(phrases.sized(tokens), "token")
-    hits = HEADING_WEIGHT * F.size("heading_at") + CONTENT_WEIGHT * F.size("content_at")
-    columns = ["phrase_id", *PLACE]
-    single = found.filter(F.col("words") == 1).select(*columns, hits.alias("hits"))
-    if phrases.lengths == [1]:
-        return single
 
-    def shifted(name: str) -> Column:
-        return F.transform(name, lambda x: x - F.col("at"))
+
+def _opened(blocks: DataFrame, *names: str) -> DataFrame:
+    """A row per posting: ``chunk_id`` and the named arrays' values, beside other columns."""
+    arrays = ["at", "lens", "hits", "heading_at", "content_at"]
+    kept = [c for c in blocks.columns if c not in arrays]
+    rows = blocks.select(*kept, F.inline(F.arrays_zip("at", *names)))
+    chunk = (F.col("block") * BLOCK_IDS + F.col("at")).alias("chunk_id")
+    return rows.select(*kept, chunk, *names)
+
+
+def _live(postings: DataFrame, inverted: Inverted) -> DataFrame:
+    if inverted.dead is None:
+        return postings
+    return postings.join(inverted.dead.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def _single_blocks(inverted: Inverted, phrases: Phrases) -> DataFrame:
+    """``phrase_id`` and the blocks of every phrase of one token."""
+    tokens = phrases.dictionary.where("words = 1").select("phrase_id", F.col("phrase").alias("token"))
+    stored = phrases.pruned(inverted.blocks)
+    return stored.join(phrases.sized(tokens), "token").drop("token", "bucket")
+
+
+def _several(inverted: Inverted, phrases: Phrases) -> DataFrame:
+    """``phrase_id, block, chunk_id, len, hits`` of every match of phrases of several tokens."""
+    tokens = _phrase_tokens(phrases).where("words > 1")
+    stored = phrases.pruned(inverted.blocks)
+    # Only ranges that hold all tokens of a phrase are opened.
+    ranges = stored.select("token", "block").join(phrases.sized(tokens), "token")
+    held = ranges.groupBy("phrase_id", "words", "block").agg(F.count_distinct("nth").alias("n"))
+    held = held.where(F.col("n") == F.col("words")).select("phrase_id", "block")
+    found = stored.join(phrases.sized(tokens), "token").join(held, ["phrase_id", "block"])
+    rows = _opened(
+        found.select("phrase_id", "words", "nth", "block", "at", "lens", "heading_at", "content_at"),
+        "lens", "heading_at", "content_at",
+    )
 
     def shared(name: str) -> Column:
-        lists = F.collect_list(shifted(name))
+        lists = F.collect_list(F.transform(name, lambda x: x - F.col("nth")))
         rest = F.slice(lists, F.lit(2), F.greatest(F.size(lists) - 1, F.lit(0)))
         return F.aggregate(rest, F.get(lists, F.lit(0)), F.array_intersect)
 
-    several = (
-        found.filter(F.col("words") > 1)
-        .groupBy(*columns, "words")
-        .agg(
-            F.count("*").alias("n"),
-            shared("heading_at").alias("heading_at"),
-            shared("content_at").alias("content_at"),
-        )
-        .filter(F.col("n") == F.col("words"))
-        .select(*columns, hits.alias("hits"))
+    matched = rows.groupBy("phrase_id", "words", "block", "chunk_id", F.col("lens").alias("len")).agg(
+        F.count("*").alias("n"),
+        shared("heading_at").alias("heading_at"),
+        shared("content_at").alias("content_at"),
     )
-    return single.unionByName(several.filter("hits > 0"))
+    hits = weighted_hits("heading_at", "content_at").cast("int").alias("hits")
+    whole = matched.where(F.col("n") == F.col("words"))
+    return _live(whole.select("phrase_id", "block", "chunk_id", "len", hits).where("hits > 0"), inverted)
+
+
+def phrase_hits(inverted: Inverted, phrases: Phrases) -> DataFrame:
+    """``phrase_id, chunk_id, len`` and weighted ``hits`` of every match in the index."""
+    singles = _opened(
+        _single_blocks(inverted, phrases).select("phrase_id", "block", "at", "lens", "hits"), "lens", "hits"
+    )
+    singles = singles.select("phrase_id", "chunk_id", F.col("lens").alias("len"), "hits")
+    singles = _live(singles, inverted)
+    if phrases.lengths == [1]:
+        return singles
+    return singles.unionByName(_several(inverted, phrases).drop("block"))
 
 
 def inverse_frequency(n: Column, total: Column) -> Column:
@@ -146,15 +353,116 @@ def contribution(idf: Column, hits: Column, length: Column, average: Column) ->
     return idf * hits * (K1 + 1) / (hits + K1 * (1 - B + B * length / average))
 
 
-def phrase_frequency(hits: DataFrame) -> DataFrame:
-    """Number of passages per phrase, over the whole index."""
-    return hits.groupBy("phrase_id").agg(F.count("*").alias("df"))
+def phrase_terms(inverted: Inverted, phrases: Phrases, several: DataFrame | None = None) -> DataFrame:
+    """``phrase_id, df`` of every asked phrase that the index holds.
+
+    Of one token it is in the stored terms; of several the matches are counted.
+    """
+    tokens = phrases.dictionary.where("words = 1").select("phrase_id", F.col("phrase").alias("token"))
+    stored = phrases.pruned(inverted.terms).join(phrases.sized(tokens), "token")
+    known = stored.groupBy("phrase_id").agg(F.sum("df").alias("df")).where("df > 0")
+    if phrases.lengths == [1]:
+        return known
+    several = _several(inverted, phrases) if several is None else several
+    return known.unionByName(several.groupBy("phrase_id").agg(F.count("*").alias("df")))
+
+
+# ---- ranking ----
+
 
+class Ranking(NamedTuple):
+    """A batch on its way through the index, for the ranks and for reports."""
 
-def index_totals(passages: DataFrame) -> DataFrame:
-    """Passage count and mean length of the whole index, in one row."""
-    counted = passages.agg(F.count("*").alias("n"), F.sum("doc_len").alias("tokens"))
-    return counted.select("n", (F.col("tokens") / F.col("n")).alias("average"))
+    asked: DataFrame  # qid, phrase_id, times, idf, df, before (postings of rarer phrases), scope
+    lists: DataFrame  # phrase_id and the blocks of all asked phrases
+    wanted: DataFrame  # phrase_id, block and who wants it, after the cutoffs
+    cutoffs: DataFrame | None
+    scores: DataFrame  # qid, chunk_id, units
+
+
+def _units(inverted: Inverted, hits: str, length: str) -> Column:
+    part = contribution(F.col("idf"), F.col(hits), F.col(length), F.lit(inverted.average))
+    return F.round(part * UNIT).cast("bigint")
+
+
+def _weighed(inverted: Inverted, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who asks what at which weight, and the blocks of all that is asked."""
+    numbered = number_phrases(phrases)
+    several = None
+    if numbered.lengths != [1]:
+        several = materialize(_several(inverted, numbered), "phrase-matches")
+    terms = phrase_terms(inverted, numbered, several)
+    total = F.lit(inverted.passages)
+    terms = terms.withColumn("idf", inverse_frequency(F.col("df"), total))
+    asked = numbered.asked.join(numbered.sized(terms), "phrase_id")
+    rarer = Window.partitionBy("qid").orderBy("df", "phrase_id").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.withColumn("before", F.coalesce(F.sum("df").over(rarer), F.lit(0)))
+    names = ["phrase_id", "block", "most_hits", "least_len", "at", "lens", "hits"]
+    lists = _single_blocks(inverted, numbered).select(*names)
+    if several is not None:
+        none = F.lit(None).cast("array<int>")
+        matches = several.select(
+            "phrase_id", "block", (F.col("chunk_id") - F.col("block") * BLOCK_IDS).cast("int").alias("at"),
+            "len", "hits", none.alias("heading_at"), none.alias("content_at"),
+        )
+        lists = lists.unionByName(_folded(matches, ["phrase_id", "block"]).select(*names))
+    return materialize(asked, "weighed-phrases"), lists
+
+
+def _scores(lists: DataFrame, wanted: DataFrame, inverted: Inverted) -> DataFrame:
+    """``qid, chunk_id, units`` of the wanted blocks: ``phrase_id, block, askers``."""
+    blocks = lists.select("phrase_id", "block", "at", "lens", "hits").join(wanted, ["phrase_id", "block"])
+    rows = _live(_opened(blocks, "lens", "hits"), inverted)
+    given = rows.select("chunk_id", F.inline("askers"), "idf", "lens", "hits")
+    units = _units(inverted, "hits", "lens") * F.col("times")
+    keys = ["qid", "chunk_id", *(["scope"] if "scope" in given.columns else [])]
+    return given.select(*keys, units.alias("units")).groupBy(*keys).agg(F.sum("units").alias("units"))
+
+
+def _permitted(scores: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    if allowed is None:
+        return scores
+    kept = scores.join(allowed, "chunk_id").filter(F.array_contains("scopes", F.col("scope")))
+    return kept.drop("scope", "scopes")
+
+
+def _asking(asked: DataFrame, *keys: str) -> DataFrame:
+    """Who asks, gathered by phrase (and block)."""
+    who = F.struct("qid", "times", *(["scope"] if "scope" in asked.columns else []))
+    return asked.groupBy("phrase_id", *keys).agg(
+        F.first("idf").alias("idf"), F.collect_list(who).alias("askers")
+    )
+
+
+def rank_batch(
+    inverted: Inverted, phrases: DataFrame, k: int | None = None, allowed: DataFrame | None = None
+) -> Ranking:
+    """Scores of a batch: of every match, or with ``k`` of all that can be among the best ``k``."""
+    asked, lists = _weighed(inverted, phrases)
+    meta = lists.select("phrase_id", "block", "most_hits", "least_len")
+    cutoffs = None
+    if k is None:
+        wanted = meta.select("phrase_id", "block").join(_asking(asked), "phrase_id")
+    else:
+        leads = asked.where(F.col("before") < LEAD * k)
+        first = meta.select("phrase_id", "block").join(_asking(leads), "phrase_id")
+        partial = _permitted(_scores(lists, first, inverted), allowed)
+        salt = salt_when_wide(partial, "chunk_id")
+        best = top_k(partial, ["qid"], [F.col("units").desc(), F.col("chunk_id")], k, salt=salt)
+        reached = best.where(F.col("rank") == k).select("qid", F.col("units").alias("cutoff"))
+        cutoffs = materialize(reached, "cutoffs")
+        # One unit covers the rounding of a bound that is reached exactly.
+        bound = (_units(inverted, "most_hits", "least_len") + 1) * F.col("times")
+        bounded = meta.join(asked, "phrase_id").withColumn("bound", bound)
+        whole = F.sum("bound").over(Window.partitionBy("qid", "block"))
+        reachable = bounded.withColumn("whole", whole).join(cutoffs, "qid", "left")
+        reachable = reachable.where(F.col("cutoff").isNull() | (F.col("whole") >= F.col("cutoff")))
+        wanted = materialize(_asking(reachable, "block"), "wanted-blocks")
+    scores = _permitted(_scores(lists, wanted, inverted), allowed)
+    if cutoffs is not None:
+        scores = scores.join(cutoffs, "qid", "left")
+        scores = scores.where(F.col("cutoff").isNull() | (F.col("units") >= F.col("cutoff"))).drop("cutoff")
+    return Ranking(asked, lists, wanted, cutoffs, scores)
 
 
 def keyword_scores(
@@ -165,34 +473,29 @@ def keyword_scores(
     Frequencies, passage count and mean length come from the whole index. With
     ``allowed`` (``chunk_id, scopes``) a match must be in its request's ``scope``.
     """
-    numbered = number_phrases(phrases)
-    totals = inverted.totals
-    total, average = totals.select("n").scalar(), totals.select("average").scalar()
-    hits = materialize(phrase_hits(inverted, numbered), "phrase-hits")
-    idf = phrase_frequency(hits).select(
-        "phrase_id", inverse_frequency(F.col("df"), total).alias("idf")
-    )
-    part = contribution(F.col("idf"), F.col("hits"), F.col("doc_len"), average)
-    weighed = hits.join(numbered.sized(idf), "phrase_id").withColumn(
-        "units", F.round(part * UNIT).cast("bigint")
-    )
-    matched = weighed.join(numbered.sized(numbered.asked), "phrase_id")
-    key = ["qid", "chunk_id", "display_path", "start_line"]
-    if allowed is not None:
-        key.append("scope")
-    units = F.sum(F.col("units") * F.col("times"))
-    scored = matched.groupBy(*key).agg((-units / UNIT).alias("score"))
-    if allowed is None:
-        return scored
-    kept = scored.join(allowed, "chunk_id").filter(F.array_contains("scopes", F.col("scope")))
-    return kept.drop("scope", "scopes")
+    scores = rank_batch(inverted, phrases, None, allowed).scores
+    named = scores.join(inverted.places, "chunk_id")
+    return named.select("qid", *PLACE, (-F.col("units") / UNIT).alias("score"))
 
 
 def best_keywords(
     inverted: Inverted, phrases: DataFrame, k: int, allowed: DataFrame | None = None
 ) -> DataFrame:
     """Best ``k`` passages per query: ``qid, chunk_id, …, score, keyword_rank``."""
-    scored = keyword_scores(inverted, phrases, allowed)
+    scores = rank_batch(inverted, phrases, k, allowed).scores
+    # Paths decide among equal scores only, so few passages need theirs.
+    by_score = Window.partitionBy("qid").orderBy(F.desc("units"))
+    tied = scores.withColumn("_place", F.rank().over(by_score)).where(F.col("_place") <= k)
+    tied = materialize(tied.drop("_place"), "keyword-ties")
+    named = tied.join(inverted.places, "chunk_id")
+    scored = named.select("qid", *PLACE, (-F.col("units") / UNIT).alias("score"))
     order = [F.col(name) for name in ("score", "display_path", "start_line", "chunk_id")]
     salt = salt_when_wide(scored, "chunk_id")
     return top_k(scored, ["qid"], order, k, rank="keyword_rank", salt=salt)
+
+
+def opened_blocks(ranking: Ranking) -> tuple[int, int]:
+    """How many blocks a batch's requests had among their phrases, and how many were opened."""
+    askers = F.coalesce(F.sum(F.size("askers")), F.lit(0))
+    whole = ranking.lists.select("phrase_id").join(_asking(ranking.asked), "phrase_id")
+    return whole.agg(askers).first()[0], ranking.wanted.agg(askers).first()[0]

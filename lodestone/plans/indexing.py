@@ -16,14 +16,13 @@ from lodestone.functions.text import mask_block
 from lodestone.operators.changes import KEY, change_set
 from lodestone.operators.chunking import chunk_documents
 from lodestone.operators.lexicon import with_lexical_columns
-from lodestone.operators.postings import postings_of
 from lodestone.operators.ranking import global_position
 from lodestone.operators.scopes import clean_tags
 from lodestone.plans.search import check_request, requests_frame, route_batch
 from lodestone.session import materialize
 from lodestone.sources.markdown_dir import discover_all
 from lodestone.sources.providers import HashingProvider, ProviderFactory, embed_column
-from lodestone.sources.store import TABLES, IndexStore, bucket_of
+from lodestone.sources.store import NO_SEGMENTS, TABLES, IndexStore, bucket_of
 
 # Regions between these markers are kept out of the index.
 MASK_MARKERS = ("<!-- managed:start -->", "<!-- managed:end -->")
@@ -133,15 +132,20 @@ def index_documents(
         *[c for c in _columns("documents") if c not in ("collection_id", "indexed_at")],
         F.current_timestamp().alias("indexed_at"),
     )
+    old = store.table("chunks", touched)
     frames = {
         "documents": store.table("documents", touched)
         .join(moved, KEY, "left_anti")
         .unionByName(documents),
-        "chunks": store.table("chunks", touched).join(moved, KEY, "left_anti").unionByName(chunks),
+        "chunks": old.join(moved, KEY, "left_anti").unionByName(chunks),
     }
-    frames["postings"] = postings_of(frames["chunks"], ("source_id", "document_key"))
+    segments = None
+    if touched:
+        gone = old.join(moved, KEY, "left_semi")
+        left = store.table("chunks").join(moved, KEY, "left_anti")
+        segments = store.add_segment(chunks, gone, left.unionByName(chunks))
     sources = [asdict(source) for source in config.sources]
-    store.commit(frames, touched, metadata, sources, chunks.count())
+    store.commit(frames, touched, metadata, sources, chunks.count(), segments)
     return Summary(**counts, **dict(zip(("documents", "chunks"), _counts(store), strict=True)))
 
 
@@ -162,6 +166,7 @@ def initialize(
         "metadata": {},
         "next_chunk_id": 1,
         "parts": {name: {} for name in TABLES},
+        **NO_SEGMENTS,
     }
     return index_documents(store, config, discover_all(spark, config, root), factory)
 

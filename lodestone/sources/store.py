@@ -4,6 +4,12 @@ Documents and chunks are split in buckets by document.  An update writes only
 the buckets it touches to a new version folder; replacing the manifest file is
 the single step that makes it visible, so readers and failed updates always
 see a whole index.
+
+Postings are bucketed by token, and one document has tokens of nearly every bucket.
+So an update adds a segment with the postings of its new chunks, the ids of the chunks
+that are gone, and what both change in the counts of tokens; totals are in the
+manifest.  When there are ``MERGE_AT`` segments, or a quarter of the chunks in them
+are gone, the update writes one segment of all chunks instead.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import NavigationError
-from lodestone.operators.postings import POSTINGS, Inverted, index_totals, postings_of
+from lodestone.operators.postings import Inverted, passage_totals, read_segments, write_segment
 from lodestone.sources.schema import DOCUMENTS, SCHEMA_VERSION, upgraded
 
 BUCKETS = 64
@@ -28,10 +34,11 @@ CHUNKS = (
     "embedding array<float>, heading_terms array<string>, content_terms array<string>, "
     "heading_tokens array<string>, content_tokens array<string>, doc_len int"
 )
-STORED_POSTINGS = "source_id string, document_key string, " + POSTINGS
-TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "postings": STORED_POSTINGS}
-# What the files of a bucket are sorted by, so that readers can skip row groups.
-SORTED_BY = {"documents": "display_path", "chunks": "display_path", "postings": "token"}
+TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS}
+MERGE_AT = 8
+DEAD_SHARE = 0.25
+#: Segments' folders, folders of ids of chunks that are gone, and totals of what is left.
+NO_SEGMENTS = {"segments": [], "dead": [], "dead_chunks": 0, "passages": 0, "tokens": 0}
 
 
 def bucket_of(buckets: int) -> Column:
@@ -49,6 +56,7 @@ class IndexStore:
             "metadata": {},
             "sources": [],
             "parts": {name: {} for name in TABLES},
+            **NO_SEGMENTS,
         }
         if self.manifest["schema_version"] > SCHEMA_VERSION:
             raise NavigationError("INDEX_DATA_INVALID", "The index was made by a newer version.")
@@ -126,9 +134,46 @@ class IndexStore:
 
     def inverted(self) -> Inverted | None:
         """The stored inverted index; none in an index that an older version made."""
-        if "postings" not in self.manifest["parts"]:
+        if "segments" not in self.manifest:
             return None
-        return Inverted(self.table("postings"), index_totals(self.table("chunks")))
+        held = self.manifest
+        dead = None
+        if held["dead"]:
+            folders = [os.path.join(self.path, folder) for folder in held["dead"]]
+            dead = self.spark.read.schema("chunk_id bigint").parquet(*folders)
+        segments = [os.path.join(self.path, folder) for folder in held["segments"]]
+        totals = held["passages"], held["tokens"]
+        return read_segments(self.spark, segments, totals, self.table("chunks"), dead)
+
+    def add_segment(self, fresh: DataFrame, gone: DataFrame, chunks: DataFrame) -> dict:
+        """Write what ``fresh`` chunks add and ``gone`` chunks take away; manifest entries.
+
+        ``chunks`` are all chunks after the update, which a merged segment is made of.
+        """
+        folder = f"postings/v{self.manifest['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        where = os.path.join(self.path, folder)
+        old = {**NO_SEGMENTS, **self.manifest}
+        added, removed = passage_totals(fresh), passage_totals(gone)
+        dead_chunks = old["dead_chunks"] + removed[0]
+        known = "segments" in self.manifest
+        passages = old["passages"] + added[0] - removed[0]
+        many = len(old["segments"]) + 1 >= MERGE_AT
+        if not known or many or dead_chunks > DEAD_SHARE * (passages + dead_chunks):
+            write_segment(chunks, where)
+            totals = (passages, old["tokens"] + added[1] - removed[1]) if known else passage_totals(chunks)
+            return {**NO_SEGMENTS, "segments": [folder], "passages": totals[0], "tokens": totals[1]}
+        write_segment(fresh, where, gone)
+        dead = list(old["dead"])
+        if removed[0]:
+            gone.select("chunk_id").write.parquet(os.path.join(where, "dead"))
+            dead.append(f"{folder}/dead")
+        return {
+            "segments": [*old["segments"], folder],
+            "dead": dead,
+            "dead_chunks": dead_chunks,
+            "passages": passages,
+            "tokens": old["tokens"] + added[1] - removed[1],
+        }
 
     def commit(
         self,
@@ -137,8 +182,12 @@ class IndexStore:
         metadata: dict[str, str],
         sources: list[dict],
         new_chunks: int,
+        segments: dict | None = None,
     ) -> None:
-        """Replace the touched buckets of every table and publish the result."""
+        """Replace the touched buckets of every table and publish the result.
+
+        ``segments`` are the manifest entries of the update's postings.
+        """
         version = self.manifest["version"] + 1
         # A folder of its own: another writer of this version cannot touch it.
         written_by = uuid.uuid4().hex[:8]
@@ -156,7 +205,7 @@ class IndexStore:
                 # Rebalancing gives big buckets several tasks and small ones a
                 # shared task.
                 rows.hint("rebalance", "bucket").sortWithinPartitions(
-                    "bucket", SORTED_BY[name]
+                    "bucket", "display_path"
                 ).write.partitionBy("bucket").parquet(where)
                 shape = f"{TABLES[name]}, bucket int"  # a folder without rows has none
                 stored = self.spark.read.schema(shape).parquet(where)
@@ -172,5 +221,6 @@ class IndexStore:
                 "metadata": {**self.manifest["metadata"], **metadata},
                 "sources": sources,
                 "parts": parts,
+                **(segments or {}),
             }
         )

@@ -2,7 +2,7 @@ import pytest
 
 from lodestone.errors import NavigationError
 from lodestone.sources.schema import DOCUMENTS
-from lodestone.sources.store import CHUNKS, STORED_POSTINGS, IndexStore, bucket_of
+from lodestone.sources.store import CHUNKS, IndexStore, bucket_of
 
 
 def _frames(spark, key):
@@ -10,7 +10,6 @@ def _frames(spark, key):
     return {
         "documents": spark.createDataFrame([row], DOCUMENTS),
         "chunks": spark.createDataFrame([], CHUNKS),
-        "postings": spark.createDataFrame([], STORED_POSTINGS),
     }
 
 
@@ -39,7 +38,7 @@ def test_a_failure_midway_leaves_the_index_whole(spark, tmp_path):
     path = str(tmp_path / "index")
     _commit(IndexStore(spark, path), spark, "a.md")
     store, frames = IndexStore(spark, path), _frames(spark, "b.md")
-    frames["postings"] = frames["documents"].selectExpr("raise_error('lost') as token", "*")
+    frames["chunks"] = frames["documents"].selectExpr("raise_error('lost') as content", "*")
     with pytest.raises(Exception, match="lost"):
         store.commit(frames, list(range(64)), {}, [], 0)
     assert _keys(spark, path) == {"a.md"}

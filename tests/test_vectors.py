@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import tokens, vectors
 from lodestone.operators.corpus import vector_problems
-from lodestone.operators.literal import containing
 
 
 def test_pooling(spark):
@@ -53,12 +52,3 @@ def test_truncated_vector_is_unit(spark):
     frame = spark.createDataFrame([([3.0, 4.0, 9.0],)], "v array<double>")
     assert frame.select(vectors.truncated(F.col("v"), 2).alias("v")).first().v == [0.6, 0.8]
     assert frame.select(vectors.truncated(F.col("v"), 4).alias("v")).first().v is None
-
-
-def test_containing_equals_brute_force(spark):
-    texts = [(i, "ab" * (i % 5) + "xyz" * (i % 3)) for i in range(60)]
-    patterns = [(0, "ab"), (1, "bx"), (2, "zx"), (3, "xyz"), (4, ""), (5, "xyz")]
-    left = spark.createDataFrame(texts, "k int, t string")
-    right = spark.createDataFrame(patterns, "pattern_id bigint, pattern string")
-    found = {(r.pattern_id, r.k) for r in containing(left, right, "t", "k").collect()}
-    assert found == {(p, k) for p, word in patterns for k, t in texts if word and word in t}
