@@ -11,10 +11,11 @@ reach. Ranges of ids are the same for all tokens, so the bounds of a request's b
 of one range add up to what any passage there can reach; ranges below the
 cutoff are left out before a posting is read. What is left is scored exactly.
 
-A query term is a phrase of one or more tokens: of a phrase, the shifted places that
-all its tokens share are counted, in ranges that hold all of them. Contributions are
-summed as whole numbers: row order cannot change a rank. A search never reads
-passages, only the paths of those that may be among the best.
+A query term is a phrase of one or more tokens. Passages that hold all tokens of a
+phrase come from the blocks, and its places are counted in their stored token
+sequences. Contributions are summed as whole numbers: row order cannot change a rank.
+Of passages a search reads nothing but these sequences, and the paths of those that
+may be among the best.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ IDF_FLOOR = 1e-6
 # not depend on the order of rows, and equal passages tie exactly.
 UNIT = 1_000_000_000_000
 
-TOKEN_BUCKETS = 64
+TOKEN_BUCKETS = 32
 BLOCK_IDS = 256
 # Blocks of so many neighbouring ranges and one bucket are made by one task.
 STRIPE = 256
@@ -45,11 +46,15 @@ STRIPE = 256
 NAMED_TOKENS = 64
 # The rarest phrases of a request that set its cutoff have so many postings for each result.
 LEAD = 4
+# A cutoff is sought where the index has so many passages for each result; in a
+# smaller one nearly every range holds a result, and none could be left out.
+SEARCHED = 256
 
 PLACE = ("chunk_id", "display_path", "start_line")
+SEQUENCES = ("heading_tokens", "content_tokens", "doc_len")
 BLOCKS = (
     "token string, block bigint, most_hits int, least_len int, at array<int>, lens array<int>, "
-    "hits array<int>, heading_at array<array<int>>, content_at array<array<int>>"
+    "hits array<int>"
 )
 TERMS = "token string, df bigint, most_hits int, least_len int"
 
@@ -71,65 +76,44 @@ def token_bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(TOKEN_BUCKETS)).cast("int")
 
 
-def weighted_hits(heading_at: Column | str, content_at: Column | str) -> Column:
-    return HEADING_WEIGHT * F.size(heading_at) + CONTENT_WEIGHT * F.size(content_at)
-
-
 def _folded(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``at, lens, hits`` and other values, as arrays of one row per key."""
-    posting = F.struct("at", "len", "hits", "heading_at", "content_at")
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(posting)).alias("p"))
-
-    def part(name: str) -> Column:
-        return F.col(f"p.{name}")
-
+    """Rows of ``at, len, hits`` as arrays of one row per key."""
+    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "len", "hits"))).alias("p"))
     return listed.select(
         *keys,
-        F.array_max(part("hits")).alias("most_hits"),
-        F.array_min(part("len")).alias("least_len"),
-        part("at").alias("at"),
-        part("len").alias("lens"),
-        part("hits").alias("hits"),
-        part("heading_at").alias("heading_at"),
-        part("content_at").alias("content_at"),
+        F.array_max("p.hits").alias("most_hits"),
+        F.array_min("p.len").alias("least_len"),
+        F.col("p.at").alias("at"),
+        F.col("p.len").alias("lens"),
+        F.col("p.hits").alias("hits"),
     )
 
 
 def blocks_of(passages: DataFrame) -> DataFrame:
     """``bucket`` and ``BLOCKS`` of every passage, sorted by token within a task.
 
-    One shuffle, by bucket and stripe of ids: a token of every passage is hot in no
-    task, and both groupings find their rows together.
+    One shuffle, by bucket and stripe of ids: both groupings find their rows together, and a
+    token of every passage is hot in no task.
     """
-    sides = F.array(
-        F.struct(F.lit(True).alias("title"), F.col("heading_tokens").alias("tokens")),
-        F.struct(F.lit(False).alias("title"), F.col("content_tokens").alias("tokens")),
-    )
-    per_side = passages.select("chunk_id", "doc_len", F.explode(sides).alias("s"))
-    found = per_side.select(
-        "chunk_id", "doc_len", "s.title", F.posexplode("s.tokens").alias("pos", "token")
-    ).withColumn("block", F.expr(f"(chunk_id - pmod(chunk_id, {BLOCK_IDS})) div {BLOCK_IDS}"))
-    dealt = found.select(
-        token_bucket(F.col("token")).alias("bucket"),
-        F.expr(f"block div {STRIPE}").alias("stripe"),
-        *found.columns,
-    ).repartition("bucket", "stripe")
-
-    def places(title: bool) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("title") == title, F.col("pos"))))
 
-    keys = ["bucket", "stripe", "token", "block"]
-    grouped = dealt.groupBy(*keys, "chunk_id", "doc_len").agg(
-        places(True).alias("heading_at"), places(False).alias("content_at")
-    )
-    postings = grouped.select(
-        *keys,
-        (F.col("chunk_id") - F.col("block") * BLOCK_IDS).cast("int").alias("at"),
-        F.col("doc_len").alias("len"),
-        weighted_hits("heading_at", "content_at").cast("int").alias("hits"),
-        "heading_at",
-        "content_at",
+    def weighted(tokens: str, weight: float) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(int(weight)).alias("weight")))
+
+    both = F.concat(weighted("heading_tokens", HEADING_WEIGHT), weighted("content_tokens", CONTENT_WEIGHT))
+    found = passages.select("chunk_id", "doc_len", F.inline(both))
+    block = F.expr(f"(chunk_id - pmod(chunk_id, {BLOCK_IDS})) div {BLOCK_IDS}")
+    dealt = (
+        found.withColumn("bucket", token_bucket(F.col("token")))
+        .withColumn("block", block)
+        .withColumn("stripe", F.expr(f"block div {STRIPE}"))
+        .repartition("bucket", "stripe")
     )
+    keys = ["bucket", "stripe", "token", "block"]
+    summed = dealt.groupBy(*keys, "chunk_id", "doc_len").agg(F.sum("weight").cast("int").alias("hits"))
+    postings = summed.select(
+        *keys, (F.col("chunk_id") - F.col("block") * BLOCK_IDS).cast("int").alias("at"),
+        F.col("doc_len").alias("len"), "hits",
+    )
     blocks = _folded(postings, keys).drop("stripe")
     return blocks.sortWithinPartitions("bucket", "token", "block")
 
@@ -184,7 +168,8 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 class Inverted(NamedTuple):
     """A stored index: its blocks and terms, the totals it counts with, and its passages' paths.
 
-    ``dead`` holds ids of passages that are in blocks but no longer in the index.
+    ``places`` are the passages with their paths and token sequences; ``dead`` holds ids of
+    passages that are in blocks but no longer in the index.
     """
 
     blocks: DataFrame
@@ -193,6 +178,7 @@ class Inverted(NamedTuple):
     tokens: int
     places: DataFrame
     dead: DataFrame | None = None
+    segmented: bool = False
 
     @property
     def average(self) -> float:
@@ -214,7 +200,7 @@ def read_segments(
         for part in parts[1:]:
             whole = whole.unionByName(part)
         frames[name] = whole
-    return Inverted(frames["blocks"], frames["terms"], *totals, places.select(*PLACE), dead)
+    return Inverted(frames["blocks"], frames["terms"], *totals, places.select(*PLACE, *SEQUENCES), dead, len(folders) > 1)
 
 
 def invert(passages: DataFrame) -> Inverted:
@@ -275,15 +261,9 @@ def number_phrases(phrases: DataFrame) -> Phrases:
     )
 
 
-def _phrase_tokens(phrases: Phrases) -> DataFrame:
-    return phrases.dictionary.select(
-        "phrase_id", "words", F.posexplode(F.split("phrase", " ")).alias("nth", "token")
-    )
-
-
 def _opened(blocks: DataFrame, *names: str) -> DataFrame:
     """A row per posting: ``chunk_id`` and the named arrays' values, beside other columns."""
-    arrays = ["at", "lens", "hits", "heading_at", "content_at"]
+    arrays = ["at", "lens", "hits"]
     kept = [c for c in blocks.columns if c not in arrays]
     rows = blocks.select(*kept, F.inline(F.arrays_zip("at", *names)))
     chunk = (F.col("block") * BLOCK_IDS + F.col("at")).alias("chunk_id")
@@ -303,33 +283,42 @@ def _single_blocks(inverted: Inverted, phrases: Phrases) -> DataFrame:
     return stored.join(phrases.sized(tokens), "token").drop("token", "bucket")
 
 
-def _several(inverted: Inverted, phrases: Phrases) -> DataFrame:
-    """``phrase_id, block, chunk_id, len, hits`` of every match of phrases of several tokens."""
-    tokens = _phrase_tokens(phrases).where("words > 1")
-    stored = phrases.pruned(inverted.blocks)
-    # Only ranges that hold all tokens of a phrase are opened.
-    ranges = stored.select("token", "block").join(phrases.sized(tokens), "token")
-    held = ranges.groupBy("phrase_id", "words", "block").agg(F.count_distinct("nth").alias("n"))
-    held = held.where(F.col("n") == F.col("words")).select("phrase_id", "block")
-    found = stored.join(phrases.sized(tokens), "token").join(held, ["phrase_id", "block"])
-    rows = _opened(
-        found.select("phrase_id", "words", "nth", "block", "at", "lens", "heading_at", "content_at"),
-        "lens", "heading_at", "content_at",
-    )
+def _occurrences(tokens: str) -> Column:
+    """How often the words of a phrase follow each other in a sequence."""
+    return F.expr(
+        f"size(filter(sequence(1, greatest(size({tokens}) - size(words), 0) + 1), i -> "
+        f"get({tokens}, i - 1) = words[0] and slice({tokens}, i, size(words)) = words))"
+    )
 
-    def shared(name: str) -> Column:
-        lists = F.collect_list(F.transform(name, lambda x: x - F.col("nth")))
-        rest = F.slice(lists, F.lit(2), F.greatest(F.size(lists) - 1, F.lit(0)))
-        return F.aggregate(rest, F.get(lists, F.lit(0)), F.array_intersect)
 
-    matched = rows.groupBy("phrase_id", "words", "block", "chunk_id", F.col("lens").alias("len")).agg(
-        F.count("*").alias("n"),
-        shared("heading_at").alias("heading_at"),
-        shared("content_at").alias("content_at"),
+def _several(inverted: Inverted, phrases: Phrases) -> DataFrame:
+    """``phrase_id, block, chunk_id, len, hits`` of every match of phrases of several tokens."""
+    tokens = phrases.dictionary.where("words > 1").select(
+        "phrase_id", F.explode(F.array_distinct(F.split("phrase", " "))).alias("token")
+    )
+    needed = tokens.groupBy("phrase_id").agg(F.count("*").alias("needed"))
+    lists = phrases.pruned(inverted.blocks).select("token", "block", "at").join(phrases.sized(tokens), "token")
+    found = lists.groupBy("phrase_id", "block").agg(F.collect_list("at").alias("lists"))
+    found = found.join(phrases.sized(needed), "phrase_id").where(F.size("lists") >= F.col("needed"))
+    if inverted.segmented:
+        # A range has a block of each segment: postings are counted one by one.
+        at = found.select("phrase_id", "needed", "block", F.explode(F.flatten("lists")).alias("at"))
+        held = at.groupBy("phrase_id", "needed", "block", "at").agg(F.count("*").alias("n"))
+        held = held.where(F.col("n") == F.col("needed")).select("phrase_id", "block", "at")
+    else:
+        rest = F.slice("lists", F.lit(2), F.greatest(F.size("lists") - 1, F.lit(0)))
+        shared = F.aggregate(rest, F.get("lists", F.lit(0)), F.array_intersect)
+        held = found.select("phrase_id", "block", F.explode(shared).alias("at"))
+    chunk = (F.col("block") * BLOCK_IDS + F.col("at")).alias("chunk_id")
+    # Written, so that the planner knows how few passages are wanted.
+    held = materialize(held.select("phrase_id", "block", chunk), "phrase-candidates")
+    words = phrases.dictionary.select("phrase_id", F.split("phrase", " ").alias("words"))
+    read = held.join(inverted.places.select("chunk_id", *SEQUENCES), "chunk_id").join(phrases.sized(words), "phrase_id")
+    hits = HEADING_WEIGHT * _occurrences("heading_tokens") + CONTENT_WEIGHT * _occurrences("content_tokens")
+    counted = read.select(
+        "phrase_id", "block", "chunk_id", F.col("doc_len").alias("len"), hits.cast("int").alias("hits")
     )
-    hits = weighted_hits("heading_at", "content_at").cast("int").alias("hits")
-    whole = matched.where(F.col("n") == F.col("words"))
-    return _live(whole.select("phrase_id", "block", "chunk_id", "len", hits).where("hits > 0"), inverted)
+    return counted.where("hits > 0")
 
 
 def phrase_hits(inverted: Inverted, phrases: Phrases) -> DataFrame:
@@ -400,18 +389,18 @@ def _weighed(inverted: Inverted, phrases: DataFrame) -> tuple[DataFrame, DataFra
     names = ["phrase_id", "block", "most_hits", "least_len", "at", "lens", "hits"]
     lists = _single_blocks(inverted, numbered).select(*names)
     if several is not None:
-        none = F.lit(None).cast("array<int>")
         matches = several.select(
             "phrase_id", "block", (F.col("chunk_id") - F.col("block") * BLOCK_IDS).cast("int").alias("at"),
-            "len", "hits", none.alias("heading_at"), none.alias("content_at"),
+            "len", "hits",
         )
         lists = lists.unionByName(_folded(matches, ["phrase_id", "block"]).select(*names))
     return materialize(asked, "weighed-phrases"), lists
 
 
 def _scores(lists: DataFrame, wanted: DataFrame, inverted: Inverted) -> DataFrame:
-    """``qid, chunk_id, units`` of the wanted blocks: ``phrase_id, block, askers``."""
-    blocks = lists.select("phrase_id", "block", "at", "lens", "hits").join(wanted, ["phrase_id", "block"])
+    """``qid, chunk_id, units`` of what is wanted: ``phrase_id``, perhaps ``block``, and ``askers``."""
+    keys = [c for c in ("phrase_id", "block") if c in wanted.columns]
+    blocks = lists.select("phrase_id", "block", "at", "lens", "hits").join(wanted, keys)
     rows = _live(_opened(blocks, "lens", "hits"), inverted)
     given = rows.select("chunk_id", F.inline("askers"), "idf", "lens", "hits")
     units = _units(inverted, "hits", "lens") * F.col("times")
@@ -439,18 +428,22 @@ def rank_batch(
 ) -> Ranking:
     """Scores of a batch: of every match, or with ``k`` of all that can be among the best ``k``."""
     asked, lists = _weighed(inverted, phrases)
-    meta = lists.select("phrase_id", "block", "most_hits", "least_len")
+    if k is not None and inverted.passages < SEARCHED * k:
+        k = None
     cutoffs = None
     if k is None:
-        wanted = meta.select("phrase_id", "block").join(_asking(asked), "phrase_id")
+        wanted = _asking(asked)
     else:
-        leads = asked.where(F.col("before") < LEAD * k)
-        first = meta.select("phrase_id", "block").join(_asking(leads), "phrase_id")
-        partial = _permitted(_scores(lists, first, inverted), allowed)
+        leads = _asking(asked.where(F.col("before") < LEAD * k))
+        partial = _permitted(_scores(lists, leads, inverted), allowed)
         salt = salt_when_wide(partial, "chunk_id")
         best = top_k(partial, ["qid"], [F.col("units").desc(), F.col("chunk_id")], k, salt=salt)
         reached = best.where(F.col("rank") == k).select("qid", F.col("units").alias("cutoff"))
         cutoffs = materialize(reached, "cutoffs")
+        # A range has a block of each segment; a passage is in one of them.
+        meta = lists.groupBy("phrase_id", "block").agg(
+            F.max("most_hits").alias("most_hits"), F.min("least_len").alias("least_len")
+        )
         # One unit covers the rounding of a bound that is reached exactly.
         bound = (_units(inverted, "most_hits", "least_len") + 1) * F.col("times")
         bounded = meta.join(asked, "phrase_id").withColumn("bound", bound)
@@ -497,5 +490,6 @@ def best_keywords(
 def opened_blocks(ranking: Ranking) -> tuple[int, int]:
     """How many blocks a batch's requests had among their phrases, and how many were opened."""
     askers = F.coalesce(F.sum(F.size("askers")), F.lit(0))
-    whole = ranking.lists.select("phrase_id").join(_asking(ranking.asked), "phrase_id")
-    return whole.agg(askers).first()[0], ranking.wanted.agg(askers).first()[0]
+    lists = ranking.lists.select("phrase_id", "block").distinct()
+    had = lists.join(_asking(ranking.asked), "phrase_id").agg(askers).first()[0]
+    return had, had if ranking.cutoffs is None else ranking.wanted.agg(askers).first()[0]
