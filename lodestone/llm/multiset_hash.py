@@ -1,18 +1,21 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
-Every paragraph (line) is hashed to a wide vector of 16-bit numbers, and a
+Every paragraph (line) is hashed to a wide vector of 64-bit numbers, and a
 document's fingerprint is the sum of its paragraphs' vectors, each lane modulo
-2^16. The order of paragraphs does not count, and adding or removing one is an
-addition or subtraction. A vector has two parts:
+2^64. The order of paragraphs does not count, and adding or removing one is an
+addition or subtraction. A vector has three parts:
 
-* ``EXACT_LANES`` lanes straight from a hash of the paragraph's bytes. Different
-  multisets agree on them with a chance of about 2^-1024.
+* ``EXACT_LANES`` lanes straight from a hash of the paragraph's bytes. They agree for
+  different multisets only if hashes, times differences of counts, add up to nothing in
+  every lane: copies of one line by the ten thousands do not, as 2^64 copies would.
+* One lane that counts paragraphs.
 * ``SKETCH_LANES`` lanes in which each word triple of the paragraph adds +1 or
   -1 to one lane (a count sketch). The squared length of a difference estimates
   how many triples differ, which gives a likeness; fewer words than three count
-  as one triple. Its standard error is about ``sqrt(2 / SKETCH_LANES)``.
+  as one triple. Its standard error is about ``sqrt(2 / SKETCH_LANES)``. It is printed in
+  32 bits, which a lane's sum leaves only beyond two billion equal triples.
 
-Both parts are sums over paragraphs, so inserting and deleting work on the
+All parts are sums over paragraphs, so inserting and deleting work on the
 whole fingerprint.
 """
 
@@ -28,9 +31,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.registry import query, table
 
-EXACT_LANES = 64
+EXACT_LANES = 16
 SKETCH_LANES = 128
-LANES = EXACT_LANES + SKETCH_LANES
+LANES = EXACT_LANES + 1 + SKETCH_LANES
+_SKETCH = slice(EXACT_LANES + 1, LANES)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,21 +72,21 @@ class Hasher:
         return _mixed(h[:1])
 
     def vector(self, paragraphs: list[str]) -> np.ndarray:
-        """The sum of the vectors of ``paragraphs``, as 16-bit numbers."""
-        out = np.zeros(LANES, np.uint16)
+        """The sum of the vectors of ``paragraphs``, as 64-bit numbers."""
+        out = np.zeros(LANES, np.uint64)
         if not paragraphs:
             return out
         digests = b"".join(
-            hashlib.shake_128(p.encode("utf-8", "surrogatepass")).digest(2 * EXACT_LANES)
+            hashlib.shake_128(p.encode("utf-8", "surrogatepass")).digest(8 * EXACT_LANES)
             for p in paragraphs
         )
-        lanes = np.frombuffer(digests, "<u2").reshape(-1, EXACT_LANES)
-        out[:EXACT_LANES] = lanes.sum(axis=0, dtype=np.uint64).astype(np.uint16)
+        lanes = np.frombuffer(digests, "<u8").reshape(-1, EXACT_LANES)
+        out[:EXACT_LANES] = lanes.sum(axis=0, dtype=np.uint64)
+        out[EXACT_LANES] = len(paragraphs)
         triples = np.concatenate([self._triples(p) for p in paragraphs])
         lane = (triples % np.uint64(SKETCH_LANES)).astype(np.int64)
         sign = np.where(triples >> np.uint64(63), 1.0, -1.0)
-        sums = np.bincount(lane, sign, SKETCH_LANES).astype(np.int64)
-        out[EXACT_LANES:] = (sums % 65536).astype(np.uint16)
+        out[_SKETCH] = np.bincount(lane, sign, SKETCH_LANES).astype(np.int64).view(np.uint64)
         return out
 
     def fingerprint(self, text: str | None) -> np.ndarray:
@@ -103,14 +107,15 @@ def deleted(fingerprint: np.ndarray, vector: np.ndarray) -> np.ndarray:
 
 
 def as_text(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype("<u2").tobytes().hex()
+    exact, sketch = fingerprint[: EXACT_LANES + 1], fingerprint[_SKETCH]
+    return (exact.astype("<u8").tobytes() + sketch.astype("<u4").tobytes()).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal multisets of triples, about 0 for disjoint ones."""
     if np.array_equal(a, b):
         return 1.0
-    x, y, d = (v[EXACT_LANES:].astype(np.int16).astype(np.float64) for v in (a, b, a - b))
+    x, y, d = (v[_SKETCH].view(np.int64).astype(np.float64) for v in (a, b, a - b))
     total = float(x @ x + y @ y)
     return min(1.0, max(0.0, 1.0 - float(d @ d) / total)) if total else 0.0
 

@@ -95,3 +95,14 @@ def test_fingerprints(spark, documents_of):
     rows = mh.fingerprints(documents_of([None, "a\nb", "b\na"]).withColumnRenamed("lang", "fingerprint")).collect()
     found = {r["doc_id"]: r["fingerprint"] for r in rows}
     assert found[1] == found[2] != found[0]
+
+
+def test_many_copies_of_a_line_do_not_vanish():
+    hasher = mh.Hasher()
+    none = mh.as_text(hasher.fingerprint(""))
+    texts = ["a line\n" * n for n in (1, 65_536, 65_537, 131_072)]
+    seen = {mh.as_text(hasher.fingerprint(t)) for t in texts}
+    assert len(seen) == 4 and none not in seen
+    long = hasher.fingerprint("one two three\n" * 70_000)
+    assert mh.likeness(long, hasher.fingerprint("one two three\n" * 35_000)) < 0.9
+    assert mh.likeness(long, hasher.fingerprint("one two three\n" * 69_000)) > 0.9
