@@ -15,7 +15,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, size: int)
     """``doc_id, text, label`` of at most ``size`` documents, half of each label.
 
     Ids are taken in the order of their hash, only rows that are not held out.
-    The chosen ids are at most ``size`` rows, so they are broadcast to the texts.
+    The chosen ids are at most ``size`` rows, so they are broadcast to the texts. Of several
+    rows of one id the smallest text counts, so the bound is one of rows too.
     """
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     parts = [
@@ -26,4 +27,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, size: int)
         for label in (0, 1)
     ]
     chosen = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

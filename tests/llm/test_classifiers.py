@@ -158,3 +158,18 @@ def test_training_windows_hold_the_toxic_passage(spark, documents_of, monkeypatc
     found = set(sample.owner[inside.any(axis=1)].tolist())
     assert found == set(np.flatnonzero(sample.labels).tolist()) and found
     assert np.bincount(sample.owner).max() == toxicity.SAMPLE_WINDOWS
+
+
+def test_a_sample_has_one_row_of_each_id(spark, documents_of):
+    docs = documents_of([(1, f"copy {i:04d}") for i in range(2000)] + [(i, "other") for i in range(2, 40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    rows = samples.labelled_sample(docs, labels, "toxic", 60).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) <= 60
+    assert [r["text"] for r in rows if r["doc_id"] == 1] in ([], ["copy 0000"])
+
+
+def test_feature_numbers_come_back_from_either_form():
+    for n in (0, 5, 2047, 2048, 60_000):
+        found = np.sort(np.random.default_rng(n).choice(nb_svm.FEATURES, n, replace=False))
+        assert nb_svm.unpacked(nb_svm.packed(found)).tolist() == found.tolist()
+        assert len(nb_svm.packed(found)) <= nb_svm.FEATURES // 8
