@@ -246,9 +246,10 @@ def word_documents(docs: DataFrame) -> tuple[np.ndarray, int, int]:
     counted = docs.select("text").mapInPandas(run, "bin long, n long").groupBy("bin")
     # No level asks for words of one document.
     wanted = (F.col("n") > 1) | F.col("bin").isin(0, WORD_BINS)
-    rows = counted.agg(F.sum("n").alias("n")).where(wanted).toPandas()
+    # As Arrow columns: a row object of each bin would take hundreds of megabytes.
+    rows = counted.agg(F.sum("n").alias("n")).where(wanted).toArrow()
     sums = np.zeros(WORD_BINS + 1, np.int64)
-    sums[rows["bin"]] = rows["n"]
+    sums[rows["bin"].to_numpy()] = rows["n"].to_numpy()
     return sums[:WORD_BINS], int(sums[0]), int(sums[WORD_BINS])
 
 
@@ -292,7 +293,7 @@ def by_lexical_key(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame
     if ranges > 1:
         every = max(1, rows // (SAMPLED * ranges))
         some = docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(every)) == 0)
-        keys = np.sort(some.select(places(bounds)["key"].alias("key")).toPandas()["key"].to_numpy(np.int64))
+        keys = np.sort(some.select(places(bounds)["key"].alias("key")).toArrow()["key"].to_numpy())
         if len(keys):
             bounds = keys[np.arange(1, ranges) * len(keys) // ranges]
     placed = docs.select("doc_id", "text", places(bounds).alias("at"))

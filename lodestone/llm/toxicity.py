@@ -509,9 +509,9 @@ def count_odds(sample: DataFrame) -> Odds:
         yield pd.DataFrame({"label": label, "bin": found, "n": sums[label, found]})
 
     counted = sample.mapInPandas(run, "label long, bin long, n long")
-    rows = counted.groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()
+    rows = counted.groupBy("label", "bin").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((2, size), np.int64)
-    sums[rows["label"], rows["bin"]] = rows["n"]
+    sums[rows["label"].to_numpy(), rows["bin"].to_numpy()] = rows["n"].to_numpy()
     labels = np.repeat([0, 1], sums[:, -1])
     if len(set(labels.tolist())) < 2:
         return Odds(np.zeros(ODDS_BINS, np.float32), np.zeros(GRAM_BINS, np.float32))
