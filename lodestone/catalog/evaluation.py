@@ -138,14 +138,13 @@ def literal_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, folder: str, probed: Probed) -> Routes:
-    (routes,) = route_batch(
+    return route_batch(
         frames.full_index(spark, folder),
         probed.requests,
         CONFIG,
         keep_routes=True,
         inverted=frames.inverted(spark, folder),
     )
-    return routes
 
 
 def _ranks(found: DataFrame, rank: str, expected: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.cells import CellIndex, index_cells
 from lodestone.operators.lexicon import with_lexical_columns
 from lodestone.operators.literal import LiteralIndex, index_runs
 from lodestone.operators.postings import Inverted, invert
@@ -102,6 +103,11 @@ def inverted(spark: SparkSession, folder: str) -> Inverted:
     return _once(spark, folder, "inverted", lambda: invert(lexical_index(spark, folder)))
 
 
+def cells(spark: SparkSession, folder: str) -> CellIndex:
+    """The stored cells of all vectors that belong to documents."""
+    return _once(spark, folder, "cells", lambda: index_cells(vectors(spark, folder)))
+
+
 def literal(spark: SparkSession, folder: str) -> LiteralIndex:
     """The stored index of runs of letters of all documents."""
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")

@@ -12,12 +12,12 @@ from lodestone.config import SearchConfig
 from lodestone.functions import text
 from lodestone.functions.text import line_label, score_label
 from lodestone.operators import postings, tree
+from lodestone.operators.cells import nearest_in_cells
 from lodestone.operators.lexicon import with_lexical_columns
 from lodestone.operators.fusion import location_score
 from lodestone.operators.nearest import nearest
-from lodestone.operators.scopes import number_scopes
+from lodestone.operators.scopes import number_scopes, with_scopes
 from lodestone.plans.search import (
-    SCOPES_PER_PASS,
     Routes,
     diagnostics,
     read_requests,
@@ -41,8 +41,7 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 def _routes(spark: SparkSession, folder: str, keep: bool = False) -> Routes:
     index = frames.full_index(spark, folder)
     asked, inverted = frames.requests(spark, folder), frames.inverted(spark, folder)
-    (routes,) = route_batch(index, asked, CONFIG, keep_routes=keep, inverted=inverted)
-    return routes
+    return route_batch(index, asked, CONFIG, keep_routes=keep, inverted=inverted)
 
 
 def _results(spark: SparkSession, folder: str, snippets: bool = False) -> DataFrame:
@@ -63,6 +62,20 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("qid", "chunk_id", big("vector_rank"), r6("distance").alias("distance"))
 
 
+@query(
+    "indexed_vector_topk",
+    q.with_ctes(
+        "vecr",
+        f"""SELECT qid, chunk_id, vector_rank, {q.r6('distance')} AS distance FROM vecr
+            WHERE vector_rank <= 10""",
+    ),
+)
+def indexed_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest, from the cells that can hold them."""
+    found = nearest_in_cells(frames.cells(spark, folder), _requests(spark, folder), 10).rows
+    return found.select("qid", "chunk_id", big("vector_rank"), r6("distance").alias("distance"))
+
+
 @query(
     "rank_locations",
     q.with_ctes(
@@ -254,56 +267,76 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_WANTED = {
+    "tagged": "SELECT doc_id AS chunk_id, toxic = 1 AS toxic FROM labels",
+    "wanted": """SELECT item_id AS qid, '/' || lang || '/' AS needle,
+          CASE WHEN len(b.text) % 2 = 0 THEN source END AS source_wanted,
+          len(b.text) % 3 = 0 AS tag_wanted
+        FROM benchmark b JOIN documents ON item_id = doc_id""",
+}
+_IN_SCOPE = """JOIN docs USING (chunk_id) LEFT JOIN tagged USING (chunk_id) JOIN wanted USING (qid)
+  WHERE contains(lower(docs.display_path), needle) AND (source_wanted IS NULL
+    OR docs.source_id = source_wanted) AND (NOT tag_wanted OR coalesce(toxic, false))"""
+
+
+def _scoped(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Requests with a path, source and tag filter of their own, and passages with their scopes."""
+    owners = frames.table(spark, folder, "documents").select("doc_id", "lang", "source")
+    asked = frames.requests(spark, folder)
+    size = F.length("query")
+    filters = asked.join(owners, asked.qid == owners.doc_id).select(
+        *asked.columns,
+        # The path filter starts at the folder: a leading "./" would be dropped.
+        F.concat(F.lit("\\"), F.upper("lang"), F.lit("\\")).alias("path"),
+        F.when(size % 2 == 0, F.array("source")).alias("source_ids"),
+        F.when(size % 3 == 0, F.array(F.lit("TOXIC"))).alias("tags"),
+    )
+    requests = materialize(read_requests(filters, CONFIG), "requests")
+    numbered, table = number_scopes(requests)
+    scoped = with_scopes(frames.full_index(spark, folder), table)
+    return numbered, scoped.select("chunk_id", "display_path", "start_line", "embedding", "scopes")
+
+
 @query(
     "scoped_search",
     q.with_ctes(
         "kw docs",
         f"""SELECT qid, chunk_id, keyword_rank, {q.r6("score")} AS score FROM (
               SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid
-                ORDER BY score, display_path, start_line, chunk_id) AS keyword_rank
-              FROM kw JOIN docs USING (chunk_id) LEFT JOIN tagged USING (chunk_id)
-                JOIN wanted USING (qid)
-              WHERE contains(lower(display_path), needle) AND (source_wanted IS NULL
-                OR source_id = source_wanted) AND (NOT tag_wanted OR coalesce(toxic, false)))
+                ORDER BY score, docs.display_path, docs.start_line, chunk_id) AS keyword_rank
+              FROM kw {_IN_SCOPE})
             WHERE keyword_rank <= 20""",
-        tagged="SELECT doc_id AS chunk_id, toxic = 1 AS toxic FROM labels",
-        wanted="""SELECT item_id AS qid, '/' || lang || '/' AS needle,
-              CASE WHEN len(b.text) % 2 = 0 THEN source END AS source_wanted,
-              len(b.text) % 3 = 0 AS tag_wanted
-            FROM benchmark b JOIN documents ON item_id = doc_id""",
+        **_WANTED,
     ),
 )
 def scoped_search(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword route with a different path, source and tag filter per request."""
-    owners = frames.table(spark, folder, "documents").select("doc_id", "lang", "source")
-    asked = frames.requests(spark, folder)
-    size = F.length("query")
-    filters = asked.join(owners, asked.qid == owners.doc_id).select(
-        *asked.columns,
-        F.concat(F.lit("./"), F.upper("lang"), F.lit("\\")).alias("path"),
-        F.when(size % 2 == 0, F.array("source")).alias("source_ids"),
-        F.when(size % 3 == 0, F.array(F.lit("TOXIC"))).alias("tags"),
-    )
-    # The path filter starts at the folder: a leading "./" is dropped.
-    filters = filters.withColumn("path", F.expr("concat('\\\\', substring(path, 3))"))
-    requests = materialize(read_requests(filters, CONFIG), "requests")
-    index = frames.full_index(spark, folder)
-    scopes = [
-        row.asDict()
-        for row in requests.select("path", "source_ids", "tags").distinct().collect()
-    ]
-    found = None
-    for first in range(0, len(scopes), SCOPES_PER_PASS):
-        some = scopes[first : first + SCOPES_PER_PASS]
-        numbered, scoped = number_scopes(requests, index, some)
-        numbered = numbered.filter(F.col("scope").isNotNull())
-        phrases = postings.query_phrases(numbered).join(numbered.select("qid", "scope"), "qid")
-        allowed = scoped.select("chunk_id", "scopes")
-        part = postings.best_keywords(frames.inverted(spark, folder), phrases, 20, allowed)
-        found = part if found is None else found.unionByName(part)
+    numbered, scoped = _scoped(spark, folder)
+    phrases = postings.query_phrases(numbered).join(numbered.select("qid", "scope"), "qid")
+    allowed = scoped.select("chunk_id", "scopes")
+    found = postings.best_keywords(frames.inverted(spark, folder), phrases, 20, allowed)
     return found.select("qid", "chunk_id", big("keyword_rank"), r6("score").alias("score"))
 
 
+@query(
+    "scoped_vector_search",
+    q.with_ctes(
+        "vec docs",
+        f"""SELECT qid, chunk_id, vector_rank, {q.r6("distance")} AS distance FROM (
+              SELECT qid, chunk_id, distance, row_number() OVER (PARTITION BY qid
+                ORDER BY distance, docs.display_path, docs.start_line, chunk_id) AS vector_rank
+              FROM vec {_IN_SCOPE})
+            WHERE vector_rank <= 20""",
+        **_WANTED,
+    ),
+)
+def scoped_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Vector route with the same filters."""
+    numbered, scoped = _scoped(spark, folder)
+    found = nearest(scoped, numbered, 20)
+    return found.select("qid", "chunk_id", big("vector_rank"), r6("distance").alias("distance"))
+
+
 @query(
     "term_evidence",
     q.with_ctes(

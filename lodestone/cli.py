@@ -21,17 +21,17 @@ def search_rows(
     spark: SparkSession, root: str, request: dict, snippets: bool = False, **options
 ) -> tuple[list[dict], dict]:
     """Results of one request as dictionaries, and its diagnostics."""
-    passes = indexing.search_project(spark, root, [request], snippets=snippets, **options)
-    results, facts = [], {}
-    for routes in passes:
-        for row in rank_results(routes.candidates).orderBy("rank").collect():
-            entry = row.asDict()
-            entry["path"] = entry["display_path"]
-            entry["score"] = round(entry["score"], 4)
-            results.append(entry)
-        found = diagnostics(routes).drop("qid").first()
-        facts = found.asDict() if found else facts
-    return results, facts
+    routes = indexing.search_project(spark, root, [request], snippets=snippets, **options)
+    if routes is None:
+        return [], {}
+    results = []
+    for row in rank_results(routes.candidates).orderBy("rank").collect():
+        entry = row.asDict()
+        entry["path"] = entry["display_path"]
+        entry["score"] = round(entry["score"], 4)
+        results.append(entry)
+    found = diagnostics(routes).drop("qid").first()
+    return results, found.asDict() if found else {}
 
 
 def _parser() -> argparse.ArgumentParser:

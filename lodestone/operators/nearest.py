@@ -16,18 +16,17 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import NavigationError
 from lodestone.operators.ranking import salt_when_wide, top_k
-from lodestone.session import collect_bounded
+from lodestone.session import collect_bounded, materialize
 
 QUERY_BLOCK = 4096
-PASSAGE_BLOCK = 50_000
 # Matrix products may differ from sums in order by less than this.
 _SLACK = 1e-9
 _CELLS = 4_000_000
-_OUT = "qid bigint, chunk_id bigint, display_path string, start_line bigint, distance double"
+OUT = "qid bigint, chunk_id bigint, display_path string, start_line bigint, distance double"
 _ORDER = ["qid", "distance", "display_path", "start_line", "chunk_id"]
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
+def matrix_of(vectors: pa.Array) -> np.ndarray:
     sizes = np.unique(np.diff(np.asarray(vectors.offsets)))
     if len(sizes) > 1:
         raise NavigationError("EMBEDDING_DIMENSION_MISMATCH", "Vectors differ in dimension.")
@@ -35,13 +34,7 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-def _stacked(vectors: pd.Series) -> np.ndarray:
-    if vectors.map(len).nunique() > 1:
-        raise NavigationError("EMBEDDING_DIMENSION_MISMATCH", "Vectors differ in dimension.")
-    return np.stack(vectors.to_numpy()).astype(np.float64)
-
-
-class _Best:
+class Best:
     """Running best ``k`` per query over the batches of one task."""
 
     def __init__(self, qids: np.ndarray, scopes: np.ndarray, vectors: np.ndarray, k: int):
@@ -94,7 +87,7 @@ class _Best:
         return self.kept[names]
 
 
-def _allowed(scopes: pa.Array, count: int) -> np.ndarray:
+def scope_matrix(scopes: pa.Array, count: int) -> np.ndarray:
     sizes = np.diff(np.asarray(scopes.offsets))
     allowed = np.zeros((len(scopes), count), dtype=bool)
     owners = np.repeat(np.arange(len(scopes)), sizes)
@@ -102,7 +95,7 @@ def _allowed(scopes: pa.Array, count: int) -> np.ndarray:
     return allowed
 
 
-def _to_arrow(found: pd.DataFrame) -> list[pa.RecordBatch]:
+def to_arrow(found: pd.DataFrame) -> list[pa.RecordBatch]:
     schema = pa.schema(
         [
             ("qid", pa.int64()),
@@ -128,7 +121,7 @@ def _scan(passages: DataFrame, queries: list, k: int, scoped: bool) -> DataFrame
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, scopes, matrix = shared.value
-        keeper = _Best(qids, scopes, matrix, k)
+        keeper = Best(qids, scopes, matrix, k)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -136,38 +129,26 @@ def _scan(passages: DataFrame, queries: list, k: int, scoped: bool) -> DataFrame
             rows = batch.select(names).to_pandas()
             allowed = None
             if scoped:
-                allowed = _allowed(batch.column("scopes"), int(scopes.max()) + 1)
-            keeper.add(rows, _matrix(batch.column("embedding")), allowed)
-        yield from _to_arrow(keeper.result())
-
-    return passages.mapInArrow(best, _OUT)
-
-
-def _cogroup(passages: DataFrame, queries: DataFrame, k: int, scoped: bool) -> DataFrame:
-    """Both sides in blocks, for request batches too big to hand to each task."""
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    buckets = max(1, -(-passages.count() // PASSAGE_BLOCK))
-    left = passages.withColumn(
-        "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(buckets))
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn(
-        "bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
-    )
+                allowed = scope_matrix(batch.column("scopes"), int(scopes.max()) + 1)
+            keeper.add(rows, matrix_of(batch.column("embedding")), allowed)
+        yield from to_arrow(keeper.result())
 
-    def best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or asked.empty:
-            return _Best(np.array([]), np.array([]), np.zeros((0, 1)), k).result()
-        scopes = asked["scope"].to_numpy()
-        keeper = _Best(asked["qid"].to_numpy(), scopes, _stacked(asked["vector"]), k)
-        allowed = None
-        if scoped:
-            allowed = _allowed(pa.array(rows["scopes"].tolist()), int(scopes.max()) + 1)
-        places = rows[["chunk_id", "display_path", "start_line"]]
-        keeper.add(places, _stacked(rows["embedding"]), allowed)
-        return keeper.result()
+    return passages.mapInArrow(best, OUT)
 
-    keys = [F.col("block").cast("bigint"), F.col("bucket").cast("bigint")]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, _OUT)
+
+def _in_blocks(passages: DataFrame, queries: DataFrame, k: int, scoped: bool, size: int) -> DataFrame:
+    """A scan for each block of a request batch that is too big to hand to each task at once.
+
+    Passages stay where they are; what a scan finds is written, so each is planned by itself.
+    """
+    blocks = -(-queries.count() // size)
+    found = None
+    for number in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number).collect()  # about ``size`` rows
+        if some:
+            part = materialize(_scan(passages, some, k, scoped), "nearest-block")
+            found = part if found is None else found.unionByName(part)
+    return found
 
 
 def nearest(
@@ -188,9 +169,9 @@ def nearest(
     ).filter(F.col("embedding").isNotNull())
     listed = collect_bounded(asked, query_block)
     if listed is None:
-        found = _cogroup(rows, asked, k, scoped)
+        found = _in_blocks(rows, asked, k, scoped, query_block)
     elif not listed:
-        found = rows.sparkSession.createDataFrame([], _OUT)
+        found = rows.sparkSession.createDataFrame([], OUT)
     else:
         found = _scan(rows, listed, k, scoped)
     order = [F.col(name).asc() for name in _ORDER[1:]]

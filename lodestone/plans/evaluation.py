@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,11 +67,10 @@ def run_quality(
     )
 
     def once() -> DataFrame:
-        passes = search_project(spark, root, requests, factory)
-        ranked = [rank_results(routes.candidates) for routes in passes]
-        if not ranked:
+        routes = search_project(spark, root, requests, factory)
+        if routes is None:
             raise NavigationError("PROJECT_NOT_INITIALIZED", "Nothing is indexed, so nothing can be judged.")
-        found = reduce(DataFrame.unionByName, ranked).withColumn("score", F.round("score", 4))
+        found = rank_results(routes.candidates).withColumn("score", F.round("score", 4))
         return materialize(found.join(names, "qid"), "run")
 
     observed = materialize(observe(cases, once(), once()), "observed")

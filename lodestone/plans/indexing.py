@@ -213,12 +213,12 @@ def search_project(
     factory: ProviderFactory = HashingProvider,
     snippets: bool = False,
 ):
-    """Routes of a request batch over a project's index, one entry per pass."""
+    """Routes of a request batch over a project's index; none over an empty one."""
     for request in requests:
         check_request(request["query"], request.get("top"))
     _, config, store = _open(spark, start)
     if not store.manifest["parts"]["chunks"]:
-        return []
+        return None
     if factory(config.embedding).fingerprint != store.manifest["metadata"]["embedding_fingerprint"]:
         raise NavigationError(
             "EMBEDDING_CONFIG_CHANGED", "Embedding settings changed; build the index anew."

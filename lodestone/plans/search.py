@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from lodestone.config import SearchConfig
 from lodestone.errors import NavigationError
 from lodestone.functions import text
 from lodestone.functions.scoring import total_weight
+from lodestone.operators.cells import CellIndex, nearest_in_cells
 from lodestone.operators.fusion import (
     candidate_limit,
     fuse_routes,
@@ -23,7 +23,7 @@ from lodestone.operators.fusion import (
 )
 from lodestone.operators.nearest import nearest
 from lodestone.operators.postings import Inverted, best_keywords, invert, query_phrases
-from lodestone.operators.scopes import distinct_scopes, number_scopes
+from lodestone.operators.scopes import number_scopes, with_scopes
 from lodestone.session import materialize
 
 REQUEST = (
@@ -31,7 +31,6 @@ REQUEST = (
     "collection_ids array<string>, source_ids array<string>, tags array<string>, "
     "vector array<float>"
 )
-SCOPES_PER_PASS = 256
 MOST_RESULTS = 100
 
 
@@ -99,21 +98,39 @@ def read_requests(queries: DataFrame, config: SearchConfig) -> DataFrame:
     )
 
 
-def _one_pass(
+def route_batch(
     passages: DataFrame,
-    inverted: Inverted,
-    requests: DataFrame,
-    scopes: list,
+    queries: DataFrame,
     config: SearchConfig,
-    snippets: bool,
-    keep_routes: bool,
+    snippets: bool = False,
+    keep_routes: bool = False,
+    inverted: Inverted | None = None,
+    cells: CellIndex | None = None,
 ) -> Routes:
-    asked, scoped = number_scopes(requests, passages, scopes)
+    """Both routes and all scored candidates, whatever the number of filters.
+
+    ``inverted`` is the stored index of ``passages``; without it one is built. With
+    ``cells`` of the passages' vectors, the vector route reads the cells it needs.
+    ``keep_routes`` writes the routes' candidates, for readers of several parts.
+    """
+    inverted = inverted or invert(passages)
+    requests = materialize(read_requests(queries, config), "requests")
+    asked, table = number_scopes(requests)
+    scoped = with_scopes(passages, table)
+    allowed = None
+    if table is not None:
+        asked, scoped = materialize(asked, "scoped-requests"), materialize(
+            scoped.select("chunk_id", "display_path", "start_line", "embedding", "scopes"), "scoped-passages"
+        )
+        allowed = scoped.select("chunk_id", "scopes")
     phrases = query_phrases(asked).join(asked.select("qid", "scope"), "qid")
     limits = asked.select("qid", "candidate_limit")
     most = requests.agg(F.max("candidate_limit")).first()[0] or 1
-    allowed = None if scopes in ([], [{}]) else scoped.select("chunk_id", "scopes")
-    vector = nearest(scoped, asked, most).join(limits, "qid")
+    if cells is None:
+        vector = nearest(scoped, asked, most)
+    else:
+        vector = nearest_in_cells(cells, asked, most, allowed).rows
+    vector = vector.join(limits, "qid")
     vector = vector.filter(F.col("vector_rank") <= F.col("candidate_limit"))
     keyword = best_keywords(inverted, phrases, most, allowed).join(limits, "qid")
     keyword = keyword.filter(F.col("keyword_rank") <= F.col("candidate_limit"))
@@ -137,33 +154,6 @@ def _one_pass(
     return Routes(asked, vector, keyword, candidates)
 
 
-def route_batch(
-    passages: DataFrame,
-    queries: DataFrame,
-    config: SearchConfig,
-    snippets: bool = False,
-    keep_routes: bool = False,
-    inverted: Inverted | None = None,
-) -> list[Routes]:
-    """Both routes and all scored candidates; one entry per 256 filters.
-
-    ``inverted`` is the stored index of ``passages``; without it one is built.
-    ``keep_routes`` writes the routes' candidates, for readers of several parts.
-    """
-    inverted = inverted or invert(passages)
-    requests = materialize(read_requests(queries, config), "requests")
-    scopes = distinct_scopes(requests)
-    if len(scopes) <= SCOPES_PER_PASS:
-        return [_one_pass(passages, inverted, requests, scopes, config, snippets, keep_routes)]
-    passes = []
-    for first in range(0, len(scopes), SCOPES_PER_PASS):
-        some = scopes[first : first + SCOPES_PER_PASS]
-        numbered, _ = number_scopes(requests, passages, some)
-        part = numbered.filter(F.col("scope").isNotNull()).drop("scope")
-        passes.append(_one_pass(passages, inverted, part, some, config, snippets, keep_routes))
-    return passes
-
-
 def search(
     passages: DataFrame,
     queries: DataFrame,
@@ -176,8 +166,7 @@ def search(
     ``passages`` is an index frame (see ``plans.indexing``); ``queries`` needs
     ``qid`` and ``query`` and may carry the other request columns.
     """
-    passes = route_batch(passages, queries, config, snippets, inverted=inverted)
-    ranked = reduce(DataFrame.unionByName, [rank_results(p.candidates) for p in passes])
+    ranked = rank_results(route_batch(passages, queries, config, snippets, inverted=inverted).candidates)
     return ranked.select(*RESULT_COLUMNS, *(["snippet"] if snippets else []))
 
 

@@ -90,6 +90,6 @@ def test_requests_of_a_frame_are_checked(spark, query, top, code):
 def test_many_requests_over_a_stored_index(spark, index):
     asked = spark.range(1000).selectExpr("id as qid", "concat('filler ', id % 20) as query")
     full = index.withColumn("end_line", F.lit(1)).withColumn("embedding", F.lit(None).cast("array<float>"))
-    (routes,) = route_batch(full, asked, SearchConfig(), inverted=invert(index))
+    routes = route_batch(full, asked, SearchConfig(), inverted=invert(index))
     found = routes.candidates.groupBy("qid").count().collect()
     assert len(found) == 1000
