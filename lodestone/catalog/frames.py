@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.cells import CellIndex, index_cells
-from lodestone.operators.lexicon import with_lexical_columns
+from lodestone.functions.text import index_tokens
+from lodestone.operators.chunking import chunk_documents
+from lodestone.operators.embedding import token_vectors
+from lodestone.operators.lexicon import with_lexical_columns, with_terms
+from lodestone.operators.ranking import global_position
 from lodestone.operators.literal import LiteralIndex, index_runs
 from lodestone.operators.postings import Inverted, invert
 from lodestone.session import materialize, spread
@@ -114,6 +118,32 @@ def literal(spark: SparkSession, folder: str) -> LiteralIndex:
     return _once(spark, folder, "literal", lambda: index_runs(texts))
 
 
+def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunks of all documents, with terms, tokens, vectors and lasting ids."""
+    return _once(spark, folder, "chunks", lambda: _chunk_index(spark, folder))
+
+
+def chunk_inverted(spark: SparkSession, folder: str) -> Inverted:
+    return _once(spark, folder, "chunk-inverted", lambda: invert(chunk_index(spark, folder)))
+
+
+def _chunk_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "documents"), "doc_id")
+    chunks = chunk_documents(rows.select(*_identity(), F.col("text").alias("content")))
+    placed = global_position(chunks.drop("embedding_text"), ["display_path", "ordinal"], "chunk_id", "chunks")
+    lexical = materialize(with_lexical_columns(placed), "chunk-terms")
+    vectors_of = token_vectors(lexical, "chunk_id", "content_tokens")
+    return materialize(lexical.join(vectors_of, "chunk_id", "left"), "chunk-index")
+
+
+def chunk_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark passage as a request with a vector of its own tokens."""
+    asked = requests(spark, folder).drop("vector")
+    terms = with_terms(asked, {"_terms": F.col("query")}).select("qid", index_tokens(F.col("_terms")).alias("_tokens"))
+    made = token_vectors(terms, "qid", "_tokens").withColumnRenamed("embedding", "vector")
+    return asked.join(made, "qid", "left")
+
+
 def full_index(spark: SparkSession, folder: str) -> DataFrame:
     """Passages with lexical columns, tags and, where there is one, a vector."""
     return _once(spark, folder, "full", lambda: _full_index(spark, folder))

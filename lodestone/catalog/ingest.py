@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import frames
 from lodestone.catalog import sql as q
 from lodestone.catalog.registry import query, r6
-from lodestone.catalog.textops import _packed, _trimmed
+from lodestone.catalog.textops import _packed, trimmed
 from lodestone.functions.text import path_segments
 from lodestone.operators import changes, corpus, ranking, scopes
 from lodestone.operators.chunking import chunk_documents
@@ -216,7 +216,7 @@ def doc_snapshot(spark: SparkSession, folder: str) -> DataFrame:
         f"""SELECT lang AS collection_id, count(DISTINCT d.doc_id) AS documents,
               count(p.doc_id) AS chunks
             FROM documents d LEFT JOIN (SELECT doc_id FROM pieces
-              WHERE {_trimmed("body")} <> '') p ON p.doc_id = d.doc_id
+              WHERE {trimmed("body")} <> '') p ON p.doc_id = d.doc_id
             GROUP BY lang""",
         **_packed(1800),
     ),

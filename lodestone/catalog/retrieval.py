@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import frames
 from lodestone.catalog import sql as q
 from lodestone.catalog.registry import query, r6
+from lodestone.catalog.textops import PACKED, trimmed
 from lodestone.config import SearchConfig
 from lodestone.functions import text
 from lodestone.functions.text import line_label, score_label
@@ -267,6 +268,54 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_CHUNKS = "WITH RECURSIVE " + ", ".join(f"{name} AS ({body})" for name, body in PACKED.items()) + f"""
+  SELECT row_number() OVER (ORDER BY display_path, start, part) - 1 AS chunk_id, 'main' AS collection_id,
+    source AS source_id, lang, lang || '/' || doc_id || '.md' AS document_key, display_path,
+    start AS start_line, stop AS end_line, '' AS heading, content
+  FROM (SELECT *, source || '/' || lang || '/' || doc_id || '.md' AS display_path FROM (
+      SELECT doc_id, start, stop, part, {trimmed("body")} AS content FROM pieces) JOIN documents USING (doc_id)
+    WHERE content <> '')"""
+
+
+def _vector_sql(source: str, key: str, tokens: str) -> str:
+    return f"""SELECT id, list(coalesce(part, 0)::DOUBLE / 1024 ORDER BY d) AS vector
+      FROM (SELECT DISTINCT id, d FROM (SELECT {key} AS id FROM {source} WHERE len({tokens}) > 0), range(64) t(d))
+      LEFT JOIN (SELECT id, h % 64 AS d, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END
+            * (1024 + (h // 128) % 1024)) AS part
+          FROM (SELECT id, ('0x' || md5(t)[1:8])::BIGINT AS h FROM (
+            SELECT {key} AS id, unnest({tokens}) AS t FROM {source})) GROUP BY ALL) USING (id, d)
+      GROUP BY id"""
+
+
+_CHUNK_REQ = f"""SELECT r.*, v.vector FROM (
+    SELECT *, {q.mode("parts")} AS mode, {q.search_terms("query")} AS terms
+    FROM (SELECT item_id AS qid, text AS query, 10 AS top,
+            list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)),
+                        lambda p: p <> '') AS parts FROM benchmark)) r
+  LEFT JOIN ({_vector_sql(f"(SELECT item_id, {q.tokens('asked')} AS tokens FROM (SELECT item_id, {q.terms('text')} AS asked FROM benchmark))", "item_id", "tokens")}) v
+    ON v.id = r.qid"""
+_CHUNK_VEC = f"""SELECT qid, chunk_id, display_path, start_line,
+    list_cosine_distance(e.vector, req.vector) AS distance
+  FROM req, ({_vector_sql("idx", "chunk_id", "content_tokens")}) e JOIN docs ON e.id = chunk_id
+  WHERE req.vector IS NOT NULL"""
+
+
+@query(
+    "chunk_hybrid_search",
+    q.with_ctes("results", _HYBRID, {"docs": _CHUNKS, "req": _CHUNK_REQ, "vec": _CHUNK_VEC}),
+)
+def chunk_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search over chunks: cut, numbered, given terms and vectors, indexed, searched."""
+    index = frames.chunk_index(spark, folder)
+    found = search(
+        index, frames.chunk_requests(spark, folder), CONFIG, inverted=frames.chunk_inverted(spark, folder)
+    )
+    return found.select(
+        "qid", big("rank"), "chunk_id", F.col("display_path").alias("path"), big("start_line"),
+        big("end_line"), F.round("score", 4).alias("score"), big("vector_rank"), big("keyword_rank"), "reason",
+    )
+
+
 _WANTED = {
     "tagged": "SELECT doc_id AS chunk_id, toxic = 1 AS toxic FROM labels",
     "wanted": """SELECT item_id AS qid, '/' || lang || '/' AS needle,

@@ -90,7 +90,10 @@ def _packed(limit: int) -> dict[str, str]:
     }
 
 
-def _trimmed(body: str) -> str:
+PACKED = _packed(1800)
+
+
+def trimmed(body: str) -> str:
     return rf"regexp_replace({body}, '^\s+|\s+$', '', 'g')"
 
 
@@ -101,7 +104,7 @@ def _trimmed(body: str) -> str:
         f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, part) - 1
               AS ordinal, start::BIGINT AS start_line, stop::BIGINT AS end_line,
               sha256(chr(10) || body) AS content_hash
-            FROM (SELECT doc_id, start, stop, part, {_trimmed("body")} AS body FROM pieces)
+            FROM (SELECT doc_id, start, stop, part, {trimmed("body")} AS body FROM pieces)
             WHERE body <> ''""",
         **_packed(1800),
     ),
@@ -121,7 +124,7 @@ def chunk_lines(spark: SparkSession, folder: str) -> DataFrame:
         "",
         f"""SELECT doc_id, count(*) AS pieces, max(len(body)) AS longest, sum(len(body))::BIGINT AS kept,
               max(stop)::BIGINT AS last_line
-            FROM (SELECT doc_id, stop, {_trimmed("body")} AS body FROM pieces)
+            FROM (SELECT doc_id, stop, {trimmed("body")} AS body FROM pieces)
             WHERE body <> '' GROUP BY doc_id""",
         **_packed(PACK_CHARS),
     ),
@@ -209,7 +212,7 @@ def heading_path(spark: SparkSession, folder: str) -> DataFrame:
             WHERE size > {PACK_CHARS} AND part * {PACK_CHARS} < size""",
         numbered="""SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY start, part)
               AS place FROM raw""",
-        pieces=f"""SELECT conv_id, turn, start, stop, part, {_trimmed('''
+        pieces=f"""SELECT conv_id, turn, start, stop, part, {trimmed('''
               CASE WHEN place = 1 AND (part > 0 OR (stop = start AND cutline)) THEN
                 '## turn *' || turn || '* of `' || conv_id || '`' || chr(10) || body
               WHEN place = 1 THEN
