@@ -40,6 +40,8 @@ SHARD_TOKENS = 2_000_000
 WORD_BINS = 1 << 20
 #: A key names the rarest words of at least so many documents; the last level is in 12 bits.
 LEVELS = (2 * SHARD_DOCS, SHARD_DOCS // 2, 2)
+#: Words that a task keeps at a time beside their bins.
+KEPT_WORDS = 100_000
 RANGE_CHARS = 1 << 24
 SAMPLED = 40
 K1, B = 1.2, 0.75
@@ -237,7 +239,7 @@ def word_documents(docs: DataFrame) -> tuple[np.ndarray, int, int]:
                 words.update(_words(text))
                 sums[0] += 1
                 sums[WORD_BINS] += len(text or "")
-            if len(words) > 500_000:
+            if len(words) > KEPT_WORDS:
                 empty()
         empty()
         found = np.flatnonzero(sums)
@@ -282,7 +284,7 @@ def by_lexical_key(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame
                     words = _words(text)
                     bins = np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
                     keys.append(lexical_key(bins, documents))
-                    if len(kept) > 500_000:
+                    if len(kept) > KEPT_WORDS:
                         kept.clear()
                 key = np.array(keys, np.int64) << 11 | salts.to_numpy(np.int64)
                 yield pd.DataFrame({"key": key, "place": np.searchsorted(bounds, key, "right").astype(np.int32)})
