@@ -87,9 +87,20 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 _BUILT: dict[tuple, object] = {}
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Bytes, files and times of the tables that indexes are made of."""
+    jvm, found = spark._jvm, []
+    for name in ("documents", "embeddings", "labels"):
+        path = jvm.org.apache.hadoop.fs.Path(os.path.join(folder, f"{name}.parquet"))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        held = files.getContentSummary(path)
+        found.append((held.getLength(), held.getFileCount(), files.getFileStatus(path).getModificationTime()))
+    return tuple(found)
+
+
 def _once(spark: SparkSession, folder: str, name: str, build: Callable[[], object]):
-    """What ``build`` makes, once for a session and folder: indexes are written, then probed."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """What ``build`` makes, once for a session and the tables as they are: written, then probed."""
+    key = (spark.sparkContext.applicationId, folder, name, _state(spark, folder))
     if key not in _BUILT:
         _BUILT[key] = build()
     return _BUILT[key]

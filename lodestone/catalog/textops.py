@@ -9,6 +9,7 @@ from lodestone.catalog import frames
 from lodestone.catalog import sql as q
 from lodestone.catalog.registry import query, r6
 from lodestone.functions import text, tokens, vectors
+from lodestone.operators.parsing import parse_documents
 from lodestone.operators.chunking import chunk_documents, section_paths
 from lodestone.operators.corpus import length_buckets, vector_problems
 from lodestone.session import spread
@@ -118,6 +119,33 @@ def chunk_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "mixed_chunks",
+    q.with_ctes(
+        "",
+        f"""SELECT doc_id, media_type, CASE WHEN media_type = 'text/plain' THEN '' ELSE lang END AS heading,
+              1::BIGINT AS first_line, coalesce(last_line + 2, 1)::BIGINT AS last_line
+            FROM (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 'text/plain' ELSE 'text/markdown' END
+                  AS media_type FROM documents WHERE text IS NOT NULL)
+              LEFT JOIN (SELECT doc_id, max(stop) AS last_line FROM pieces WHERE {trimmed("body")} <> ''
+                GROUP BY doc_id) USING (doc_id)
+            WHERE media_type = 'text/plain' OR last_line IS NOT NULL""",
+        **PACKED,
+    ),
+)
+def mixed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a title line, every third as plain text, the others as Markdown, in one pass."""
+    rows = spread(frames.table(spark, folder, "documents"), "doc_id").where("text is not null")
+    kind = F.when(F.col("doc_id") % 3 == 0, "text/plain").otherwise("text/markdown")
+    content = F.concat(F.lit("# "), "lang", F.lit("\n\n"), "text")
+    chunks = parse_documents(rows.select("doc_id", kind.alias("media_type"), content.alias("content")))
+    return chunks.groupBy("doc_id", "media_type").agg(
+        F.max(F.array_join("heading", " > ")).alias("heading"),
+        F.min("start_line").cast("bigint").alias("first_line"),
+        F.max("end_line").cast("bigint").alias("last_line"),
+    )
+
+
 @query(
     "line_split",
     q.with_ctes(

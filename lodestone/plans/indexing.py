@@ -14,7 +14,7 @@ from lodestone.config import ProjectConfig
 from lodestone.errors import NavigationError
 from lodestone.functions.text import mask_block
 from lodestone.operators.changes import KEY, change_set
-from lodestone.operators.chunking import chunk_documents
+from lodestone.operators.parsing import parse_documents
 from lodestone.operators.lexicon import with_lexical_columns
 from lodestone.operators.ranking import global_position
 from lodestone.operators.scopes import clean_tags
@@ -51,12 +51,13 @@ def prepare_chunks(
 ) -> DataFrame:
     """Chunks of documents with vectors, terms and lasting ids."""
     masked = documents.withColumn("content", mask_block(F.col("content"), *markers))
-    chunks = chunk_documents(
+    chunks = parse_documents(
         masked.select(
             F.lit(config.project_id).alias("collection_id"),
             *KEY,
             "display_path",
             clean_tags(F.col("tags")).alias("document_tags"),
+            "media_type",
             "content",
         ),
         config.chunking.max_chars,
