@@ -15,7 +15,7 @@ from lodestone.config import SearchConfig
 from lodestone.operators import metrics
 from lodestone.operators.corpus import located
 from lodestone.operators.fusion import rank_results
-from lodestone.operators.literal import containing
+from lodestone.operators.literal import scanned
 from lodestone.plans.search import Routes, route_batch, search
 from lodestone.session import materialize
 
@@ -39,7 +39,7 @@ def passage_places(spark: SparkSession, folder: str) -> DataFrame:
     items = frames.table(spark, folder, "benchmark").select(
         F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern")
     )
-    found = containing(frames.literal(spark, folder), items)
+    found = scanned(frames.texts(spark, folder), items)
     return found.select(F.col("pattern_id").alias("item_id"), F.col("id").alias("chunk_id"))
 
 
@@ -119,7 +119,7 @@ def _literal(spark: SparkSession, folder: str, probed: Probed) -> DataFrame:
         "pattern_id", F.monotonically_increasing_id()
     )
     numbered = materialize(numbered, "words")
-    found = containing(frames.literal(spark, folder), numbered, any_case=True)
+    found = scanned(frames.texts(spark, folder), numbered, any_case=True)
     found = found.withColumnRenamed("id", "chunk_id")
     asked = words.join(numbered, "pattern").select("case_id", "pattern_id").distinct()
     pairs = found.join(asked, "pattern_id").select("case_id", "chunk_id").distinct()

@@ -8,18 +8,24 @@ every text is cut in blocks of bounded size, and a search opens asked buckets on
 
 Texts shorter than a run are indexed as they are. Patterns shorter than a run are found
 by the runs that hold them, which are looked up among the different runs.
+
+A few patterns that are asked once need no index: ``scanned`` tests them in one pass.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import materialize, scratch_root, spread
+from lodestone.session import collect_bounded, materialize, scratch_root, spread
 
 RUN = 3
 RUN_BUCKETS = 64
@@ -27,6 +33,8 @@ BLOCK_IDS = 1024
 STRIPE = 64
 #: A pattern is looked up by so many of its runs, the rarest.
 ANCHORS = 4
+#: Up to so many different patterns are tested on each text without an index.
+SCANNED = 4096
 
 BLOCKS = "run string, block bigint, at array<int>, bucket int"
 RUNS = "run string, texts bigint, bucket int"
@@ -151,3 +159,53 @@ def containing(index: LiteralIndex, patterns: DataFrame, any_case: bool = False)
     tested = candidates.join(stored, "pattern_id").join(index.texts, "id")
     holds = F.contains(F.lower("text"), F.lower("pattern")) if any_case else F.contains("text", "pattern")
     return tested.where(holds).select("pattern_id", "id").distinct()
+
+
+def _byte_runs(text: bytes) -> np.ndarray:
+    """Every run of three bytes as a number."""
+    a = np.frombuffer(text, dtype=np.uint8).astype(np.int32)
+    return (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
+
+
+def _holding(patterns: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id`` and the numbers of the patterns that its text holds: all their runs first, then themselves."""
+    short = [one for one in patterns.value if len(one[1]) < RUN]
+    long = [one for one in patterns.value if len(one[1]) >= RUN]
+    runs = [np.unique(_byte_runs(pattern)) for _, pattern in long]
+    wanted = np.concatenate(runs) if runs else np.empty(0, dtype=np.int32)
+    starts = np.cumsum([0, *map(len, runs)])[:-1]
+    present = np.zeros(1 << 24, dtype=bool)
+    for batch in batches:
+        held = []
+        for text in batch.column("text").to_pylist():
+            asked = short
+            if long and len(text) >= RUN:
+                own = _byte_runs(text)
+                present[own] = True
+                whole = np.logical_and.reduceat(present[wanted], starts)
+                present[own] = False
+                asked = short + [long[i] for i in np.flatnonzero(whole)]
+            held.append([n for n, pattern in asked if pattern in text])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.list_(pa.int64()))], ["id", "held"])
+
+
+def scanned(texts: DataFrame, patterns: DataFrame, any_case: bool = False) -> DataFrame:
+    """What ``containing`` finds in ``texts`` (``id, text``), without an index where patterns are few.
+
+    Up to ``SCANNED`` different patterns go to the tasks, which test them on each text; more
+    are looked up in an index.
+    """
+    pattern = F.lower("pattern") if any_case else F.col("pattern")
+    asked = patterns.where("pattern <> ''").select("pattern_id", pattern.cast("binary").alias("_pattern"))
+    grouped = asked.groupBy("_pattern").agg(F.collect_set("pattern_id").alias("owners"))
+    stored = materialize(grouped.withColumn("_row", F.monotonically_increasing_id()), "patterns")
+    listed = collect_bounded(stored.select("_row", "_pattern"), SCANNED)
+    if listed is None:
+        return containing(index_runs(texts), patterns, any_case)
+    shared = texts.sparkSession.sparkContext.broadcast([(row._row, bytes(row._pattern)) for row in listed])
+    text = F.lower("text") if any_case else F.col("text")
+    rows = spread(texts.select("id", "text").where("id is not null and text <> ''"), "id")
+    rows = rows.select("id", text.cast("binary").alias("text"))
+    found = rows.mapInArrow(lambda batches: _holding(shared, batches), "id bigint, held array<bigint>")
+    pairs = found.select("id", F.explode("held").alias("_row")).join(F.broadcast(stored), "_row")
+    return pairs.select(F.explode("owners").alias("pattern_id"), "id").distinct()

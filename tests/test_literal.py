@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lodestone.operators import literal
-from lodestone.operators.literal import containing, index_runs
+from lodestone.operators.literal import containing, index_runs, scanned
 
 
 def _frames(spark, texts, patterns):
@@ -67,3 +67,21 @@ def test_without_texts_or_patterns(spark):
     left, right = _frames(spark, ["abc"], ["abc"])
     assert containing(index_runs(left.limit(0)), right).count() == 0
     assert containing(index_runs(left), right.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 4096])
+def test_scan_without_an_index_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(literal, "SCANNED", most)
+    left, right = _frames(spark, TEXTS, PATTERNS)
+    right = right.unionByName(right)  # rows that come twice
+    rows = [tuple(r) for r in scanned(left, right).collect()]
+    assert set(rows) == _brute(TEXTS, PATTERNS) and len(rows) == len(set(rows))
+    lower = [t and t.lower() for t in TEXTS], [p and p.lower() for p in PATTERNS]
+    assert {tuple(r) for r in scanned(left, right, any_case=True).collect()} == _brute(*lower)
+    assert scanned(left, right.limit(0)).count() == 0
+
+
+def test_a_few_patterns_need_no_index(spark, monkeypatch):
+    monkeypatch.setattr(literal, "index_runs", lambda texts: pytest.fail("an index of all texts was made"))
+    left, right = _frames(spark, TEXTS, PATTERNS)
+    assert {tuple(r) for r in scanned(left, right).collect()} == _brute(TEXTS, PATTERNS)
