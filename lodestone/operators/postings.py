@@ -78,7 +78,7 @@ def token_bucket(token: Column) -> Column:
 
 def _folded(found: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``at, len, hits`` as arrays of one row per key."""
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "len", "hits"))).alias("p"))
+    listed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "len", "hits"))).alias("p"))
     return listed.select(
         *keys,
         F.array_max("p.hits").alias("most_hits"),
@@ -89,11 +89,11 @@ def _folded(found: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def blocks_of(passages: DataFrame) -> DataFrame:
+def blocks_of(passages: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """``bucket`` and ``BLOCKS`` of every passage, sorted by token within a task.
 
     One shuffle, by bucket and stripe of ids: both groupings find their rows together, and a
-    token of every passage is hot in no task.
+    token of every passage is hot in no task. With ``tokens`` only their postings go through it.
     """
 
     def weighted(tokens: str, weight: float) -> Column:
@@ -101,6 +101,8 @@ def blocks_of(passages: DataFrame) -> DataFrame:
 
     both = F.concat(weighted("heading_tokens", HEADING_WEIGHT), weighted("content_tokens", CONTENT_WEIGHT))
     found = passages.select("chunk_id", "doc_len", F.inline(both))
+    if tokens is not None:
+        found = found.join(tokens, "token", "left_semi")
     block = F.expr(f"(chunk_id - pmod(chunk_id, {BLOCK_IDS})) div {BLOCK_IDS}")
     dealt = (
         found.withColumn("bucket", token_bucket(F.col("token")))
@@ -145,10 +147,12 @@ def passage_totals(passages: DataFrame) -> tuple[int, int]:
     return found[0], found[1]
 
 
-def write_segment(passages: DataFrame, folder: str, removed: DataFrame | None = None) -> None:
+def write_segment(
+    passages: DataFrame, folder: str, removed: DataFrame | None = None, tokens: DataFrame | None = None
+) -> None:
     """Blocks and terms of passages; the terms also take ``removed`` passages out."""
     spark = passages.sparkSession
-    blocks_of(passages).write.partitionBy("bucket").parquet(os.path.join(folder, "blocks"))
+    blocks_of(passages, tokens).write.partitionBy("bucket").parquet(os.path.join(folder, "blocks"))
     terms = terms_of(_read(spark, folder, "blocks").select("bucket", *_META, "at"))
     if removed is not None:
         terms = terms.unionByName(removed_terms(removed))
@@ -203,11 +207,18 @@ def read_segments(
     return Inverted(frames["blocks"], frames["terms"], *totals, places.select(*PLACE, *SEQUENCES), dead, len(folders) > 1)
 
 
-def invert(passages: DataFrame) -> Inverted:
-    """The index of a frame of passages, written to the shared folder."""
+def invert(passages: DataFrame, tokens: DataFrame | None = None) -> Inverted:
+    """The index of a frame of passages, written to the shared folder.
+
+    With ``tokens`` (``token``) it answers requests made of these tokens, as the whole index
+    would: for a batch that is known beforehand and asked once.
+    """
     spark = passages.sparkSession
     folder = os.path.join(scratch_root(spark), "lodestone", f"postings-{uuid.uuid4().hex}")
-    write_segment(passages, folder)
+    if tokens is not None:
+        tokens = materialize(tokens.select("token").distinct(), "asked-tokens")
+        tokens = F.broadcast(tokens) if tokens.count() <= BROADCAST_ROWS else tokens
+    write_segment(passages, folder, tokens=tokens)
     return read_segments(spark, [folder], passage_totals(passages), passages)
 
 

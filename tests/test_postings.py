@@ -93,3 +93,17 @@ def test_many_requests_over_a_stored_index(spark, index):
     routes = route_batch(full, asked, SearchConfig(), inverted=invert(index))
     found = routes.candidates.groupBy("qid").count().collect()
     assert len(found) == 1000
+
+
+def test_index_of_asked_tokens_ranks_like_the_whole(spark, index):
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "qid bigint, query string")
+    phrases = query_phrases(asked.withColumn("terms", search_terms(F.col("query"))))
+    tokens = phrases.select(F.explode(F.split("phrase", " ")).alias("token"))
+    whole, part = invert(index), invert(index, tokens.unionByName(tokens))
+    ranked = [
+        sorted(map(tuple, best_keywords(stored, phrases, 5).collect())) for stored in (whole, part)
+    ]
+    assert ranked[0] == ranked[1] and ranked[0]
+    assert (part.passages, part.tokens) == (whole.passages, whole.tokens)
+    assert part.blocks.count() < whole.blocks.count()
+    assert invert(index, tokens.limit(0)).blocks.count() == 0
