@@ -139,11 +139,11 @@ def literal_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 def _run(spark: SparkSession, folder: str, probed: Probed) -> Routes:
     return route_batch(
-        frames.full_index(spark, folder),
+        frames.searched_passages(spark, folder),
         probed.requests,
         CONFIG,
         keep_routes=True,
-        inverted=frames.inverted(spark, folder),
+        inverted=frames.asked_hits(spark, folder),
     )
 
 
@@ -374,11 +374,11 @@ def _cases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def _observations(spark: SparkSession, folder: str) -> DataFrame:
     cases, expected = _cases(spark, folder)
-    index = frames.full_index(spark, folder)
+    index = frames.searched_passages(spark, folder)
     asked = frames.requests(spark, folder).withColumn("top", F.lit(5))
     runs = [
         materialize(
-            search(index, asked, CONFIG, inverted=frames.inverted(spark, folder))
+            search(index, asked, CONFIG, inverted=frames.asked_hits(spark, folder))
             .withColumnRenamed("qid", "case_id")
             .withColumn("score", F.round("score", 4)),
             "run",
@@ -473,8 +473,8 @@ def eval_gate(spark: SparkSession, folder: str) -> DataFrame:
 )
 def location_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Passage ids of the hybrid results, found again by path and lines."""
-    index = frames.full_index(spark, folder)
-    asked, inverted = frames.requests(spark, folder), frames.inverted(spark, folder)
+    index = frames.searched_passages(spark, folder)
+    asked, inverted = frames.requests(spark, folder), frames.asked_hits(spark, folder)
     results = search(index, asked, CONFIG, inverted=inverted).drop("chunk_id")
     found = located(results, index)
     return found.select("qid", big("rank"), "chunk_id", "display_path")
