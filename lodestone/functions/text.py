@@ -35,6 +35,7 @@ SPACE = (
 )
 NON_ASCII = r"[^\x00-\x7F]"
 HAN = r"\p{IsHan}"
+TOKEN_CLASS = r"a-z0-9\p{L}\p{N}\p{Co}"
 # Script lookups are slow, so the plain letters are tried first.
 LATIN_CLASS = r"A-Za-z0-9_./:\-\p{IsLatin}\p{N}"
 def _one_by_one(codes: Iterable[int]) -> str:
@@ -164,7 +165,7 @@ def index_tokens(terms: Column) -> Column:
     letter, number nor private-use, so ``scale-out`` gives two tokens.
     """
     return F.regexp_extract_all(
-        fold(F.array_join(terms, " ")), F.lit(r"[a-z0-9\p{L}\p{N}\p{Co}]+"), F.lit(0)
+        fold(F.array_join(terms, " ")), F.lit(f"[{TOKEN_CLASS}]+"), F.lit(0)
     )
 
 

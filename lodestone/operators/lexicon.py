@@ -39,7 +39,9 @@ def _titled() -> dict[str, Column]:
     return {"heading_terms": F.array_join("heading", " "), "content_terms": F.col("content")}
 
 
-def _with_tokens(rows: DataFrame) -> DataFrame:
+def with_lexical_columns(chunks: DataFrame) -> DataFrame:
+    """Add the stored term lists and token sequences of heading and content."""
+    rows = with_chunk_terms(chunks)
     return (
         rows.withColumn("heading_tokens", index_tokens(F.col("heading_terms")))
         .withColumn("content_tokens", index_tokens(F.col("content_terms")))
@@ -50,13 +52,3 @@ def _with_tokens(rows: DataFrame) -> DataFrame:
 def with_chunk_terms(chunks: DataFrame) -> DataFrame:
     """Add the stored term lists of heading and content."""
     return with_terms(chunks, _titled())
-
-
-def with_lexical_columns(chunks: DataFrame) -> DataFrame:
-    """Add the stored term lists and token sequences of heading and content."""
-    return _with_tokens(with_chunk_terms(chunks))
-
-
-def with_token_columns(chunks: DataFrame) -> DataFrame:
-    """Add the tokens of heading and content in any order, and their number."""
-    return _with_tokens(with_terms(chunks, _titled(), ordered=False))
