@@ -78,9 +78,9 @@ class TermCounter:
         plain = raw - mixed
         terms = set(" ".join(plain).translate(_JOINING).split(" "))
         terms.update([word.strip("./:-") for word in plain - terms])
-        for word in mixed:
-            terms.add(word.translate(self._lower).strip("./:-"))
-            terms.update(_CAMEL.sub(r"\1 \2", word).translate(self._lower).translate(_JOINING).split(" "))
+        mixed = " ".join(mixed)
+        terms.update([word.strip("./:-") for word in mixed.translate(self._lower).split(" ")])
+        terms.update(_CAMEL.sub(r"\1 \2", mixed).translate(self._lower).translate(_JOINING).split(" "))
         terms.discard("")
         return terms
 
