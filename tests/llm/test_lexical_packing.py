@@ -147,3 +147,83 @@ def test_the_windows_seed_stays_the_query():
     ids = [np.arange(2, dtype=np.uint32) for _ in texts]
     rows = list(lp.Packer(0, window=8).pack(list(range(6)), ids, texts))
     assert [r[0] for r in rows] == [0, 3, 2, 1]
+
+
+ODD = [
+    "", " ", "  ", "a", " a", "a ", "a  b", "a\tb c", "a \t b", "line one\nline two\n\n three", "\u00a0wide\u2003space \u3000 x",
+    "x \u00a0y", "a\x1cb \x1c c", "a\x85 b", "nul\0 \0nul \0", "it's we'll 's 'S", "\u0130stanbul \u039f\u0394\u039f\u03a3 \u03a3 a\u03a3", "\u65e5\u672c\u8a9e\u3000\u6587\u7ae0 " * 30,
+    "a <|endoftext|> b", "x<|endoftext|>", "long" * 40 + " " + "long" * 40, "W" * 33 + " w" + "w" * 31, "e\u0301 \u00e9 \u00c9 \U0001f600\U0001f600 1234 5,6", "same words", "Same WORDS same words",
+]
+
+
+def test_texts_are_read_as_the_library_reads_them():
+    library, coder = _library(), lp.byte_coder(None, None)
+    ids, words = lp.read_texts(coder, ODD)
+    for text, found in zip(ODD, ids, strict=True):
+        assert found.tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], repr(text)
+    numbers: dict[str, int] = {}
+    expected = [numbers.setdefault(w, len(numbers)) for t in ODD for w in t.lower().split()]
+    assert [len(w) for w in words] == [len(t.lower().split()) for t in ODD]
+    assert lp._in_order(np.concatenate(words)).tolist() == expected
+
+
+def test_what_texts_share_is_encoded_once(monkeypatch):
+    coder, seen = lp.byte_coder(None, None), []
+    spaced, alone = coder.encode_spaced, coder.encode
+    monkeypatch.setattr(coder, "encode_spaced", lambda words: seen.extend(words) or spaced(words))
+    monkeypatch.setattr(coder, "encode", lambda text: seen.append(text) or alone(text))
+    lp.read_texts(coder, [f"the same long words again and again {i % 3}" for i in range(300)])
+    assert len(seen) == 300 + 9 and sum(map(len, seen)) < 1100
+
+
+def _bins_of(text):
+    words = set(text.lower().split())
+    return sorted(zlib.crc32(w.encode()) % (lp.WORD_BINS - 1) + 1 for w in words)
+
+
+def test_bins_are_of_the_words_crc():
+    letters = "ab\u00e9\u0416\u65e5\U0001f600"
+    texts = [*ODD, " ".join((letters * 20)[i % 6 :][:n] for i in range(3) for n in range(1, 80))]
+    bins, held = lp.word_bins(texts)
+    for text, found in zip(texts, np.split(bins, np.cumsum(held)[:-1]), strict=True):
+        assert sorted(found.tolist()) == _bins_of(text), repr(text)
+
+
+def test_documents_of_words_are_counted(spark, documents_of):
+    texts = [*ODD, None] * 3
+    counts, rows, chars = lp.word_documents(documents_of(texts).repartition(5))
+    expected = np.zeros(lp.WORD_BINS, np.int64)
+    for text in texts:
+        np.add.at(expected, _bins_of(text or ""), 1)
+    expected[expected == 1] = 0
+    expected[0] = len(texts)
+    assert (counts == expected).all() and rows == len(texts) and chars == sum(len(t or "") for t in texts)
+
+
+def test_keys_name_the_rarest_words_of_each_level(monkeypatch):
+    monkeypatch.setattr(lp, "LEVELS", (6, 3, 2))
+    texts = ["a b", "a c", "a c", "", "a c d", "a b d", "a", " \n"]
+    documents = np.zeros(lp.WORD_BINS, np.int64)
+    for text in texts:
+        documents[_bins_of(text)] += 1
+    for text, key in zip(texts, lp.lexical_keys(texts, documents).tolist(), strict=True):
+        ranked = sorted((documents[b], b) for b in _bins_of(text))
+        named = [next((b for n, b in ranked if n >= least), 0) for least in lp.LEVELS]
+        assert key == (named[0] * lp.WORD_BINS + named[1]) << 12 | named[2] & 0xFFF
+
+
+def test_words_known_as_keys_make_the_same_index():
+    texts = [f"w{i % 7} w{i % 5} w{i % 3} every one {'again ' * (i % 4)}" for i in range(60)]
+    words = lp.read_texts(lp.byte_coder(None, None), texts)[1]
+    unused = np.ones(60, bool)
+    for seed in range(0, 60, 7):
+        one, other = lp.ShardIndex(texts), lp.ShardIndex([], words)
+        unused[: seed + 1] = False  # from half on, postings of used documents go
+        expected = one.neighbours(seed, np.ones(60, bool))
+        expected = expected[unused[expected]].tolist()
+        assert [*other.best_first(seed, unused)] == expected and len(expected) == 59 - seed
+
+
+def test_equal_keys_by_chance_are_told_apart():
+    keys = np.array([5, 5 + (1 << 62), 5, 7, 5 + (1 << 62)])  # the same without their high bits
+    assert lp._in_order(keys).tolist() == [0, 1, 0, 2, 1]
