@@ -11,8 +11,8 @@ reach. Ranges of ids are the same for all tokens, so the bounds of a request's b
 of one range add up to what any passage there can reach; ranges below the
 cutoff are left out before a posting is read. What is left is scored exactly.
 
-A query term is a phrase of one or more tokens. Passages that hold all tokens of a
-phrase come from the blocks, and its places are counted in their stored token
+A query term is a phrase of one or more tokens. Passages that hold the two rarest tokens
+of a phrase come from the blocks, and its places are counted in their stored token
 sequences. Contributions are summed as whole numbers: row order cannot change a rank.
 Of passages a search reads nothing but these sequences, and the paths of those that
 may be among the best.
@@ -307,24 +307,39 @@ def phrase_occurrences() -> Column:
     return HEADING_WEIGHT * _occurrences("heading_tokens") + CONTENT_WEIGHT * _occurrences("content_tokens")
 
 
-def _several(inverted: Inverted, phrases: Phrases) -> DataFrame:
-    """``phrase_id, block, chunk_id, len, hits`` of every match of phrases of several tokens."""
+def _leads(inverted: Inverted, phrases: Phrases) -> DataFrame:
+    """``phrase_id, token, second``: the two rarest tokens of phrases of several that the index may hold."""
+    split = F.array_distinct(F.split("phrase", " "))
     tokens = phrases.dictionary.where("words > 1").select(
-        "phrase_id", F.explode(F.array_distinct(F.split("phrase", " "))).alias("token")
+        "phrase_id", F.size(split).alias("needed"), F.explode(split).alias("token")
     )
-    needed = tokens.groupBy("phrase_id").agg(F.count("*").alias("needed"))
-    lists = phrases.pruned(inverted.blocks).select("token", "block", "at").join(phrases.sized(tokens), "token")
-    found = lists.groupBy("phrase_id", "block").agg(F.collect_list("at").alias("lists"))
-    found = found.join(phrases.sized(needed), "phrase_id").where(F.size("lists") >= F.col("needed"))
-    if inverted.segmented:
-        # A range has a block of each segment: postings are counted one by one.
-        at = found.select("phrase_id", "needed", "block", F.explode(F.flatten("lists")).alias("at"))
-        held = at.groupBy("phrase_id", "needed", "block", "at").agg(F.count("*").alias("n"))
-        held = held.where(F.col("n") == F.col("needed")).select("phrase_id", "block", "at")
-    else:
-        rest = F.slice("lists", F.lit(2), F.greatest(F.size("lists") - 1, F.lit(0)))
-        shared = F.aggregate(rest, F.get("lists", F.lit(0)), F.array_intersect)
-        held = found.select("phrase_id", "block", F.explode(shared).alias("at"))
+    df = phrases.pruned(inverted.terms).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    known = df.join(phrases.sized(tokens), "token").groupBy("phrase_id", "needed").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rarest")
+    )
+    return known.where(F.size("rarest") == F.col("needed")).select(
+        "phrase_id", F.get("rarest.token", F.lit(0)).alias("token"), F.get("rarest.token", F.lit(1)).alias("second")
+    )
+
+
+def _several(inverted: Inverted, phrases: Phrases) -> DataFrame:
+    """``phrase_id, block, chunk_id, len, hits`` of every match of phrases of several tokens.
+
+    Blocks of a phrase's rarest token meet those of its second rarest, so a common token is not
+    listed once for each phrase that has it. What both leave is tested on the sequences.
+    """
+    leads = materialize(_leads(inverted, phrases), "phrase-leads")
+    lists = phrases.pruned(inverted.blocks).select("token", "block", "at")
+    first = lists.join(phrases.sized(leads.where("second is not null")), "token").drop("token")
+    others = lists.select(F.col("token").alias("second"), "block", F.col("at").alias("others"))
+    found = first.join(others, ["second", "block"]).select(
+        "phrase_id", "block", F.array_intersect("at", "others").alias("at")
+    )
+    repeats = leads.where("second is null")
+    if not repeats.isEmpty():
+        alone = lists.join(phrases.sized(repeats), "token").select("phrase_id", "block", "at")
+        found = found.unionByName(alone)
+    held = found.select("phrase_id", "block", F.explode("at").alias("at"))
     chunk = (F.col("block") * BLOCK_IDS + F.col("at")).alias("chunk_id")
     # Written, so that the planner knows how few passages are wanted.
     held = materialize(held.select("phrase_id", "block", chunk), "phrase-candidates")

@@ -103,6 +103,54 @@ def test_overlapping_places_of_a_phrase_all_count(spark):
     assert hits == {("a a", 0): 2, ("a b", 0): 1, ("a b", 1): 4}
 
 
+def _joined_rows(frame):
+    """Rows that the joins of a frame gave, when it was run."""
+    frame.collect()
+    total, left = 0, [frame._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(plan.plan())
+        elif name.endswith("JoinExec"):
+            total += plan.metrics().apply("numOutputRows").value()
+        left += [plan.children().apply(i) for i in range(plan.children().size())]
+    return total
+
+
+def test_a_token_of_all_phrases_is_not_listed_for_each(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_IDS", 4)
+    texts = [f"com_x{i}" for i in range(60)] + ["com com_x1 x2"] * 20 + ["rest com_com rest"]
+    index = invert(_passages(spark, texts))
+    phrases = [f"com_x{i}" for i in range(60)] + ["com_com", "com_x1_com", "x1_absent"]
+    numbered = postings.number_phrases(_asked(spark, phrases))
+    seen, write = [], postings.materialize
+
+    def recorded(frame, label):
+        if label == "phrase-candidates":
+            seen.append(_joined_rows(frame))
+        return write(frame, label)
+
+    monkeypatch.setattr(postings, "materialize", recorded)
+    named = postings.phrase_hits(index, numbered).join(numbered.dictionary, "phrase_id")
+    hits = {}
+    for r in named.collect():
+        hits[r.phrase] = hits.get(r.phrase, 0) + 1
+    sequences = [
+        (" ".join(r.heading_tokens), " ".join(r.content_tokens)) for r in _passages(spark, texts).collect()
+    ]
+    expected = {}
+    for phrase in {p.replace("_", " ") for p in phrases}:
+        n = sum(any(f" {phrase} " in f" {part} " for part in parts) for parts in sequences)
+        if n:
+            expected[phrase] = n
+    assert hits == expected and hits["com x1"] == 21
+    # 60 phrases of "com", which 21 blocks hold, made 1,200 rows.
+    assert len(seen) == 1 and seen[0] < 300
+
+
 def _statistics(index):
     terms = index.terms.groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0").collect()
     return index.passages, index.tokens, {r.token: r.df for r in terms}
