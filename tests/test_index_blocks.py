@@ -103,6 +103,20 @@ def test_overlapping_places_of_a_phrase_all_count(spark):
     assert hits == {("a a", 0): 2, ("a b", 0): 1, ("a b", 1): 4}
 
 
+def test_no_pairs_of_request_and_passage_are_shuffled(spark):
+    index = invert(_passages(spark, _texts(2, 50)))
+    plan = rank_batch(index, _asked(spark, QUERIES)).scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(qid" not in plan
+
+
+def test_postings_move_once_without_what_follows_from_them(spark):
+    plan = postings.blocks_of(_passages(spark, _texts(2, 50)), size=10**8)._jdf.queryExecution().executedPlan()
+    exchanges = [line for line in plan.toString().splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and f", {-(-10**8 // postings.TASK_ROWS)})" in exchanges[0]
+    below = plan.toString().split(exchanges[0])[1].splitlines()[1]
+    assert "stripe" not in below and "bucket" not in below
+
+
 def _joined_rows(frame):
     """Rows that the joins of a frame gave, when it was run."""
     frame.collect()
